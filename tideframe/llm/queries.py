@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_digest
 from .merkle import compare_with_edit
 from .mixing import mix_sources
 
@@ -22,6 +24,10 @@ def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edit(table(spark, sf_dir, "documents"))
 
 
+def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 _OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -53,5 +59,6 @@ FROM run
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
+    "op9_word_bpe": op9_word_bpe,
 }
 SQL: dict[str, str] = {"op1_mix_sources": _OP1_SQL}
