@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_digest
 from .merkle import compare_with_edit
 from .mixing import mix_sources
+from .quality import score_quality, train_field
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edit(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_field(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -59,6 +65,7 @@ FROM run
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
+    "op8_quality_rules": op8_quality_rules,
     "op9_word_bpe": op9_word_bpe,
 }
 SQL: dict[str, str] = {"op1_mix_sources": _OP1_SQL}
