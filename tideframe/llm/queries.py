@@ -11,6 +11,7 @@ from .bpe import encode_digest
 from .merkle import compare_with_edit
 from .mixing import mix_sources
 from .quality import score_quality, train_field
+from .windows import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edit(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ FROM run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_substring_dedup": op3_substring_dedup,
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
     "op8_quality_rules": op8_quality_rules,
     "op9_word_bpe": op9_word_bpe,
