@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_digest
 from .merkle import compare_with_edit
 from .mixing import mix_sources
+from . import suffixes, windows
 from .quality import score_quality, train_field
-from .windows import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return windows.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 _OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -73,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
     "op8_quality_rules": op8_quality_rules,
     "op9_word_bpe": op9_word_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL: dict[str, str] = {"op1_mix_sources": _OP1_SQL}
