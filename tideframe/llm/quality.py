@@ -203,7 +203,8 @@ class LineField:
 def train_field(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_bytes: int = 20_000) -> LineField:
     """The field, from at most about ``most_docs`` labelled documents of at most ``most_bytes`` bytes.
 
-    The sample is drawn by a hash of doc_id, so reruns agree. Without a labelled document of either quality every line is
+    The sample is drawn by a hash of doc_id, so reruns agree; its ids, bounded by ``most_docs``, are broadcast and texts
+    aren't moved to find it. Without a labelled document of either quality every line is
     taken for content.
     """
     marked = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality")
@@ -212,7 +213,7 @@ def train_field(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_
     keep = F.lit(False)
     for q, n in counts.items():
         keep = F.when(F.col("quality") == q, F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < min(grain, grain * (most_docs // 2) // max(n, 1))).otherwise(keep)
-    sample = docs.select("doc_id", "text").where(F.octet_length("text").between(1, most_bytes)).join(marked.where(keep), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    sample = docs.select("doc_id", "text").where(F.octet_length("text").between(1, most_bytes)).join(F.broadcast(marked.where(keep)), "doc_id").toPandas().sort_values(["doc_id", "text"])
     if sample["quality"].nunique() < 2:
         return LineField(np.zeros((FEATURES, 2)), np.zeros((2, 2)))
     block = LineBlock([t.encode() for t in sample["text"]])
