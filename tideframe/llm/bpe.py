@@ -11,6 +11,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 _NEVER = np.int32(2**31 - 1)
 #: White space as the pattern below has it.
@@ -34,13 +36,17 @@ def byte_alphabet() -> list[str]:
 
 
 @functools.lru_cache(maxsize=1)
-def newer_characters() -> dict[int, str]:
-    """Letters and numbers of the regex module that Python's character database doesn't have, each mapped to a symbol.
+def newer_characters() -> tuple[dict[int, str], dict[int, str]]:
+    """Where Python's character tables and the tokenizers library's differ, among characters that Python doesn't have.
 
-    The tokenizer's expression engine doesn't have them either, and so takes them for symbols.
+    Two maps: letters and numbers of the regex module that the library takes for symbols, each to a symbol; and capitals,
+    to what the library makes of them in lower case.
     """
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    return {ord(c): "\u2603" for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"}
+    new = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    cut = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed")
+    lower = normalizers.Lowercase()
+    return {ord(c): "\u2603" for c in new if cut.pre_tokenize_str(c)}, {ord(c): x for c in new if (x := lower.normalize_str(c)) != c}
 
 
 class WordBPE:
@@ -59,7 +65,9 @@ class WordBPE:
         self._marks = sorted({s[:2] for s in self.special})
         self._word = regex.compile(split["pattern"]["Regex"])
         self._alphabet = byte_alphabet()
-        self._longest = max(map(len, self.vocab))
+        self._reach: dict[str, int] = {}  # how long a token with given first two characters can be
+        for t in self.vocab:
+            self._reach[t[:2]] = max(self._reach.get(t[:2], 0), len(t))
         self._merges = {}
         size = max(self.pieces) + 1
         self._left, self._right = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
@@ -72,9 +80,10 @@ class WordBPE:
         keys = np.fromiter((x * size + y for x, y in self._merges), np.int64, len(self._merges))
         order = np.argsort(keys)
         self._keys, self._places = keys[order], np.fromiter((p for p, _ in self._merges.values()), np.int32, len(keys))[order]
+        self._result = np.fromiter((z for _, z in self._merges.values()), np.int32, len(keys))
         self._size = size
         self._inner_right, self._inner_left = self._edge(self._right), self._edge(self._left)
-        self._whole: dict[int, bool] = {}
+        self._whole = self._find_whole()
         self._known: dict[str, bytes] = {}
 
     def _edge(self, child: np.ndarray) -> np.ndarray:
@@ -92,8 +101,8 @@ class WordBPE:
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where(self._keys[at] == key, self._places[at], _NEVER)
 
-    def borders_hold(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """For each pair of neighbours, whether no merge ever joins what ends ``a`` and what begins ``b``.
+    def borders_hold(self, a: np.ndarray, b: np.ndarray, upto: np.ndarray | None = None) -> np.ndarray:
+        """For each pair of neighbours, whether no merge (``upto`` a place) joins what ends ``a`` and what begins ``b``.
 
         While both are being made, the last part of ``a`` and the first part of ``b`` are replaced by larger ones, the one
         that is merged earlier first. A merge of two parts that meet happens if it comes before either is replaced; of
@@ -112,6 +121,8 @@ class WordBPE:
             x, y = ends[rows, i[rows]], starts[rows, j[rows]]
             place, gone_x, gone_y = self._place(x, y), gone(ends, rows, i[rows], last[0]), gone(starts, rows, j[rows], last[1])
             joined = (place != _NEVER) & (place < gone_x) & (place <= gone_y)
+            if upto is not None:
+                joined &= (place != upto[rows]) | (gone_x != _NEVER) | (gone_y != _NEVER)
             holds[rows[joined]] = False
             more = ~joined & ((gone_x != _NEVER) | (gone_y != _NEVER))
             step = gone_x <= gone_y
@@ -120,34 +131,60 @@ class WordBPE:
             rows = rows[more]
         return holds
 
-    def merge(self, symbols: list[int]) -> list[int]:
-        """Exact merging: the first place of the merge list, leftmost first, until none applies."""
-        out = list(symbols)
-        while len(out) > 1:
-            best = min(((m[0], k) for k in range(len(out) - 1) if (m := self._merges.get((out[k], out[k + 1])))), default=None)
-            if best is None:
-                break
-            k = best[1]
-            out[k : k + 2] = [self._merges[out[k], out[k + 1]][1]]
+    def merge(self, words: list[str]) -> list[list[int]]:
+        """Exact merging: the first place of the merge list, leftmost first, until none applies; all words in step."""
+        out: list[list[int]] = [[]] * len(words)
+        by_length = sorted(range(len(words)), key=lambda k: len(words[k]))
+        at = 0
+        while at < len(by_length):
+            stop, longest = at, len(words[by_length[at]]) + 4
+            while stop < len(by_length) and stop - at < 20_000 and len(words[by_length[stop]]) <= longest:
+                stop += 1
+            rows = by_length[at:stop]
+            for k, ids in zip(rows, self._merge_rows([self._symbols(words[k]) for k in rows]), strict=True):
+                out[k] = ids
+            at = stop
         return out
 
+    def _merge_rows(self, symbols: list[list[int]]) -> list[list[int]]:
+        width = max(map(len, symbols))
+        ids = np.full((len(symbols), width + 1), -1, np.int32)
+        for k, row in enumerate(symbols):
+            ids[k, : len(row)] = row
+        place = np.where((ids[:, :-1] >= 0) & (ids[:, 1:] >= 0), self._place(ids[:, :-1], ids[:, 1:]), _NEVER)
+        rows, columns = np.arange(len(symbols)), np.arange(width + 1)
+        while len(rows):
+            k = place[rows].argmin(axis=1)
+            some = place[rows, k] != _NEVER
+            rows, k = rows[some], k[some]
+            if not len(rows):
+                break
+            ids[rows, k] = self._result[place[rows, k]]
+            shift = np.minimum(columns + (columns > k[:, None]), width)
+            ids[rows] = np.take_along_axis(ids[rows], shift, axis=1)
+            place[rows] = np.take_along_axis(place[rows], shift[:, :-1].clip(max=width - 1), axis=1)
+            for j in (k - 1, k):
+                r, j = rows[j >= 0], j[j >= 0]
+                x, y = ids[r, j], ids[r, j + 1]
+                place[r, j] = np.where(y >= 0, self._place(x, y), _NEVER)
+        return [row[row >= 0].tolist() for row in ids]
+
     def _symbols(self, word: str) -> list[int]:
         return [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]]
 
-    def _is_whole(self, token: int) -> bool:
-        """Whether a token's own text encodes to it alone."""
-        known = self._whole.get(token)
-        if known is None:
-            text = self.pieces[token]
-            bare = text.removesuffix(self.suffix) if self.suffix and text != self.suffix else text
-            symbols = [self.vocab[c] for c in bare[:-1]] + [self.vocab[bare[-1] + (self.suffix if bare != text else "")]]
-            known = self._whole[token] = self.merge(symbols) == [token]
-        return known
+    def _find_whole(self) -> np.ndarray:
+        """Of each token, whether its own text encodes to it alone: its halves do, and meet in no other merge before."""
+        made = np.flatnonzero(self._made >= 0)
+        whole = np.ones(self._size, bool)
+        whole[made] = self.borders_hold(self._left[made], self._right[made], upto=self._made[made])
+        for t in made[np.argsort(self._made[made])]:
+            whole[t] &= whole[self._left[t]] and whole[self._right[t]]
+        return whole
 
     def _propose(self, word: str) -> list[int]:
         n, at, out, vocab = len(word), 0, [], self.vocab
         while at < n:
-            for end in range(min(n, at + self._longest), at, -1):
+            for end in range(min(n, at + max(1, self._reach.get(word[at : at + 2], 1))), at, -1):
                 token = vocab.get(word[at:end] + self.suffix if end == n else word[at:end])
                 if token is not None:
                     break
@@ -162,16 +199,15 @@ class WordBPE:
         flat = np.fromiter((t for p in proposed for t in p), np.int32, int(counts.sum()))
         owner = np.repeat(np.arange(len(words)), counts)
         fails = np.zeros(len(words), bool)
-        for token in np.unique(flat):
-            if not self._is_whole(int(token)):
-                fails[owner[flat == token]] = True
+        fails[owner[~self._whole[flat]]] = True
         inside = np.flatnonzero(owner[:-1] == owner[1:]) if len(flat) else np.zeros(0, np.intp)
         if len(inside):
             pairs, back = np.unique(flat[inside].astype(np.int64) * self._size + flat[inside + 1], return_inverse=True)
             holds = self.borders_hold((pairs // self._size).astype(np.int32), (pairs % self._size).astype(np.int32))
             fails[owner[inside[~holds[back]]]] = True
-        for k in np.flatnonzero(fails):
-            proposed[k] = self.merge(self._symbols(words[k]))
+        failing = np.flatnonzero(fails).tolist()
+        for k, ids in zip(failing, self.merge([words[k] for k in failing]), strict=True):
+            proposed[k] = ids
         return proposed
 
     def _words(self, chunk: str) -> list[str | int]:
@@ -181,8 +217,13 @@ class WordBPE:
         return self._plain(chunk)
 
     def _plain(self, part: str) -> list[str]:
-        low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-        if low.isascii() or (masked := low.translate(newer_characters())) == low:
+        if part.isascii():
+            low = masked = part.lower()
+        else:
+            symbols, capitals = newer_characters()
+            low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower().translate(capitals)
+            masked = low.translate(symbols)
+        if masked == low:
             words = self._word.findall(low)
         else:
             words = [low[m.start() : m.end()] for m in self._word.finditer(masked)]
@@ -191,11 +232,11 @@ class WordBPE:
     def _learn(self, chunks: Iterable[str]) -> None:
         split = {c: self._words(c) for c in chunks}
         new = sorted({w for ws in split.values() for w in ws if isinstance(w, str)})
-        ids = dict(zip(new, self.encode_words(new), strict=True))
+        ids = {w: struct.pack(f"<{len(t)}I", *t) for w, t in zip(new, self.encode_words(new), strict=True)}
         if len(self._known) > _CACHE:
             self._known.clear()
         for c, ws in split.items():
-            self._known[c] = np.array([t for w in ws for t in (ids[w] if isinstance(w, str) else [w])], "<u4").tobytes()
+            self._known[c] = b"".join([ids[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in ws])
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
