@@ -12,6 +12,7 @@ from .merkle import compare_with_edit
 from .mixing import mix_sources
 from . import suffixes, windows
 from .quality import score_quality, train_field
+from .simhash import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edit(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ FROM run
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
     "op8_quality_rules": op8_quality_rules,
     "op9_word_bpe": op9_word_bpe,
