@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_digest
+from .langid import held_out, predict_languages, train_filters
 from .merkle import compare_with_edit
 from .mixing import mix_sources
 from . import suffixes, windows
@@ -23,6 +25,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = train_filters(docs.where(~held_out(F.col("doc_id"))))
+    return predict_languages(docs, filters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -78,6 +86,7 @@ FROM run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_language_id": op2_language_id,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
