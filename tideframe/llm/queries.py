@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from . import suffixes, windows
 from .quality import score_quality, train_field
 from .simhash import near_duplicates
+from .toxicity import score_toxicity, train_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels know toxic documents and poor ones; the chain's categories are toxic, and toxic in poor text."""
+    docs = table(spark, sf_dir, "documents")
+    categories = {"toxic": F.col("toxic") == 1, "toxic_poor": (F.col("toxic") == 1) & (F.col("quality") == 0)}
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels"), categories))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_toxicity_chain": op5_toxicity_chain,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
     "op8_quality_rules": op8_quality_rules,
