@@ -27,6 +27,8 @@ from .store import discard, durable
 from .textblocks import _P, _Q, Block, Spans, mix64, slices
 
 _LAST_ID = 2**63 - 1
+#: Bytes of pieces that are sorted in one go, but for pieces around one short string, which stay together.
+SORTED_BYTES = 150_000
 
 
 def suffix_order(symbols: list[int]) -> list[int]:
@@ -210,6 +212,36 @@ def _string_classes(pieces: list[bytes], width: int) -> tuple[np.ndarray, np.nda
     return piece_of[order], offset[order], np.cumsum(~same)
 
 
+def _together(rivals: np.ndarray, distinct: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Rivals, in order of key, in parts of about ``most`` bytes; those of one key stay together."""
+    key = distinct["key"][rivals]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    total = np.concatenate([[0], np.cumsum(distinct["bytes"][rivals].astype(np.int64))])
+    at = 0
+    for k in np.append(new[1:], len(rivals)):
+        if total[k] - total[at] >= most or k == len(rivals):
+            yield rivals[at:k]
+            at = k
+
+
+def _rival_owners(rivals: np.ndarray, distinct: np.ndarray, names: np.ndarray, body: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
+    """First places, in runs of neighbouring strings, of all strings of pieces that are sorted together."""
+    pieces = [body[where[r] : where[r] + int(distinct["bytes"][r])].tobytes() for r in rivals]
+    piece, offset, klass = _string_classes(pieces, width)
+    ids, ats = distinct["id"][rivals][piece], distinct["at"][rivals][piece] + offset
+    order, first = _firsts(klass, ids, ats)
+    sizes = np.diff(np.append(first, len(order)))
+    own = np.zeros(len(order), _OWNER)
+    own["name"], own["from"], own["to"] = names[rivals][piece], offset, offset + 1
+    own["id"][order], own["at"][order] = np.repeat(ids[order[first]], sizes), np.repeat(ats[order[first]], sizes)
+    own["at"] -= offset
+    own = own[np.lexsort((offset, piece))]
+    new = np.concatenate([[True], (own["name"][1:] != own["name"][:-1]) | (own["id"][1:] != own["id"][:-1]) | (own["at"][1:] != own["at"][:-1])])
+    runs = own[new].copy()
+    runs["to"] = own["to"][np.append(np.flatnonzero(new)[1:], len(own)) - 1]
+    return runs
+
+
 def _owners(table: pa.Table, width: int, short: int) -> pa.Table:
     """First places of all strings of one range of keys, for each block that holds them."""
     heads, bodies, blocks = [], [], []
@@ -245,25 +277,10 @@ def _owners(table: pa.Table, width: int, short: int) -> pa.Table:
             view = np.where(fits, mix64(spans.raw(np.where(fits, begin, 0), np.where(fits, end, 0)) ^ d["key"]) ^ np.uint64(salt), np.uint64(0))
             _, back, n = np.unique(view, return_inverse=True, return_counts=True)
             meets |= fits & (n[back] > 1)
-        rivals = rivals[meets]
-    extra = []
+        rivals = rivals[meets]  # still in order of key
     if len(rivals):
-        pieces = [body[where[r] : where[r] + int(distinct["bytes"][r])].tobytes() for r in rivals]
-        piece, offset, klass = _string_classes(pieces, width)
-        ids, ats = distinct["id"][rivals][piece], distinct["at"][rivals][piece] + offset
-        o, f = _firsts(klass, ids, ats)
-        sizes = np.diff(np.append(f, len(o)))
-        own = np.zeros(len(o), _OWNER)
-        own["name"][o] = owner["name"][rivals][piece[o]]
-        own["id"][o], own["at"][o] = np.repeat(ids[o[f]], sizes), np.repeat(ats[o[f]], sizes)
-        own["from"], own["to"] = offset, offset + 1
-        own["at"] -= offset
-        s = np.lexsort((offset, piece))
-        own = own[s]
-        new = np.concatenate([[True], (own["name"][1:] != own["name"][:-1]) | (own["id"][1:] != own["id"][:-1]) | (own["at"][1:] != own["at"][:-1])])
-        runs = own[new].copy()
-        runs["to"] = own["to"][np.append(np.flatnonzero(new)[1:], len(own)) - 1]
-        owner = np.concatenate([np.delete(owner, rivals), runs])
+        found = [_rival_owners(part, distinct, owner["name"], body, where, width) for part in _together(rivals, distinct, SORTED_BYTES)]
+        owner = np.concatenate([np.delete(owner, rivals), *found])
     owner = owner[np.argsort(owner["name"], kind="stable")]
 
     # to each block, what holds for its pieces
