@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_digest
 from .langid import held_out, predict_languages, train_filters
+from .licenses import scan_licenses
 from .merkle import compare_with_edit
 from .mixing import mix_sources
 from . import suffixes, windows
@@ -36,6 +37,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels know toxic documents and poor ones; the chain's categories are toxic, and toxic in poor text."""
     docs = table(spark, sf_dir, "documents")
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_toxicity_chain": op5_toxicity_chain,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
