@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .repeats import ANSWER, BOTH, Layout, Replies, answers, both, by_range, chosen, send
 from .store import discard, durable
@@ -315,11 +316,11 @@ def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(_LAST_ID).to_numpy()
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte covered by a string of ``width`` bytes that also starts earlier.
 
     One row per row of ``docs`` (integer doc_id, text; other columns are ignored): doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256 and, if asked for, kept, the bytes left as text (a character that was cut apart is left out). Earlier
+    kept_sha256 and, if asked for, kept, the bytes left as text (a character that was cut apart is left out), and the columns of ``docs`` named in ``carry``. Earlier
     means in a text of smaller doc_id, null the largest, or earlier in the same text; strings lie in one text and are judged on the
     input. Rows of one doc_id at the same place don't start earlier than each other, so full duplicates all keep what one
     of them would. Null text: as empty. Texts under ``width`` bytes lose nothing. Empty table: no rows.
@@ -328,6 +329,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False) -
         raise ValueError("width is 8 bytes or more")
     layout = Layout(docs)
     rows = docs.select("doc_id", "text", layout.block())
+    carried = docs.select("doc_id", "text", layout.block(), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +385,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False) -
                 if with_text:
                     out["kept"].append(left.decode("utf-8", "ignore"))
         kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.string()} if with_text else {})
-        return pa.table({"doc_id": texts["doc_id"]} | {k: pa.array(out[k], t) for k, t in kinds.items()})
+        return pa.table({"doc_id": texts["doc_id"]} | {k: pa.array(out[k], t) for k, t in kinds.items()} | {c: texts[f"_carry_{c}"] for c in carry})
 
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return rows.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(judge, schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return carried.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(judge, schema)
