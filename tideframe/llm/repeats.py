@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textblocks import mix64
+
 BLOCK_BYTES, RANGE_BYTES = 4_000_000, 8_000_000
 #: A key is hot if a task has it more than this often, or if more than this many entries for it arrive.
 HOT_IN_TASK, HOT_ENTRIES = 8, 512
@@ -39,7 +41,8 @@ class Layout:
         return F.pmod(F.xxhash64("doc_id"), F.lit(self.blocks)).alias("block")
 
     def range_of(self, key: np.ndarray) -> np.ndarray:
-        return ((key >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
+        # chosen keys are minima and so small; mixed again they lie evenly
+        return ((mix64(key ^ np.uint64(0x94D049BB133111EB)) >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def by_range(layout: Layout, key: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

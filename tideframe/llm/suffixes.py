@@ -8,8 +8,8 @@ next free place of its group. Nothing is renamed and nothing recurses.
 
 For a corpus, equal strings of the full length meet through a chosen short string inside them (see ``repeats``); around
 each one that repeats lies a piece of text with all the strings that chose it. Equal pieces become one, with their first
-place; pieces that share a short string and differ are sorted by their suffixes, and neighbours in that order that agree
-in the full length are occurrences of one string.
+place; pieces that share a short string and differ are sorted by their suffixes, in symbols of eight bytes counted from
+the short string, and neighbours in that order that agree far enough are occurrences of one string.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .textblocks import _P, _Q, Block, Spans, mix64, slices
 
 _LAST_ID = 2**63 - 1
 #: Bytes of pieces that are sorted in one go, but for pieces around one short string, which stay together.
-SORTED_BYTES = 150_000
+SORTED_BYTES = 1_000_000
 
 
 def suffix_order(symbols: list[int]) -> list[int]:
@@ -195,22 +195,51 @@ def _ship(layout: Layout, texts: list[bytes], ids: np.ndarray, known: Replies, w
     return out
 
 
-def _string_classes(pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, offset and class of every string of ``width`` bytes of ``pieces``; equal strings have one class."""
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    first = np.cumsum(sizes + 1) - sizes - 1
-    joined = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    symbols = joined.astype(np.int64) + 1
-    symbols[first + sizes] = 0
-    piece_of = np.repeat(np.arange(len(pieces)), sizes + 1)
-    offset = np.arange(len(joined)) - first[piece_of]
-    order = np.array(suffix_order(symbols.tolist()), np.int64)
-    order = order[offset[order] + width <= sizes[piece_of[order]]]
-    same = np.zeros(len(order), bool)
-    for k in range(1, len(order), 50_000):
-        a, b = order[k - 1 : k + 49_999][: len(order) - k], order[k : k + 50_000]
-        same[k : k + 50_000] = (joined[a[:, None] + np.arange(width)] == joined[b[:, None] + np.arange(width)]).all(axis=1)
-    return piece_of[order], offset[order], np.cumsum(~same)
+def _eight(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place as one number."""
+    return body[at[:, None] + np.arange(8)].view("<u8")[:, 0]
+
+
+def _string_classes(body: np.ndarray, where: np.ndarray, into: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, offset and class of every string of ``width`` bytes of pieces of ``n`` such strings; equal ones share a class.
+
+    Pieces lie at ``where`` in ``body`` with their short string ``into`` them. Strings that are equal have it at the same
+    place, so the suffixes to sort are those that begin a whole number of eight-byte symbols from it. A string is its
+    whole symbols, which the order of suffixes finds equal, and fewer than eight bytes before and after them.
+    """
+    shift = into % 8
+    units = (n + width - 1 - shift) // 8
+    first = np.cumsum(units + 1) - units - 1  # a separator, smaller than all symbols, ends each piece
+    piece = np.repeat(np.arange(len(n)), units)
+    at = np.arange(len(piece)) - np.repeat(np.cumsum(units) - units, units)
+    _, symbol = np.unique(_eight(body, where[piece] + shift[piece] + 8 * at), return_inverse=True)
+    text = np.zeros(int((units + 1).sum()), np.int64)
+    text[first[piece] + at] = symbol + 1
+    left = np.zeros(len(text), np.int64)  # symbols from here to the end of the piece
+    left[first[piece] + at] = units[piece] - at
+    order = np.array(suffix_order(text.tolist()), np.int64)
+
+    owner = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    start = -((shift[owner] - offset) // 8)  # first whole symbol
+    whole = (offset + width - shift[owner]) // 8 - start
+    group = np.zeros(len(owner), np.uint64)
+    for depth in np.unique(whole):
+        o = order[left[order] >= depth]
+        same = np.zeros(len(o), bool)
+        same[1:] = (text[o[1:, None] + np.arange(depth)] == text[o[:-1, None] + np.arange(depth)]).all(axis=1)
+        of = np.zeros(len(text), np.int64)
+        of[o] = np.cumsum(~same)
+        mine = whole == depth
+        group[mine] = of[first[owner[mine]] + start[mine]]
+    head = shift[owner] + 8 * start - offset
+    tail = (offset + width - shift[owner]) % 8
+    low = where[owner] + offset
+    mask = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
+    before = _eight(body, low) & mask[head]
+    after = (_eight(body, low + width - 8) >> (np.uint64(8) * (np.uint64(8) - tail.astype(np.uint64)) % np.uint64(64))) & mask[tail]
+    klass = mix64(group * np.uint64(_P) + (into[owner] - offset).astype(np.uint64))
+    return owner, offset, mix64(mix64(klass ^ before) ^ after)
 
 
 def _together(rivals: np.ndarray, distinct: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -227,8 +256,8 @@ def _together(rivals: np.ndarray, distinct: np.ndarray, most: int) -> Iterator[n
 
 def _rival_owners(rivals: np.ndarray, distinct: np.ndarray, names: np.ndarray, body: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
     """First places, in runs of neighbouring strings, of all strings of pieces that are sorted together."""
-    pieces = [body[where[r] : where[r] + int(distinct["bytes"][r])].tobytes() for r in rivals]
-    piece, offset, klass = _string_classes(pieces, width)
+    d = distinct[rivals]
+    piece, offset, klass = _string_classes(body, where[rivals], d["into"].astype(np.int64), d["n"].astype(np.int64), width)
     ids, ats = distinct["id"][rivals][piece], distinct["at"][rivals][piece] + offset
     order, first = _firsts(klass, ids, ats)
     sizes = np.diff(np.append(first, len(order)))
@@ -325,8 +354,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False, c
     input. Rows of one doc_id at the same place don't start earlier than each other, so full duplicates all keep what one
     of them would. Null text: as empty. Texts under ``width`` bytes lose nothing. Empty table: no rows.
     """
-    if width < 8:
-        raise ValueError("width is 8 bytes or more")
+    if width < 32:
+        raise ValueError("width is 32 bytes or more")
     layout = Layout(docs)
     rows = docs.select("doc_id", "text", layout.block())
     carried = docs.select("doc_id", "text", layout.block(), *[F.col(c).alias(f"_carry_{c}") for c in carry])
