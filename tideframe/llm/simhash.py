@@ -77,7 +77,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     sizes = {r["c"]: r["n"] for r in cells.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     tiles = {c: -(-n // TILE) for c, n in sizes.items()}
     near = [(c, d, tiles[c], tiles[d]) for c in tiles for d in tiles if c <= d and abs(c // 33 - d // 33) + abs(c % 33 - d % 33) <= radius]
-    how_many = F.create_map(*[F.lit(x) for cn in tiles.items() for x in cn]) if tiles else F.lit(None)
+    how_many = F.create_map(*[F.lit(x) for cn in tiles.items() for x in cn]) if tiles else F.create_map(F.lit(0), F.lit(1))
     placed = cells.withColumn("t", F.pmod(F.xxhash64("fp"), how_many[F.col("c")].cast("long")).cast("int"))
     blobs = durable(placed.groupBy("c", "t").agg(F.collect_list(F.struct("fp", "rep")).alias("rows")), "simhash-tiles")
     pairs = spark.createDataFrame(near, "c int, d int, nc int, nd int") if near else spark.createDataFrame([], "c int, d int, nc int, nd int")
