@@ -25,7 +25,8 @@ _NEVER = np.int32(2**31 - 1)
 #: White space as the pattern below has it.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer doesn't
-_CACHE = 400_000
+#: Chunks, and words, that a worker keeps in mind; when as many are new, those not seen since the last time are forgotten.
+_CACHE = 600_000
 
 
 def byte_alphabet() -> list[str]:
@@ -66,8 +67,15 @@ class WordBPE:
         self._word = regex.compile(split["pattern"]["Regex"])
         self._alphabet = byte_alphabet()
         self._reach: dict[str, int] = {}  # how long a token with given first two characters can be
-        for t in self.vocab:
-            self._reach[t[:2]] = max(self._reach.get(t[:2], 0), len(t))
+        self._inner, self._final = {}, {}  # tokens that a word goes on after, and that end one, without the suffix
+        for t, k in self.vocab.items():
+            if self.suffix and t.endswith(self.suffix) and t != self.suffix:
+                self._final[t.removesuffix(self.suffix)] = k
+            else:
+                self._inner[t] = k
+                self._reach[t[:2]] = max(self._reach.get(t[:2], 0), len(t))
+        if not self.suffix:
+            self._final = self._inner
         self._merges = {}
         size = max(self.pieces) + 1
         self._left, self._right = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
@@ -84,7 +92,8 @@ class WordBPE:
         self._size = size
         self._inner_right, self._inner_left = self._edge(self._right), self._edge(self._left)
         self._whole = self._find_whole()
-        self._known: dict[str, bytes] = {}
+        self._chunks, self._old_chunks = {}, {}
+        self._words_known, self._old_words = {}, {}
 
     def _edge(self, child: np.ndarray) -> np.ndarray:
         """Row t: the tokens that in turn end (or begin) t while it is being made, first its outermost symbol, last t."""
@@ -182,15 +191,18 @@ class WordBPE:
         return whole
 
     def _propose(self, word: str) -> list[int]:
-        n, at, out, vocab = len(word), 0, [], self.vocab
-        while at < n:
-            for end in range(min(n, at + max(1, self._reach.get(word[at : at + 2], 1))), at, -1):
-                token = vocab.get(word[at:end] + self.suffix if end == n else word[at:end])
+        n, at, out, inner, final, reach = len(word), 0, [], self._inner, self._final, self._reach
+        while True:
+            token = final.get(word[at:])
+            if token is not None:
+                out.append(token)
+                return out
+            for end in range(min(n - 1, at + reach.get(word[at : at + 2], 1)), at, -1):
+                token = inner.get(word[at:end])
                 if token is not None:
                     break
             out.append(token)
             at = end
-        return out
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, given in the byte alphabet without the suffix."""
@@ -210,43 +222,60 @@ class WordBPE:
             proposed[k] = ids
         return proposed
 
-    def _words(self, chunk: str) -> list[str | int]:
-        """Words of a chunk without white space, in the byte alphabet; special tokens as ids."""
+    def _split(self, chunk: str) -> list[str | int]:
+        """Words, in lower case, of a chunk without white space; special tokens as ids."""
         if self._special and any(m in chunk for m in self._marks):
             return [w for k, part in enumerate(self._special.split(chunk)) for w in ([self.special[part]] if k % 2 else self._plain(part))]
         return self._plain(chunk)
 
     def _plain(self, part: str) -> list[str]:
         if part.isascii():
-            low = masked = part.lower()
-        else:
-            symbols, capitals = newer_characters()
-            low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower().translate(capitals)
-            masked = low.translate(symbols)
-        if masked == low:
-            words = self._word.findall(low)
-        else:
-            words = [low[m.start() : m.end()] for m in self._word.finditer(masked)]
-        return ["".join(map(self._alphabet.__getitem__, w.encode())) for w in words]
+            low = part.lower()
+            return [low] if low.isalpha() else self._word.findall(low)
+        symbols, capitals = newer_characters()
+        low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower().translate(capitals)
+        if low.isalpha():
+            return [low]
+        masked = low.translate(symbols)
+        return self._word.findall(low) if masked == low else [low[m.start() : m.end()] for m in self._word.finditer(masked)]
+
+    def _in_bytes(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else "".join(map(self._alphabet.__getitem__, word.encode()))
 
     def _learn(self, chunks: Iterable[str]) -> None:
-        split = {c: self._words(c) for c in chunks}
-        new = sorted({w for ws in split.values() for w in ws if isinstance(w, str)})
-        ids = {w: struct.pack(f"<{len(t)}I", *t) for w, t in zip(new, self.encode_words(new), strict=True)}
-        if len(self._known) > _CACHE:
-            self._known.clear()
+        words, old = self._words_known, self._old_words
+        split = {c: self._split(c) for c in chunks}
+        new = set()
+        for ws in split.values():
+            for w in ws:
+                if w not in words and not isinstance(w, int):
+                    if (was := old.get(w)) is not None:
+                        words[w] = was
+                    else:
+                        new.add(w)
+        new = list(new)
+        for w, ids in zip(new, self.encode_words([self._in_bytes(w) for w in new]), strict=True):
+            words[w] = struct.pack(f"<{len(ids)}I", *ids)
         for c, ws in split.items():
-            self._known[c] = b"".join([ids[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in ws])
+            self._chunks[c] = words[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else b"".join([w.to_bytes(4, "little") if isinstance(w, int) else words[w] for w in ws])
+        if len(words) > _CACHE:
+            self._words_known, self._old_words = {}, words
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         chunks = [list(filter(None, _SPACE.split(t))) if _SEPARATORS.search(t) else t.split() for t in texts]
-        new = {c for cs in chunks for c in cs}
-        if len(self._known) + len(new) > _CACHE:
-            self._known.clear()
-        self._learn(new - self._known.keys())
+        if len(self._chunks) > _CACHE:
+            self._chunks, self._old_chunks = {}, self._chunks
+        known, old = self._chunks, self._old_chunks
+        unknown = []
+        for c in {c for cs in chunks for c in cs} - known.keys():
+            if (was := old.get(c)) is not None:
+                known[c] = was
+            else:
+                unknown.append(c)
+        self._learn(unknown)
         for cs in chunks:
-            yield b"".join(map(self._known.__getitem__, cs))
+            yield b"".join(map(known.__getitem__, cs))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encode_batch([text])), "<u4").tolist()
