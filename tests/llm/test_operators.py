@@ -299,10 +299,10 @@ def test_licenses(docs, rows, empty, spark):
 def test_toxicity(docs, rows, empty):
     rng = random.Random(2)
     plain = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(300)]
-    make = lambda bad: " ".join([*rng.sample(plain, 40), *(["zork", "zorkish"] if bad else [])])
+    make = lambda bad: " ".join([*rng.sample(plain, 40), *(rng.sample(["zork", "zorkish", "blarg"], rng.randint(1, 2)) if bad else [])])
     y = np.arange(200) % 5 == 0
     texts = [make(b) for b in y]
     chain = toxicity.train_chain(texts, {"toxic": y.astype(int), "worse": (y & (np.arange(200) % 2 == 0)).astype(int)}, np.arange(200) % 4)
-    p = chain.predict([make(True), make(False), "", "zorked " + make(False)])[:, 0] >= chain.thresholds[0]
+    p = chain.predict([make(True), make(False), "", "Blarg! " + make(False)])[:, 0] >= chain.thresholds[0]
     assert p.tolist() == [True, False, False, True]
     assert toxicity.score_toxicity(docs, chain).count() == len(rows) and toxicity.score_toxicity(empty, chain).count() == 0
