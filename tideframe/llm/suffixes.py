@@ -30,6 +30,8 @@ from .textblocks import _P, _Q, Block, Spans, mix64, slices
 _LAST_ID = 2**63 - 1
 #: Bytes of pieces that are sorted in one go, but for pieces around one short string, which stay together.
 SORTED_BYTES = 1_000_000
+#: Bytes of texts that are hashed at a time; a worker needs some hundred times as much while it does.
+SLICE_BYTES = 1_000_000
 
 
 def suffix_order(symbols: list[int]) -> list[int]:
@@ -364,7 +366,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False, c
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks = batch["block"].to_numpy()
-            for at, texts in slices(batch["text"]):
+            for at, texts in slices(batch["text"], SLICE_BYTES):
                 b = PieceBlock(texts, width)
                 yield both(*send(layout, b.key, blocks[at + b.doc]))
 
@@ -374,7 +376,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False, c
 
     def ship(block: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
         known, ids, out = Replies(replies["packed"]), _ids(texts["doc_id"].combine_chunks()), []
-        for at, part in slices(texts["text"].combine_chunks()):
+        for at, part in slices(texts["text"].combine_chunks(), SLICE_BYTES):
             out += _ship(layout, part, ids[at : at + len(part)], known, width, block[0].as_py())
         return pa.table({"range": pa.array([r for r, _ in out], pa.int64()), "packed": pa.array([x for _, x in out], pa.binary())})
 
@@ -398,7 +400,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False, c
             owner = np.unique(owner)
         ids = _ids(texts["doc_id"].combine_chunks())
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for at, part in slices(texts["text"].combine_chunks()):
+        for at, part in slices(texts["text"].combine_chunks(), SLICE_BYTES):
             b = PieceBlock(part, width)
             gone = _cover(b, b.pieces(known), ids[at : at + len(part)], owner)
             total = np.concatenate([[0], np.cumsum(gone)])
