@@ -78,6 +78,19 @@ def test_manifest_round_trip(golden, spark):
     assert p.inspect("state_0003")[0] == "state" and len(p.inspect("b.MP4")[1]["transitions"]) == 1
 
 
+def test_a_recording_without_frames_leaves_the_others(golden, spark):
+    root, _ = golden
+    p = Project.load(root)
+    (root / "c.mp4").write_bytes(b"x")
+    p.add(root / "c.mp4")
+    said = []
+    report = p.build(spark, log=said.append)
+    assert [r["status"] for r in p.manifest["recordings"]] == ["processed", "processed", "error"] and said
+    assert report["totals"]["states"] == 4 and any("rec_03" in w for w in report["warnings"])
+    last = json.loads((root / ".tideframe" / "timeline.json").read_text())["recordings"][-1]
+    assert (last["recording_id"], last["events"]) == ("rec_03", [])
+
+
 def test_commands(tmp_path, monkeypatch, capsys):
     monkeypatch.chdir(tmp_path)
     assert main(["status"]) == 1

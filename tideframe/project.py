@@ -8,6 +8,7 @@ import json
 import os
 import shutil
 import time
+from collections.abc import Callable
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -145,8 +146,11 @@ class Project:
         """Frames are cached by rate, so that a new rate doesn't read the old one's."""
         return self.root / FOLDER / "cache" / "frames" / f"fps={self.config.sample_fps:g}"
 
-    def build(self, spark: SparkSession, force: bool = False, config: Config | None = None) -> dict:
-        """Sample what has no frames, segment all recordings, share states across them and write every output."""
+    def build(self, spark: SparkSession, force: bool = False, config: Config | None = None, log: Callable[[str], None] = lambda _: None) -> dict:
+        """Sample what has no frames, segment all recordings, share states across them and write every output.
+
+        ``log`` is told how far the build is. A recording that fails gets the status error and a warning; others are built.
+        """
         began = time.time()
         if not self.manifest["recordings"]:
             raise ProjectError("no recordings; add one first")
@@ -165,6 +169,7 @@ class Project:
             self.save()
             raise ProjectError("no recording has frames")
 
+        log(f"{len(todo)} recordings to process, {len(known)} with frames")
         work = f"file://{self.root}/{FOLDER}/cache/tables"
         pictures = sources.read_pictures(spark, f"file://{self.frames_root()}")
         listed = sources.list_frames(spark, f"file://{self.frames_root()}", config.sample_fps)
@@ -181,12 +186,14 @@ class Project:
         rows = rows.withColumn("_next", F.lead("small").over(w))
         rows = rows.withColumn("shift", F.when(F.col("_next").isNotNull(), images.shift_column(F.col("small"), F.coalesce("_next", "small"))))
         rows.select("recording_id", "idx", "ts", "path", "vec", "shift").write.mode("overwrite").parquet(f"{work}/frames")
+        log("frames measured")
         frames = spark.read.parquet(f"{work}/frames")
         shifts = frames.where("shift IS NOT NULL").select("recording_id", "idx", "shift.*")
         segments.segment_recordings(frames, shifts, config).write.mode("overwrite").parquet(f"{work}/segments")
         segs = spark.read.parquet(f"{work}/segments")
         states.labelled_segments(segs, config.merge_distance).write.mode("overwrite").parquet(f"{work}/labelled")
         labelled = spark.read.parquet(f"{work}/labelled")
+        log("states found")
 
         shots = self._screenshots(spark, labelled, frames, pictures, config, warnings)
         occurrence_rows = states.occurrences(labelled, frames)
