@@ -26,7 +26,7 @@ _NEVER = np.int32(2**31 - 1)
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer doesn't
 #: Chunks, and words, that a worker keeps in mind; when as many are new, those not seen since the last time are forgotten.
-_CACHE = 600_000
+_CACHE = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -291,7 +291,7 @@ def load(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def _batches(texts: pa.ChunkedArray | pa.Array, most: int = 4_000_000) -> Iterator[list[str]]:
+def _batches(texts: pa.ChunkedArray | pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
     """Texts, null as empty, in lists of about ``most`` characters: bounded memory whatever a batch holds."""
     out, size = [], 0
     for x in texts:
