@@ -73,21 +73,6 @@ class Block:
         return Spans(Spans(self.buffer + np.uint64(1)).hash(self.start, self.end), _Q)
 
 
-def minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the smallest of each ``width`` consecutive values, the last one of equals."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    at = np.arange(len(values))
-    reach = 1
-    while reach < width:
-        step = min(reach, width - reach)
-        a, b = at[:-step] if step else at, at[step:]
-        at = np.where(values[b] <= values[a], b, a)
-        reach += step
-    return at[:n]
-
-
 def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """First row and texts, null as empty, of pieces of about ``most`` bytes: bounded memory whatever a batch holds."""
     at, out, size = 0, [], 0
