@@ -11,19 +11,21 @@ from tideframe.llm.bpe import encode_digest
 from tideframe.llm.mixing import mix_sources
 from tideframe.llm.quality import keep_good, train_field
 from tideframe.llm.simhash import near_duplicates
-from tideframe.llm.store import durable
+from tideframe.llm.store import bound_batches, durable
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line field keep; the field learns from the input's labelled documents."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_good(docs.select(*COLUMNS), train_field(docs, labels))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of smallest doc_id; rows without an id stay."""
+    bound_batches(spark)
     groups = near_duplicates(docs)
     dropped = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id")
     return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
@@ -31,6 +33,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings that also start earlier go; a document of which nothing is left goes too."""
+    bound_batches(spark)
     kept = suffixes.remove_repeats(docs.select(*COLUMNS), with_text=True, carry=("lang", "source"))
     kept = kept.where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
@@ -45,6 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text of each row of the mix."""
+    bound_batches(spark)
     return encode_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

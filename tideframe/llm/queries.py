@@ -16,10 +16,12 @@ from .mixing import mix_sources
 from . import suffixes, windows
 from .quality import score_quality, train_field
 from .simhash import near_duplicates
+from .store import bound_batches
 from .toxicity import score_toxicity, train_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

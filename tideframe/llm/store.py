@@ -32,6 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of ``rows``, unless the session asks for fewer.
+
+    A batch is held by the JVM, outside its heap, and by the worker; the default of 10,000 rows of text is tens of MB in
+    each of them for every task. The setting holds for the session, as results are evaluated after an operator returns.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 @contextlib.contextmanager
 def _shuffle_files_freed(spark: SparkSession):
     """Within this block a finished query's shuffle files go at once instead of waiting for a driver's collection."""
