@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from .textblocks import give_back
+
 _NEVER = np.int32(2**31 - 1)
 #: White space as the pattern below has it.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -315,6 +317,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
+            give_back()
             ids = [np.frombuffer(b, "<u4").astype(np.int32) for texts in _batches(batch["text"]) for b in tokenizer.encode_batch(texts)]
             yield pa.record_batch([batch["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -328,6 +331,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
+            give_back()
             texts = [None if not x.is_valid else tokenizer.decode(x.as_py()) for x in batch["ids"]]
             yield pa.record_batch([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -344,6 +348,7 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
+            give_back()
             counts, of_ids, of_text = [], [], []
             for texts in _batches(batch["text"]):
                 for b in tokenizer.encode_batch(texts):

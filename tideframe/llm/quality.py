@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import SPACE, Block, slices
+from .textblocks import SPACE, Block, give_back, slices
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -250,6 +250,7 @@ def score_quality(docs: DataFrame, field: LineField, least_share: float = 0.5) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for at, texts in slices(batch["text"]):
                 out = _verdicts(texts, field, least_share)
                 yield pa.record_batch([batch["doc_id"].slice(at, len(texts)), *[pa.array(out[k], t) for k, t in _OUT.items()]], ["doc_id", *_OUT])
@@ -265,6 +266,7 @@ def keep_good(docs: DataFrame, field: LineField, least_share: float = 0.5) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for at, texts in slices(batch["text"]):
                 yield batch.slice(at, len(texts)).filter(pa.array(_verdicts(texts, field, least_share)["kept"]))
 

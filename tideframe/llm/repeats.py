@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import mix64
+from .textblocks import give_back, mix64
 
 BLOCK_BYTES, RANGE_BYTES = 4_000_000, 8_000_000
 #: A key is hot if a task has it more than this often, or if more than this many entries for it arrive.
@@ -82,6 +82,7 @@ def send(layout: Layout, key: np.ndarray, block: np.ndarray) -> tuple[pa.RecordB
 
 
 def _answer(table: pa.Table) -> pa.Table:
+    give_back()
     entries = np.frombuffer(b"".join(table["packed"].to_pylist()), _ENTRY)
     entries = entries[np.argsort(entries["key"], kind="stable")]
     first = np.flatnonzero(np.diff(entries["key"], prepend=entries["key"][:1] ^ np.uint64(1)) != 0)

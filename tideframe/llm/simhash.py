@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import durable
+from .textblocks import give_back
 
 TILE = 4096
 
@@ -45,6 +46,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             fps = np.fromiter((simhash((t.as_py() or "").encode(), words) for t in batch["text"]), np.uint64, batch.num_rows)
             yield pa.record_batch([batch["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -87,6 +89,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for k in range(batch.num_rows):
                 a, b = batch["a"][k].values, batch["b"][k].values
                 fa, fb = (x.field("fp").to_numpy().view(np.uint64) for x in (a, b))

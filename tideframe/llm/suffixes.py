@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .repeats import ANSWER, BOTH, Layout, Replies, answers, both, by_range, chosen, send
 from .store import discard, durable
-from .textblocks import _P, _Q, Block, Spans, mix64, slices
+from .textblocks import _P, _Q, Block, Spans, give_back, mix64, slices
 
 _LAST_ID = 2**63 - 1
 #: Bytes of pieces that are sorted in one go, but for pieces around one short string, which stay together.
@@ -365,6 +365,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False, c
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             blocks = batch["block"].to_numpy()
             for at, texts in slices(batch["text"], SLICE_BYTES):
                 b = PieceBlock(texts, width)
@@ -375,12 +376,14 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False, c
     discard(sent)
 
     def ship(block: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()
         known, ids, out = Replies(replies["packed"]), _ids(texts["doc_id"].combine_chunks()), []
         for at, part in slices(texts["text"].combine_chunks(), SLICE_BYTES):
             out += _ship(layout, part, ids[at : at + len(part)], known, width, block[0].as_py())
         return pa.table({"range": pa.array([r for r, _ in out], pa.int64()), "packed": pa.array([x for _, x in out], pa.binary())})
 
     def own(table: pa.Table) -> pa.Table:
+        give_back()
         return _owners(table, width, max(1, width * 8 // 25))
 
     pieces = durable(rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ship, "range long, packed binary"), "suffixes-2-sent")
@@ -390,6 +393,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False, c
     facts = told.selectExpr("block", "packed", "true AS first").unionByName(owners.selectExpr("block", "packed", "false AS first"))
 
     def judge(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()
         is_first = np.asarray(replies["first"].to_pylist(), bool)
         packed = replies["packed"].to_pylist()
         known = Replies(pa.chunked_array([pa.array([x for x, f in zip(packed, is_first, strict=True) if f], pa.binary())]))

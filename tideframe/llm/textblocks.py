@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+#: The C library's call that gives its free pages back; None where it has none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -14,6 +18,16 @@ _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so that powers have inve
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def give_back() -> None:
+    """Return memory that is free to the system, before a Python worker starts on its next group or batch.
+
+    Workers outlive tasks and stages, and their allocators would keep the most that any group took.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit over all output bits."""
     x = x.astype(np.uint64, copy=True)

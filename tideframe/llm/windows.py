@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from .repeats import ANSWER, BOTH, Layout, Replies, answers, both, chosen, send
 from .store import discard, durable
-from .textblocks import Block, mix64, slices
+from .textblocks import Block, give_back, mix64, slices
 
 _SALT = np.array([0x51ED270B5C1D5A3F, 0xA24BAED4963EE407], np.uint64)
 
@@ -70,12 +70,14 @@ def _level(docs: DataFrame, layout: Layout, told: DataFrame | None, keys: Callab
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             blocks = batch["block"].to_numpy()
             for at, texts in slices(batch["text"]):
                 key, doc = keys(texts, None)
                 yield both(*send(layout, key, blocks[at + doc]))
 
     def group(block: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()
         known, out = Replies(replies["packed"]), []
         for _, part in slices(texts["text"].combine_chunks()):
             key, _ = keys(part, known)
@@ -129,6 +131,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, with_text: bool = False) ->
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def judge(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()
         known, n, gone, digests, kept = Replies(replies["packed"]), [], [], [], []
         for _, part in slices(texts["text"].combine_chunks()):
             b = WindowBlock(part, width)
