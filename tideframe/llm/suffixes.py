@@ -274,6 +274,24 @@ def _rival_owners(rivals: np.ndarray, distinct: np.ndarray, names: np.ndarray, b
     return runs
 
 
+def _may_meet(d: np.ndarray, body: np.ndarray, where: np.ndarray, width: int, short: int) -> np.ndarray:
+    """Which pieces may share a full-length string with another one around the same short string.
+
+    Beyond the short string, such a string takes in half of what is left on one side at least.
+    """
+    size, into = d["bytes"].astype(np.int64), d["into"].astype(np.int64)
+    spans = Spans(_gather(body, where, size) + np.uint64(1), _P)
+    low = np.cumsum(size) - size
+    half = (width - short) // 2
+    meets = np.zeros(len(d), bool)
+    for salt, begin, end in ((1, low + into - half, low + into + short), (2, low + into, low + into + short + half)):
+        fits = (begin >= low) & (end <= low + size)
+        view = np.where(fits, mix64(spans.raw(np.where(fits, begin, 0), np.where(fits, end, 0)) ^ d["key"]) ^ np.uint64(salt), np.uint64(0))
+        _, back, n = np.unique(view, return_inverse=True, return_counts=True)
+        meets |= fits & (n[back] > 1)
+    return meets
+
+
 def _owners(table: pa.Table, width: int, short: int) -> pa.Table:
     """First places of all strings of one range of keys, for each block that holds them."""
     heads, bodies, blocks = [], [], []
@@ -293,26 +311,18 @@ def _owners(table: pa.Table, width: int, short: int) -> pa.Table:
     owner = np.zeros(len(distinct), _OWNER)
     owner["name"], owner["id"], owner["at"], owner["to"] = names[order[first]], distinct["id"], distinct["at"], distinct["n"]
 
-    # pieces around one short string that differ and may yet share a full-length string: beyond the short string, that
-    # takes in half of what is left on one side at least
+    # pieces around one short string that differ are rivals; a part of them at a time is looked at and sorted
     by_key = np.argsort(distinct["key"], kind="stable")
     count = np.unique(distinct["key"][by_key], return_inverse=True, return_counts=True)
     rivals = by_key[(count[2][count[1]] > 1) & (distinct["bytes"][by_key] > 0)]
-    if len(rivals):
-        d = distinct[rivals]
-        low, size, into = where[rivals], d["bytes"].astype(np.int64), d["into"].astype(np.int64)
-        spans = Spans(body + np.uint64(1), _P)
-        half = (width - short) // 2
-        meets = np.zeros(len(rivals), bool)
-        for salt, begin, end in ((1, low + into - half, low + into + short), (2, low + into, low + into + short + half)):
-            fits = (begin >= low) & (end <= low + size)
-            view = np.where(fits, mix64(spans.raw(np.where(fits, begin, 0), np.where(fits, end, 0)) ^ d["key"]) ^ np.uint64(salt), np.uint64(0))
-            _, back, n = np.unique(view, return_inverse=True, return_counts=True)
-            meets |= fits & (n[back] > 1)
-        rivals = rivals[meets]  # still in order of key
-    if len(rivals):
-        found = [_rival_owners(part, distinct, owner["name"], body, where, width) for part in _together(rivals, distinct, SORTED_BYTES)]
-        owner = np.concatenate([np.delete(owner, rivals), *found])
+    sorted_, found = [], []
+    for part in _together(rivals, distinct, SORTED_BYTES) if len(rivals) else ():
+        part = part[_may_meet(distinct[part], body, where[part], width, short)]
+        if len(part):
+            sorted_.append(part)
+            found.append(_rival_owners(part, distinct, owner["name"], body, where, width))
+    if found:
+        owner = np.concatenate([np.delete(owner, np.concatenate(sorted_)), *found])
     owner = owner[np.argsort(owner["name"], kind="stable")]
 
     # to each block, what holds for its pieces
