@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import mmap
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +10,6 @@ import pyarrow as pa
 
 #: The C library's call that gives its free pages back; None where it has none.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-#: Resident bytes up to which a worker keeps memory that it has freed.
-KEPT_BYTES = 240_000_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -21,21 +18,14 @@ _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so that powers have inve
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _resident() -> int:
-    with open("/proc/self/statm", "rb") as f:
-        return int(f.read().split()[1]) * mmap.PAGESIZE
-
-
 def give_back() -> None:
     """Return memory that is free to the system, before a Python worker starts on its next group or batch.
 
-    Workers outlive tasks and stages, and their allocators would keep the most that any group took. A worker below
-    ``KEPT_BYTES`` keeps what it has, which spares it fetching the same pages again for each group.
+    Workers outlive tasks and stages, and their allocators would keep the most that any group took.
     """
-    if _trim is None or _resident() < KEPT_BYTES:
-        return
     pa.default_memory_pool().release_unused()
-    _trim(0)
+    if _trim is not None:
+        _trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
