@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tideframe.llm import suffixes
 from tideframe.llm.bpe import encode_digest
 from tideframe.llm.mixing import mix_sources
+from tideframe.llm.nearcopies import one_of_each
 from tideframe.llm.quality import keep_good, train_field
-from tideframe.llm.simhash import near_duplicates
 from tideframe.llm.store import bound_batches, durable
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,11 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of smallest doc_id; rows without an id stay."""
+    """One row of each group of near copies stays, the one of smallest doc_id; five words, Jaccard similarity 0.8 or more."""
     bound_batches(spark)
-    groups = near_duplicates(docs)
-    dropped = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
