@@ -367,7 +367,7 @@ def round_and_clamp(spark, sf):
     FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)"""
 )
 def slugify(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", text.slugify(F.get(F.split("text", "\n"), F.lit(0))).alias("slug"))
+    return _read(spark, sf, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query("SELECT item_id, substr(sha1(text), 1, 8) AS h8, substr(sha1(text), 1, 12) AS h12 FROM benchmark")
