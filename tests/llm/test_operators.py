@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tideframe.llm import bpe, components, langid, licenses, merkle, mixing, quality, repeats, simhash, suffixes, toxicity, windows
+from tideframe.llm import bpe, components, langid, licenses, merkle, mixing, quality, repeats, simhash, suffixes, textblocks, toxicity, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, block long, fp string, rank int"
@@ -100,6 +100,37 @@ def test_windows(docs, rows, empty):
     assert windows.remove_repeats(empty).count() == 0
 
 
+def twins(letters, k=11):
+    """Two texts of 2**k letters that differ everywhere and that any polynomial modulo 2**64 maps to one number."""
+    one = [bin(x).count("1") & 1 for x in range(1 << k)]
+    return "".join(letters[b] for b in one), "".join(letters[1 - b] for b in one)
+
+
+def test_no_hash_takes_twins_for_equal(spark):
+    a, b = twins("ab")
+    say = [f"w{k}" for k in range(34)]
+    docs = spark.createDataFrame([(1, " ".join([*say[:20], a, *say[20:]])), (2, " ".join([*say[:20], b, *say[20:]]))], "doc_id long, text string")
+    assert [r["n_removed"] for r in windows.remove_repeats(docs).collect()] == [0, 0]
+    pair = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert [r["n_removed"] for r in suffixes.remove_repeats(pair, 2048).collect()] == [0, 0]
+    seven = " ".join(say[:7])
+    once = spark.createDataFrame([(1, f"{seven} {a} {seven} {b} x")], "doc_id long, text string")
+    field = quality.LineField(np.zeros((quality.FEATURES, 2)), np.zeros((2, 2)))
+    assert quality.score_quality(once, field).first()["n_repeat_words"] == 0
+
+
+def test_spans():
+    rng = np.random.default_rng(7)
+    v = rng.integers(0, 3, 700)
+    for bits in (8, 64):
+        s = textblocks.Spans(v, bits)
+        for width in (1, 2, 3, 8, 9, 32, 33, 100, 700, 701):
+            at = np.arange(max(len(v) - width + 1, 0))
+            got = s.hash(at, at + width)
+            assert (got == s.fixed(width)).all()
+            assert len({(tuple(v[k : k + width]), int(h)) for k, h in zip(at, got, strict=True)}) == len({tuple(v[k : k + width]) for k in at}) == len(set(got.tolist()))
+
+
 def byte_windows(rows, width):
     first = {}
     key = lambda d: 2**63 - 1 if d is None else d

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import SPACE, Block, give_back, slices
+from .textblocks import SPACE, Block, Spans, give_back, slices
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -41,10 +41,8 @@ class LineBlock(Block):
     def __init__(self, texts: list[bytes]):
         super().__init__(texts)
         self.words()
-        spans = self.word_spans()
         n = len(self.start)
-        k = np.arange(n)
-        own = spans.hash(k, k + 1)
+        own = self.word = self.word_values()
         repeats = np.zeros(n, bool)
         repeats[1:] = (own[1:] == own[:-1]) & (self.word_doc[1:] == self.word_doc[:-1])
 
@@ -97,11 +95,13 @@ class LineBlock(Block):
         found = np.zeros(len(self.texts), np.int64)
         if not len(at):
             return found
-        key = self.word_spans().hash(at, at + width)
-        doc = self.word_doc[at]
+        key, doc = Spans(self.word).fixed(width)[at], self.word_doc[at]
         order = np.lexsort((key, doc))
         key, doc, at = key[order], doc[order], at[order]
         same = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
+        # 64 bits find the windows of a text that may be equal, all their words' numbers confirm it
+        near = np.flatnonzero(same)
+        same[near] = (self.word[at[near, None] + np.arange(width)] == self.word[at[near + 1, None] + np.arange(width)]).all(axis=1)
         twice = np.zeros(len(at), bool)
         twice[1:] |= same
         twice[:-1] |= same

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .repeats import ANSWER, BOTH, Layout, Replies, answers, both, by_range, chosen, send
 from .store import discard, durable
-from .textblocks import _P, _Q, Block, Spans, give_back, mix64, slices
+from .textblocks import Block, Spans, blend, give_back, mix64, slices
 
-_LAST_ID = 2**63 - 1
+_LAST_ID, _OTHER = 2**63 - 1, 0x2545F4914F6CDD1D
 #: Bytes of pieces that are sorted in one go, but for pieces around one short string, which stay together.
 SORTED_BYTES = 1_000_000
 #: Bytes of texts that are hashed at a time; a worker needs some hundred times as much while it does.
@@ -115,10 +115,8 @@ class PieceBlock(Block):
         super().__init__(texts)
         self.width, self.short = width, max(1, width * 8 // 25)
         short, n = self.short, len(self.buffer)
-        values = self.buffer + np.uint64(1)
-        self.spans, self.other = Spans(values, _P), Spans(values, _Q)
-        k = np.arange(max(n - short + 1, 0))
-        value = mix64(self.spans.raw(k, k + short))
+        self.spans, self.other = Spans(self.buffer, 8), Spans(self.buffer, 8, _OTHER)
+        value = self.spans.fixed(short)
         pick = chosen(value, width - short + 1)
         whole = np.zeros(n + 1, np.int8)
         long_enough = self.last - self.first >= width
@@ -240,8 +238,8 @@ def _string_classes(body: np.ndarray, where: np.ndarray, into: np.ndarray, n: np
     mask = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
     before = _eight(body, low) & mask[head]
     after = (_eight(body, low + width - 8) >> (np.uint64(8) * (np.uint64(8) - tail.astype(np.uint64)) % np.uint64(64))) & mask[tail]
-    klass = mix64(group * np.uint64(_P) + (into[owner] - offset).astype(np.uint64))
-    return owner, offset, mix64(mix64(klass ^ before) ^ after)
+    klass = blend(group, (into[owner] - offset).astype(np.uint64))
+    return owner, offset, blend(blend(klass, before), after)
 
 
 def _together(rivals: np.ndarray, distinct: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -280,13 +278,13 @@ def _may_meet(d: np.ndarray, body: np.ndarray, where: np.ndarray, width: int, sh
     Beyond the short string, such a string takes in half of what is left on one side at least.
     """
     size, into = d["bytes"].astype(np.int64), d["into"].astype(np.int64)
-    spans = Spans(_gather(body, where, size) + np.uint64(1), _P)
+    spans = Spans(_gather(body, where, size), 8)
     low = np.cumsum(size) - size
     half = (width - short) // 2
     meets = np.zeros(len(d), bool)
     for salt, begin, end in ((1, low + into - half, low + into + short), (2, low + into, low + into + short + half)):
         fits = (begin >= low) & (end <= low + size)
-        view = np.where(fits, mix64(spans.raw(np.where(fits, begin, 0), np.where(fits, end, 0)) ^ d["key"]) ^ np.uint64(salt), np.uint64(0))
+        view = np.where(fits, mix64(spans.hash(np.where(fits, begin, 0), np.where(fits, end, 0)) ^ d["key"]) ^ np.uint64(salt), np.uint64(0))
         _, back, n = np.unique(view, return_inverse=True, return_counts=True)
         meets |= fits & (n[back] > 1)
     return meets

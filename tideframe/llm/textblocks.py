@@ -1,4 +1,4 @@
-"""Bytes of many texts as one numpy array: words, lines, and hashes of any span in constant time each."""
+"""Bytes of many texts as one numpy array: words, lines, and hashes of spans."""
 
 from __future__ import annotations
 
@@ -14,8 +14,10 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so that powers have inverses modulo 2**64
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_LENGTH = 0xD6E8FEB86659FD93
+#: Values that are hashed at a time, few enough to stay in a core's cache.
+_STEP = 1 << 15
 
 
 def give_back() -> None:
@@ -39,28 +41,69 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
-        grow = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))])
-        have = _tables[base] = grow(base), grow(pow(base, -1, 1 << 64))
-    return have
+def blend(a: np.ndarray, b: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
+    """One 64-bit number from two, in order; no linear relation between inputs carries over to the outcome."""
+    out = np.empty(len(a), np.uint64)
+    seeds = np.asarray(seed, np.uint64)
+    for k in range(0, len(a), _STEP):
+        x = a[k : k + _STEP] ^ (seeds[k : k + _STEP] if seeds.ndim else seeds)
+        x *= _A
+        x ^= x >> np.uint64(32)
+        x += b[k : k + _STEP]
+        x *= _B
+        x ^= x >> np.uint64(29)
+        x *= _C
+        x ^= x >> np.uint64(32)
+        out[k : k + _STEP] = x
+    return out
 
 
 class Spans:
-    """Hashes of spans of a sequence: equal spans hash equal, others differ but for one in about 2**64."""
+    """Hashes of spans of a sequence, by doubling.
 
-    def __init__(self, values: np.ndarray, base: int = _P):
-        up, self._down = _powers(base, len(values) + 1)
-        self._sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values.astype(np.uint64) * up[: len(values)], out=self._sums[1:])
+    A span whose length is a power of two has a number made of those of its halves; any other span is told by its length
+    and the two spans of the largest power of two that begin and end it. While ``bits`` of a value leave room, a number
+    holds the values themselves. Spans of one length that differ hash equal once in about 2**64; with another ``seed``
+    the numbers are independent ones.
+    """
 
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self._sums[end] - self._sums[start]) * self._down[start]
+    def __init__(self, values: np.ndarray, bits: int = 64, seed: int = 0):
+        self._base, self._bits, self._seed = values.astype(np.uint64), bits, seed
+        self._levels = {0: self._base}
+
+    def _salt(self, n: int) -> int:
+        return (self._seed + n * _LENGTH) % (1 << 64)
+
+    def level(self, k: int) -> np.ndarray:
+        """Numbers of all spans of 2**k values; empty where there is none. The last ones asked for are kept."""
+        at = max(x for x in self._levels if x <= k)
+        now = self._levels[at]
+        while at < k:
+            half = 1 << at
+            a, b = now[: max(len(now) - half, 0)], now[half:]
+            now = a | (b << np.uint64(self._bits * half)) if 2 * half * self._bits <= 64 else blend(a, b, self._salt(at))
+            at += 1
+        if k not in self._levels:
+            self._levels = {x: v for x, v in self._levels.items() if x == 0 or x == max(self._levels)} | {k: now}
+        return now
+
+    def fixed(self, width: int) -> np.ndarray:
+        """Hashes of all spans of ``width`` values."""
+        k = width.bit_length() - 1
+        now = self.level(k)
+        n = max(len(self._base) - width + 1, 0)
+        return blend(now[:n], now[width - (1 << k) :][:n], self._salt(width))
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64(self.raw(start, end) + (end - start).astype(np.uint64) * np.uint64(_Q))
+        """Hashes of the spans from ``start`` to before ``end``; an empty span has 0."""
+        n = end - start
+        out = np.zeros(len(start), np.uint64)
+        deep = np.frexp(n.astype(np.float64))[1] - 1
+        for k in np.unique(deep[n > 0]):
+            rows = np.flatnonzero((deep == k) & (n > 0))
+            now = self.level(int(k))
+            out[rows] = blend(now[start[rows]], now[end[rows] - (1 << int(k))], np.uint64(self._seed) + n[rows].astype(np.uint64) * np.uint64(_LENGTH))
+        return out
 
 
 class Block:
@@ -82,9 +125,9 @@ class Block:
         self.n_words = np.diff(self.word_first)
         self.word_doc = np.repeat(np.arange(len(self.texts)), self.n_words)
 
-    def word_spans(self) -> Spans:
-        """Hashes of runs of words, each word by its bytes."""
-        return Spans(Spans(self.buffer + np.uint64(1)).hash(self.start, self.end), _Q)
+    def word_values(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit number of each word, by its bytes."""
+        return Spans(self.buffer, 8, seed).hash(self.start, self.end)
 
 
 def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:

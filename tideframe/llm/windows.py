@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 
 from .repeats import ANSWER, BOTH, Layout, Replies, answers, both, chosen, send
 from .store import discard, durable
-from .textblocks import Block, give_back, mix64, slices
+from .textblocks import Block, Spans, give_back, mix64, slices
 
+_OTHER = 0x2545F4914F6CDD1D
 _SALT = np.array([0x51ED270B5C1D5A3F, 0xA24BAED4963EE407], np.uint64)
 
 
@@ -29,12 +30,11 @@ class WindowBlock(Block):
         super().__init__(texts)
         self.words()
         self.width, self.short = width, max(1, (width + 3) // 4)
-        self.spans = self.word_spans()
+        self.spans, self.other = Spans(self.word_values()), Spans(self.word_values(_OTHER), seed=_OTHER)
         n = len(self.start)
         at = np.arange(max(n - width + 1, 0))
         self.at = at[self.word_doc[at] == self.word_doc[at + width - 1]] if len(at) else at
-        k = np.arange(max(n - self.short + 1, 0))
-        self.value = self.spans.hash(k, k + self.short)
+        self.value = self.spans.fixed(self.short)
         self.pick = chosen(self.value, width - self.short + 1)[self.at] if len(self.at) else self.at
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -53,19 +53,25 @@ class WindowBlock(Block):
             out.append(np.where(fits, mix64(self.spans.hash(b, np.where(fits, b + 2 * s, b)) ^ salt), np.uint64(0)))
         return out[0], out[1]
 
-    def full(self, place: np.ndarray, right: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Key and first word of the full windows whose short one is at ``place`` and that hold a repeating doubled one."""
+    def names(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the full window at each of ``at``, by which windows are told to be equal."""
+        return self.spans.hash(at, at + self.width), self.other.hash(at, at + self.width)
+
+    def full(self, place: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """First word of the full windows whose short one is at ``place`` and that hold a repeating doubled one."""
         if not len(place) or not len(self.at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64)
         k = np.minimum(np.searchsorted(place, self.pick), len(place) - 1)
         into = self.pick - self.at
         use = (place[k] == self.pick) & ((right[k] & (into + 2 * self.short <= self.width)) | (left[k] & (into >= self.short)))
-        at = self.at[use]
-        return self.spans.hash(at, at + self.width), at
+        return self.at[use]
+
 
+def _level(docs: DataFrame, layout: Layout, told: DataFrame | None, keys: Callable, name: str, sure: bool = False) -> DataFrame:
+    """One level: keys of every text (with what its block was told before), and the answers to them.
 
-def _level(docs: DataFrame, layout: Layout, told: DataFrame | None, keys: Callable, name: str) -> DataFrame:
-    """One level: keys of every text (with what its block was told before), and the answers to them."""
+    ``sure``: keys come with a second hash, as the answers decide.
+    """
     rows = docs.select("doc_id", "text", layout.block())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,14 +86,14 @@ def _level(docs: DataFrame, layout: Layout, told: DataFrame | None, keys: Callab
         give_back()
         known, out = Replies(replies["packed"]), []
         for _, part in slices(texts["text"].combine_chunks()):
-            key, _ = keys(part, known)
+            key, check = keys(part, known)
             if len(key):
-                out.append(both(*send(layout, key, np.full(len(key), block[0].as_py()))))
+                out.append(both(*send(layout, key, np.full(len(key), block[0].as_py()), check)))
         return pa.Table.from_batches(out) if out else pa.table({"range": pa.nulls(0, pa.int64()), "packed": pa.nulls(0, pa.binary()), "block": pa.nulls(0, pa.int64())})
 
     sent = rows.mapInArrow(scan, BOTH) if told is None else rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(group, BOTH)
     sent = durable(sent, f"windows-{name}-sent")
-    out = durable(answers(sent), f"windows-{name}")
+    out = durable(answers(sent, sure), f"windows-{name}")
     discard(sent)
     return out
 
@@ -97,9 +103,9 @@ def remove_repeats(docs: DataFrame, width: int = 35, with_text: bool = False) ->
 
     One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_words, n_removed, kept_sha256 and,
     if asked for, kept, the kept words joined by one space. Words are runs of anything but space, tab and \\n \\v \\f \\r;
-    windows lie in one row's text and are judged on the input. Null text: as empty, no words. Texts under ``width`` words
-    lose nothing. Repeated rows are copies of each other and lose all they have in windows. Null doc_id: one block, else
-    like any. Empty table: no rows.
+    windows lie in one row's text and are judged on the input; they are told to be equal by 128 bits of hashes. Null text: as
+    empty, no words. Texts under ``width`` words lose nothing. Repeated rows are copies of each other and lose all they have
+    in windows. Null doc_id: like any. Empty table: no rows.
     """
     layout = Layout(docs)
 
@@ -115,16 +121,16 @@ def remove_repeats(docs: DataFrame, width: int = 35, with_text: bool = False) ->
         key = np.concatenate([right, left])
         return key[key != 0], None
 
-    def third(texts: list[bytes], known: Replies) -> tuple[np.ndarray, None]:
+    def third(texts: list[bytes], known: Replies) -> tuple[np.ndarray, np.ndarray]:
         b = WindowBlock(texts, width)
         _, place = b.anchors()
         right, left = (known.find(k)[0] for k in b.doubled(place))
-        return b.full(place, right, left)[0], None
+        return b.names(b.full(place, right, left))
 
     level1 = _level(docs, layout, None, first, "1")
     level2 = _level(docs, layout, level1, second, "2")
     discard(level1)
-    level3 = _level(docs, layout, level2, third, "3")
+    level3 = _level(docs, layout, level2, third, "3", sure=True)
     discard(level2)
 
     rows = docs.select("doc_id", "text", layout.block())
@@ -132,10 +138,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, with_text: bool = False) ->
 
     def judge(texts: pa.Table, replies: pa.Table) -> pa.Table:
         give_back()
-        known, n, gone, digests, kept = Replies(replies["packed"]), [], [], [], []
+        known, n, gone, digests, kept = Replies(replies["packed"], sure=True), [], [], [], []
         for _, part in slices(texts["text"].combine_chunks()):
             b = WindowBlock(part, width)
-            at = b.at[known.find(b.spans.hash(b.at, b.at + width))[0]] if len(b.at) else b.at
+            at = b.at[known.find(*b.names(b.at))[0]] if len(b.at) else b.at
             marks = np.zeros(len(b.start) + 1, np.int64)
             np.add.at(marks, at, 1)
             np.add.at(marks, at + width, -1)
