@@ -288,6 +288,9 @@ def test_bpe(docs, rows, empty):
     for t, b in zip(texts, own.encode_batch(texts), strict=True):
         ids = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(b, "<u4").tolist() == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    for n in (120, 500, 100_000):  # long words, most of which fail the speculation
+        long = "".join(rng.choice("etaoinshr") for _ in range(n))
+        assert own.encode(long) == library.encode(long, add_special_tokens=False).ids
     ids = bpe.encode_documents(docs, path)
     assert bag(ids.select("doc_id", F.size("ids").alias("n")), "doc_id", "n") == bag(bpe.encode_digest(docs, path), "doc_id", "n_tokens", )
     assert bpe.decode_documents(ids, path).count() == len(rows) and bpe.encode_digest(empty, path).count() == 0

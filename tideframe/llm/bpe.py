@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 import struct
@@ -29,6 +30,8 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer doesn't
 #: Chunks, and words, that a worker keeps in mind; when as many are new, those not seen since the last time are forgotten.
 _CACHE = 200_000
+#: Symbols up to which words are merged in step; each merge there moves a whole row.
+_LONG = 128
 
 
 def byte_alphabet() -> list[str]:
@@ -78,6 +81,7 @@ class WordBPE:
                 self._reach[t[:2]] = max(self._reach.get(t[:2], 0), len(t))
         if not self.suffix:
             self._final = self._inner
+        self._longest = max(map(len, self._final), default=0)
         self._merges = {}
         size = max(self.pieces) + 1
         self._left, self._right = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
@@ -143,9 +147,15 @@ class WordBPE:
         return holds
 
     def merge(self, words: list[str]) -> list[list[int]]:
-        """Exact merging: the first place of the merge list, leftmost first, until none applies; all words in step."""
+        """Exact merging: the first place of the merge list, leftmost first, until none applies.
+
+        Short words go in step with those of like length; a long one has a heap of its own, so that time is n log n.
+        """
         out: list[list[int]] = [[]] * len(words)
-        by_length = sorted(range(len(words)), key=lambda k: len(words[k]))
+        by_length = sorted((k for k in range(len(words)) if len(words[k]) <= _LONG), key=lambda k: len(words[k]))
+        for k in range(len(words)):
+            if len(words[k]) > _LONG:
+                out[k] = self._merge_long(self._symbols(words[k]))
         at = 0
         while at < len(by_length):
             stop, longest = at, len(words[by_length[at]]) + 4
@@ -180,6 +190,36 @@ class WordBPE:
                 place[r, j] = np.where(y >= 0, self._place(x, y), _NEVER)
         return [row[row >= 0].tolist() for row in ids]
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """Merging with a heap of (place, symbol) and links between the symbols that are left."""
+        n, merges, low = len(ids), self._merges, (1 << 32) - 1
+        row = np.array(ids, np.int32)
+        place = self._place(row[:-1], row[1:])
+        at = np.flatnonzero(place != _NEVER)
+        heap = np.sort((place[at].astype(np.int64) << 32) | at).tolist()  # a sorted list is a heap
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        push, pop = heapq.heappush, heapq.heappop
+        while heap:
+            entry = pop(heap)
+            i = entry & low
+            j = after[i]
+            if ids[i] < 0 or j >= n:
+                continue
+            found = merges.get((ids[i], ids[j]))
+            if found is None or found[0] != entry >> 32:
+                continue
+            made = ids[i] = found[1]
+            ids[j] = -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (found := merges.get((made, ids[k]))) is not None:
+                    push(heap, found[0] << 32 | i)
+            h = before[i]
+            if h >= 0 and (found := merges.get((ids[h], made))) is not None:
+                push(heap, found[0] << 32 | h)
+        return [t for t in ids if t >= 0]
+
     def _symbols(self, word: str) -> list[int]:
         return [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]]
 
@@ -195,7 +235,7 @@ class WordBPE:
     def _propose(self, word: str) -> list[int]:
         n, at, out, inner, final, reach = len(word), 0, [], self._inner, self._final, self._reach
         while True:
-            token = final.get(word[at:])
+            token = final.get(word[at:]) if n - at <= self._longest else None
             if token is not None:
                 out.append(token)
                 return out
