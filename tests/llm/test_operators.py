@@ -248,7 +248,9 @@ def test_quality_statistics(docs, rows, empty):
     assert quality.keep_good(docs, field).columns == docs.columns and quality.score_quality(empty, field).count() == 0
 
 
-def test_viterbi_is_the_best_path():
+@pytest.mark.parametrize("long", [512, 2])
+def test_viterbi_is_the_best_path(long, monkeypatch):
+    monkeypatch.setattr(quality, "_LONG", long)
     rng = np.random.default_rng(4)
     field = quality.LineField(rng.normal(size=(quality.FEATURES, 2)), rng.normal(size=(2, 2)))
     lengths = [0, 1, 5, 3, 0, 6]
@@ -263,6 +265,41 @@ def test_viterbi_is_the_best_path():
         assert value(got[a:b].tolist()) == pytest.approx(max(map(value, paths)))
 
 
+def graded(n, seed=9):
+    """Documents of plain lines, and poor ones of lines full of symbols with a plain line first."""
+    rng = random.Random(seed)
+    plain = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(8, 20))) + "."
+    noise = lambda: " ".join(rng.choice(["###", "$$$ |", "WIN!!", "| % |", "CLICK!!"]) + rng.choice("XYZ") for _ in range(rng.randint(8, 20)))
+    out = []
+    for k in range(n):
+        good = k % 3 > 0
+        out.append((k, "\n".join(plain() if good or j == 0 else noise() for j in range(rng.randint(3, 9))), int(good)))
+    return out, plain, noise
+
+
+def test_lines_get_labels_of_their_own(spark):
+    rows, plain, noise = graded(150)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (None, "x")], "doc_id long, text string").repartition(2)
+    marks = spark.createDataFrame([(k, q, 5) for k, _, q in rows] + [(None, 1, 5), (7, None, 5)], "doc_id long, quality int, text int")
+    field = quality.train_field(docs, marks)
+    texts = ["\n".join([plain(), plain(), noise(), noise(), plain(), plain()]), "\n".join([plain(), noise(), noise(), noise(), noise()]), plain()]
+    b = quality.LineBlock([t.encode() for t in texts])
+    got = field.viterbi(b.features, b.line_first)
+    assert got.tolist() == [1, 1, 0, 0, 1, 1, 1, 0, 0, 0, 0, 1]
+    out = quality.score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).orderBy("doc_id").collect()
+    assert 0.5 < out[0]["content_share"] < 1 and 0 < out[1]["content_share"] < 0.5 and [r["kept"] for r in out][:2] == [True, False]
+    again = quality.train_field(docs.repartition(5), marks)
+    assert (again.emit == field.emit).all() and (again.move == field.move).all()
+
+
+def test_fields_without_anything_to_learn(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    for d, m in ((docs, none), (empty, none), (empty, one), (docs, one)):
+        field = quality.train_field(d, m)
+        assert not field.emit.any() and quality.score_quality(d, field).where("NOT base_failed AND NOT kept").count() == 0
+
+
 def test_gradient():
     rng = np.random.default_rng(6)
     field = quality.LineField(rng.normal(size=(quality.FEATURES, 2)), rng.normal(size=(2, 2)))

@@ -1,8 +1,9 @@
 """Quality rules: base statistics of words and lines, and a linear-chain conditional random field over lines.
 
-Each line of a text is content or boilerplate. The field's weights are trained here from labelled documents: a
-document's quality is the label of its lines, and neighbours pull on each other, so short plain lines among boilerplate
-go with it. Viterbi decoding labels the lines; the share of bytes in content lines decides.
+Each line of a text is content or boilerplate. Only documents are labelled, so the lines' labels are latent: a model of
+single lines, told nothing but the quality of their documents, gives the first ones; then fields are fitted to labelled
+lines and label them anew. Runs of poor documents' lines, put into good documents, show the fields how boilerplate begins
+and ends. Viterbi decoding labels the lines of a text; the share of bytes in content lines decides.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ _BINS = {
     "echo": np.array([0.05, 0.2, 0.5]),
     "length": np.array([3.0, 6.0, 10.0, 20.0]),
 }
+#: Lines beyond which a sequence is decoded by itself, and cut in training.
+_LONG = 512
 FEATURES = sum(len(b) + 1 for b in _BINS.values()) + 2
 
 
@@ -113,9 +116,9 @@ class LineBlock(Block):
         return found
 
 
-def _steps(first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Step t and the sequences that have one, for sequences of rows first[d] to first[d + 1]."""
-    lengths = np.diff(first)
+def _steps(first: np.ndarray, lengths: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Step t and the sequences that have one, for sequences of rows first[d] to first[d + 1] or of given lengths."""
+    lengths = np.diff(first) if lengths is None else lengths
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
     for t in range(int(lengths[0]) if len(lengths) else 0):
@@ -132,12 +135,21 @@ class LineField:
         return self.emit[features].sum(axis=1)
 
     def viterbi(self, features: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The best labels of each sequence, all sequences one step at a time; of equal paths the one with content."""
+        """The best labels of each sequence; of equal paths the one with content.
+
+        Short sequences go one step at a time all together, long ones each by themselves, so that one very long text
+        among short ones costs no more than its lines.
+        """
         unary = self.scores(features)
+        labels = np.zeros(len(features), np.int8)
+        lengths = np.diff(first)
+        for d in np.flatnonzero(lengths > _LONG):
+            labels[first[d] : first[d + 1]] = self._one(unary[first[d] : first[d + 1]])
         n = len(first) - 1
         best = np.zeros((n, 2))
         back = np.zeros((len(features), 2), np.int8)
-        for t, seq in _steps(first):
+        steps = list(_steps(first, np.where(lengths > _LONG, 0, lengths)))
+        for t, seq in steps:
             row = first[seq] + t
             if t:
                 paths = best[seq][:, :, None] + self.move[None]
@@ -145,15 +157,30 @@ class LineField:
                 best[seq] = paths.max(axis=1) + unary[row]
             else:
                 best[seq] = unary[row]
-        labels = np.zeros(len(features), np.int8)
         state = (best[:, 1] >= best[:, 0]).astype(np.int8)
-        for t, seq in reversed(list(_steps(first))):
+        for t, seq in reversed(steps):
             row = first[seq] + t
             ends = row == first[seq + 1] - 1
             state[seq] = np.where(ends, state[seq], np.take_along_axis(back[np.minimum(row + 1, len(features) - 1)], state[seq][:, None], 1)[:, 0])
             labels[row] = state[seq]
         return labels
 
+    def _one(self, unary: np.ndarray) -> np.ndarray:
+        """The best labels of one sequence."""
+        (stay0, to1), (to0, stay1) = self.move.tolist()
+        (b0, b1), *rest = unary.tolist()
+        back = []
+        for u0, u1 in rest:
+            from1 = b1 + to0 >= b0 + stay0, b1 + stay1 >= b0 + to1
+            back.append(from1)
+            b0, b1 = (b1 + to0 if from1[0] else b0 + stay0) + u0, (b1 + stay1 if from1[1] else b0 + to1) + u1
+        state = int(b1 >= b0)
+        out = [state]
+        for from1 in reversed(back):
+            state = int(from1[state])
+            out.append(state)
+        return np.array(out[::-1], np.int8)
+
     def gradient(self, features: np.ndarray, first: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Log likelihood of the labels and its gradient, by the forward-backward recursion."""
         unary = self.scores(features)
@@ -185,13 +212,18 @@ class LineField:
         return float(fit), g_emit, g_move
 
     @classmethod
-    def fit(cls, features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1.0) -> LineField:
-        """Maximum likelihood with an L2 penalty, by Adam over all sequences; the same input gives the same weights."""
+    def fit(cls, features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1.0, moves: bool = True) -> LineField:
+        """Maximum likelihood with an L2 penalty, by Adam over all sequences; the same input gives the same weights.
+
+        Without ``moves`` lines are taken one by one.
+        """
         field = cls(np.zeros((FEATURES, 2)), np.zeros((2, 2)))
         params = [field.emit, field.move]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for k in range(1, rounds + 1):
             _, *grads = field.gradient(features, first, labels)
+            if not moves:
+                grads[1][:] = 0
             for i, (p, g) in enumerate(zip(params, grads, strict=True)):
                 g = (g - decay * p) / max(len(first) - 1, 1)
                 m[i] = 0.9 * m[i] + 0.1 * g
@@ -200,24 +232,87 @@ class LineField:
         return field
 
 
-def train_field(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_bytes: int = 20_000) -> LineField:
-    """The field, from at most about ``most_docs`` labelled documents of at most ``most_bytes`` bytes.
+def _stretches(lines: list[np.ndarray], labels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All lines, where sequences of at most _LONG of them begin, and their labels."""
+    sizes = [min(_LONG, len(x) - k) for x in lines for k in range(0, len(x), _LONG)]
+    return np.concatenate(lines), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.concatenate(labels)
+
+
+def _line_labels(field: LineField, lines: list[np.ndarray], good: np.ndarray) -> list[np.ndarray]:
+    """Labels of lines by the field and by their document's quality: content has the better half of a good document's
+    lines at least, and of a poor one's not more than that."""
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+    x = np.concatenate(lines)
+    every, u = field.viterbi(x, first), field.scores(x)
+    margin, out = u[:, 1] - u[:, 0], []
+    for d, g in enumerate(good):
+        own, lead = every[first[d] : first[d + 1]].astype(np.int64), margin[first[d] : first[d + 1]]
+        better = np.argsort(np.argsort(-lead, kind="stable"), kind="stable") < len(own) / 2
+        if 2 * own.sum() < len(own) if g else 2 * own.sum() > len(own):
+            own = np.where(better, own if not g else 1, 0 if not g else own)
+        out.append(own)
+    return out
+
 
-    The sample is drawn by a hash of doc_id, so reruns agree; its ids, bounded by ``most_docs``, are broadcast and texts
-    aren't moved to find it. Without a labelled document of either quality every line is
-    taken for content.
+def _spliced(lines: list[np.ndarray], labels: list[np.ndarray], good: np.ndarray, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Good documents, each with a run of boilerplate lines of some poor one put in at a random place."""
+    rng = np.random.default_rng(seed)
+    poor = [x[y == 0] for x, y, g in zip(lines, labels, good, strict=True) if not g and (y == 0).any()]
+    out_x, out_y = [], []
+    for x, y in [(x, y) for x, y, g in zip(lines, labels, good, strict=True) if g] if poor else []:
+        run = poor[rng.integers(len(poor))]
+        k = int(rng.integers(1, min(len(run), 8) + 1))
+        low, at = int(rng.integers(0, len(run) - k + 1)), int(rng.integers(0, len(x) + 1))
+        out_x.append(np.concatenate([x[:at], run[low : low + k], x[at:]]))
+        out_y.append(np.concatenate([y[:at], np.zeros(k, np.int64), y[at:]]))
+    return out_x, out_y
+
+
+def fit_field(lines: list[np.ndarray], good: np.ndarray, rounds: int = 2, seed: int = 11) -> LineField:
+    """The field from the features of each document's lines and whether the document is good."""
+    lines, good = [x for x in lines if len(x)], np.array([g for x, g in zip(lines, good, strict=True) if len(x)], bool)
+    if good.all() or not good.any():
+        return LineField(np.zeros((FEATURES, 2)), np.zeros((2, 2)))
+    labels = [np.full(len(x), int(g)) for x, g in zip(lines, good, strict=True)]
+    field = LineField.fit(*_stretches(lines, labels), moves=False)
+    for k in range(rounds):
+        labels = _line_labels(field, lines, good)
+        more, theirs = _spliced(lines, labels, good, seed + k)
+        field = LineField.fit(*_stretches(lines + more, labels + theirs))
+    return field
+
+
+def train_field(docs: DataFrame, labels: DataFrame, most_docs: int = 2000) -> LineField:
+    """The field, from at most about ``most_docs`` labelled documents, half of them of each quality.
+
+    The sample is drawn by a hash of doc_id, so reruns agree; its ids, bounded by ``most_docs``, are broadcast. Executors
+    send their lines' features, one byte each, and no text. Documents that fail the base rules teach nothing, as the
+    field has no say in them. Without a document of either quality that is left, or with empty tables, every line is taken
+    for content; null ids, texts and qualities teach nothing.
     """
-    marked = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    marked = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     grain = 1 << 30
     keep = F.lit(False)
     for q, n in counts.items():
         keep = F.when(F.col("quality") == q, F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < min(grain, grain * (most_docs // 2) // max(n, 1))).otherwise(keep)
-    sample = docs.select("doc_id", "text").where(F.octet_length("text").between(1, most_bytes)).join(F.broadcast(marked.where(keep)), "doc_id").toPandas().sort_values(["doc_id", "text"])
-    if sample["quality"].nunique() < 2:
-        return LineField(np.zeros((FEATURES, 2)), np.zeros((2, 2)))
-    block = LineBlock([t.encode() for t in sample["text"]])
-    return LineField.fit(block.features, block.line_first, sample["quality"].to_numpy()[block.line_doc])
+    sample = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(marked.where(keep)), "doc_id").select("doc_id", "quality", "text")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch["text"]):
+                block = LineBlock(texts)
+                failed = base_failed(block.base())
+                parts = [b"" if failed[d] else block.features[block.line_first[d] : block.line_first[d + 1]].astype(np.uint8).tobytes() for d in range(len(texts))]
+                yield pa.record_batch([batch["doc_id"].slice(at, len(texts)), batch["quality"].slice(at, len(texts)), pa.array(parts, pa.binary())], ["doc_id", "quality", "lines"])
+
+    id_type = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.mapInArrow(lines, f"doc_id {id_type}, quality int, lines binary").toPandas().sort_values(["doc_id", "quality", "lines"])
+    return fit_field([np.frombuffer(x, np.uint8).reshape(-1, len(_BINS) + 1).astype(np.int64) for x in rows["lines"]], rows["quality"].to_numpy() == 1)
+
+
+def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
+    return (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
 
 
 def _verdicts(texts: list[bytes], field: LineField, least_share: float) -> dict[str, np.ndarray]:
@@ -229,7 +324,7 @@ def _verdicts(texts: list[bytes], field: LineField, least_share: float) -> dict[
     np.add.at(total, block.line_doc, size)
     np.add.at(content, block.line_doc, size * lines)
     out["content_share"] = np.where(total > 0, content / np.maximum(total, 1), 0.0)
-    out["base_failed"] = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
+    out["base_failed"] = base_failed(out)
     out["kept"] = ~out["base_failed"] & (out["content_share"] >= least_share)
     return out
 
