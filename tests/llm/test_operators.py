@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tideframe.llm import bpe, components, langid, licenses, merkle, mixing, quality, repeats, simhash, suffixes, textblocks, toxicity, windows
+from tideframe.llm import bpe, components, langid, licenses, merkle, mixing, quality, queries, repeats, simhash, suffixes, textblocks, toxicity, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, block long, fp string, rank int"
@@ -121,7 +121,7 @@ def test_no_hash_takes_twins_for_equal(spark):
 
 def test_spans():
     rng = np.random.default_rng(7)
-    v = rng.integers(0, 3, 700)
+    v = rng.integers(0, 3, 700).astype(np.uint8)
     for bits in (8, 64):
         s = textblocks.Spans(v, bits)
         for width in (1, 2, 3, 8, 9, 32, 33, 100, 700, 701):
@@ -131,6 +131,20 @@ def test_spans():
             assert len({(tuple(v[k : k + width]), int(h)) for k, h in zip(at, got, strict=True)}) == len({tuple(v[k : k + width]) for k in at}) == len(set(got.tolist()))
 
 
+def test_word_values():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ab") for _ in range(n)) for n in (*range(1, 40), 300, 300) for _ in range(20)]
+    words += [w + "\0" for w in words[:200]]
+    b = textblocks.Block([" ".join(words).encode(), b"", b"ab"])
+    b.words()
+    for seed in (0, 2**63 + 5):
+        got = b.word_values(seed).tolist()
+        assert len(got) == len(words) + 1 and len(set(got)) == len({*words, "ab"}) == len(set(zip(got, [*words, "ab"], strict=True)))
+    none = textblocks.Block([b" ", b""])
+    none.words()
+    assert len(none.word_values()) == 0
+
+
 def byte_windows(rows, width):
     first = {}
     key = lambda d: 2**63 - 1 if d is None else d
@@ -367,13 +381,78 @@ def test_licenses(docs, rows, empty, spark):
     assert "Python" not in plan and "Exchange" not in plan.split("InMemory")[0]
 
 
-def test_toxicity(docs, rows, empty):
-    rng = random.Random(2)
+def worded(n=240, seed=2):
+    rng = random.Random(seed)
     plain = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(300)]
-    make = lambda bad: " ".join([*rng.sample(plain, 40), *(rng.sample(["zork", "zorkish", "blarg"], rng.randint(1, 2)) if bad else [])])
-    y = np.arange(200) % 5 == 0
-    texts = [make(b) for b in y]
-    chain = toxicity.train_chain(texts, {"toxic": y.astype(int), "worse": (y & (np.arange(200) % 2 == 0)).astype(int)}, np.arange(200) % 4)
-    p = chain.predict([make(True), make(False), "", "Blarg! " + make(False)])[:, 0] >= chain.thresholds[0]
-    assert p.tolist() == [True, False, False, True]
+    make = lambda bad, poor: " ".join([*rng.sample(plain, 40), *(rng.sample(["zork", "zorkish", "blarg"], rng.randint(1, 2)) if bad else [])]) + (" $$ ## %% ||" * 6 if poor else "")
+    return make, np.arange(n) % 5 == 0, np.arange(n) % 3 == 0
+
+
+def test_toxicity():
+    make, y, poor = worded()
+    found = [toxicity.features(make(b, p).encode()) for b, p in zip(y, poor, strict=True)]
+    chain = toxicity.train_chain(found, {"poor": poor, "toxic": y, "both": y & poor}, np.arange(len(y)) % 4, {"both": ("toxic", "poor")})
+    texts = [t.encode() for t in (make(True, False), make(False, False), "", "Blarg! " + make(False, False), make(True, True), make(False, True))]
+    p = chain.predict(texts)
+    assert (p[:, 1] >= chain.thresholds[1]).tolist() == [True, False, False, True, True, False]
+    assert (p[:, 0] >= chain.thresholds[0]).tolist() == [False, False, False, False, True, True]
+    assert (p[:, 2] <= p[:, :2].min(axis=1)).all() and p[4, 2] > 0.5
+
+    # prediction by hand: each link on the text's own features and the odds before it
+    for t, got in zip(texts, p, strict=True):
+        odds, probs = [], []
+        for k, w in enumerate(chain.weights):
+            z = sum(w[chain.columns[h]] for h in toxicity.features(t).tolist() if h in chain.columns)
+            z += sum(w[len(chain.columns) + j] * o for j, o in enumerate(odds)) + w[-1]
+            q = 1 / (1 + np.exp(-z))
+            q = min(q * probs[1], *probs) if k == 2 else q
+            probs.append(q)
+            odds.append(np.log(np.clip(q, 1e-6, 1 - 1e-6) / (1 - np.clip(q, 1e-6, 1 - 1e-6))))
+        assert got == pytest.approx(probs)
+
+
+def test_logistic_is_at_its_optimum():
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 2, (300, 6)).astype(float), rng.integers(0, 4, 300) == 0
+    w = toxicity.fit_logistic(x, y.astype(int))
+
+    def value(w):
+        z = x @ w[:-1] + w[-1]
+        loss = np.log1p(np.exp(-np.where(y, z, -z))) * np.where(y, 150 / y.sum(), 150 / (~y).sum())
+        return loss.sum() + (w[:-1] ** 2).sum() / 2
+
+    assert all(value(w) <= value(w + d) + 1e-6 for d in rng.normal(0, 0.05, (50, 7)))
+
+
+def test_telling_features():
+    rng = np.random.default_rng(1)
+    y = (np.arange(2000) % 10 == 0).astype(int)
+    chance = [np.flatnonzero(rng.random(500) < 0.05) for _ in y]
+    found = [np.concatenate([c, [500] if b and rng.random() < 0.3 else []]).astype(int) for c, b in zip(chance, y, strict=True)]
+    doc = np.repeat(np.arange(len(y)), [len(f) for f in found])
+    assert toxicity._telling(np.concatenate(found), y, 501, doc).tolist() == [500]
+
+
+def test_toxicity_of_tables(spark, docs, rows, empty):
+    make, y, poor = worded()
+    told = spark.createDataFrame([(k, make(b, p)) for k, (b, p) in enumerate(zip(y, poor, strict=True))] + [(5000, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(b), int(not p), 1) for k, (b, p) in enumerate(zip(y.tolist(), poor.tolist(), strict=True))] + [(None, 1, 1, 1), (5000, 1, 0, 1), (1, None, None, 1)], "doc_id long, toxic int, quality int, text int")
+    kinds = {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    chain = toxicity.train_toxicity(told, marks, kinds)
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score_toxicity(told, chain).collect()}
+    assert [got[k] for k in range(len(y))] == y.tolist() and not got[5000]
     assert toxicity.score_toxicity(docs, chain).count() == len(rows) and toxicity.score_toxicity(empty, chain).count() == 0
+    none = marks.where("false")
+    for d, m in ((empty, marks), (docs, none), (empty, none), (told, marks.where("doc_id > 1000000")), (told, marks.where("toxic = 0"))):
+        blank = toxicity.train_toxicity(d, m, kinds)
+        assert toxicity.score_toxicity(docs, blank).where("toxic").count() == 0
+
+
+def test_queries_on_a_small_folder(spark, tmp_path):
+    """op2, op5 and op8 as they are registered, over the fixture and over empty tables."""
+    rows = corpus(40, 3)
+    for name, part in (("full", rows), ("empty", [])):
+        spark.createDataFrame(part, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(r[0], int(r[0] % 4 > 0), int(r[0] % 5 == 0)) for r in part if r[0] is not None], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        for op in ("op2_language_id", "op4_license_scan", "op5_toxicity_chain", "op8_quality_rules"):
+            assert queries.QUERIES[op](spark, f"{tmp_path}/{name}").count() == len(part)

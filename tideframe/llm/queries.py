@@ -44,10 +44,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels know toxic documents and poor ones; the chain's categories are toxic, and toxic in poor text."""
+    """The labels know poor documents and toxic ones; the chain is poor, toxic, and toxic in poor text."""
     docs = table(spark, sf_dir, "documents")
-    categories = {"toxic": F.col("toxic") == 1, "toxic_poor": (F.col("toxic") == 1) & (F.col("quality") == 0)}
-    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels"), categories))
+    poor, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    chain = train_toxicity(docs, table(spark, sf_dir, "labels"), {"poor": poor, "toxic": toxic, "toxic_poor": toxic & poor}, {"toxic_poor": ("toxic", "poor")})
+    return score_toxicity(docs, chain)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,11 @@ def blend(a: np.ndarray, b: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarra
     return out
 
 
+def eights(values: np.ndarray) -> np.ndarray:
+    """A view of bytes in which each place holds the eight from there on as one number."""
+    return np.ndarray((max(len(values) - 7, 0),), "<u8", values.tobytes(), 0, (1,))
+
+
 class Spans:
     """Hashes of spans of a sequence, by doubling.
 
@@ -68,8 +73,9 @@ class Spans:
     """
 
     def __init__(self, values: np.ndarray, bits: int = 64, seed: int = 0):
-        self._base, self._bits, self._seed = values.astype(np.uint64), bits, seed
-        self._levels = {0: self._base}
+        self._bits, self._seed, self._n = bits, seed, len(values)
+        self._levels = {3: eights(values).copy()} if bits == 8 else {}
+        self._levels[0] = values if bits == 8 else values.astype(np.uint64)
 
     def _salt(self, n: int) -> int:
         return (self._seed + n * _LENGTH) % (1 << 64)
@@ -77,21 +83,21 @@ class Spans:
     def level(self, k: int) -> np.ndarray:
         """Numbers of all spans of 2**k values; empty where there is none. The last ones asked for are kept."""
         at = max(x for x in self._levels if x <= k)
-        now = self._levels[at]
+        now = self._levels[at].astype(np.uint64, copy=False)
         while at < k:
             half = 1 << at
             a, b = now[: max(len(now) - half, 0)], now[half:]
             now = a | (b << np.uint64(self._bits * half)) if 2 * half * self._bits <= 64 else blend(a, b, self._salt(at))
             at += 1
         if k not in self._levels:
-            self._levels = {x: v for x, v in self._levels.items() if x == 0 or x == max(self._levels)} | {k: now}
+            self._levels = {x: v for x, v in self._levels.items() if x in (0, 3) or x == max(self._levels)} | {k: now}
         return now
 
     def fixed(self, width: int) -> np.ndarray:
         """Hashes of all spans of ``width`` values."""
         k = width.bit_length() - 1
         now = self.level(k)
-        n = max(len(self._base) - width + 1, 0)
+        n = max(self._n - width + 1, 0)
         return blend(now[:n], now[width - (1 << k) :][:n], self._salt(width))
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -126,8 +132,19 @@ class Block:
         self.word_doc = np.repeat(np.arange(len(self.texts)), self.n_words)
 
     def word_values(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit number of each word, by its bytes."""
-        return Spans(self.buffer, 8, seed).hash(self.start, self.end)
+        """A 64-bit number of each word, by its bytes: of up to 16 by its first and last eight, of longer ones by doubling."""
+        n = self.end - self.start
+        eight = eights(np.concatenate([self.buffer, np.zeros(8, np.uint8)]))
+        size = np.minimum(n, 8).astype(np.uint64)
+        mask = np.uint64(2**64 - 1) >> (np.uint64(64) - size * np.uint64(8)) if len(n) else size
+        head = eight[self.start] & mask
+        out = blend(head, np.where(n > 8, eight[np.maximum(self.end - 8, 0)], np.uint64(0)), np.uint64(seed) + n.astype(np.uint64) * np.uint64(_LENGTH))
+        long = np.flatnonzero(n > 16)
+        if len(long):
+            stop = np.cumsum(n[long])
+            own = self.buffer[np.arange(stop[-1]) + np.repeat(self.start[long] - (stop - n[long]), n[long])]
+            out[long] = Spans(own, 8, seed).hash(stop - n[long], stop)
+        return out
 
 
 def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
