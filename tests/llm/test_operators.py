@@ -228,20 +228,92 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 200: 200, 201: 200, 202: 200, 203: 200}
 
 
-def test_merkle(docs, rows, empty, spark):
+def tree_of(text):
+    """Sections of paragraphs of leaves, by hand: (root, [(node, [(node, [leaf])])])."""
+    sha = lambda level, t: hashlib.sha256((level + t).encode()).hexdigest()
+    text = text.replace("\x1d", "\x1d0").replace("\x1e", "\x1d1")
+    ends = lambda t: xxhash.xxh64_intdigest(t.rstrip(" ").encode(), 42) % 2**64
+    sections = []
+    for s in text.split("\n\n"):
+        paragraphs = []
+        for p in s.split("\n"):
+            blocks = [""]
+            tokens = re.findall(merkle._TOKEN, p)
+            for k, t in enumerate(tokens):
+                blocks[-1] += t
+                h = ends(t)
+                if (h - 2**64 if h >> 63 else h) % 8 == 0 and k + 1 < len(tokens):
+                    blocks.append("")
+            leaves = [sha("b", b) for b in blocks]
+            paragraphs.append((sha("p", "".join(leaves)), leaves))
+        sections.append((sha("s", "".join(n for n, _ in paragraphs)), paragraphs))
+    return sha("r", "".join(n for n, _ in sections)), sections
+
+
+def shown(tree):
+    none = hashlib.sha256(b"b").hexdigest()
+    return tree[0] + ":" + "/".join(n[:8] + "=" + ";".join(",".join([m[:8], *[x[:8] for x in ls if x != none]]) for m, ls in ps) for n, ps in tree[1])
+
+
+def alike(a, b):
+    (ra, sa), (rb, sb) = ((x.split(":")[0], x.split(":")[1].split("/")) for x in (a, b))
+    leaves = lambda ps: {x for p in ps for x in p.split(",")[1:]}
+    under = lambda ss: [p for s in ss for p in s.split("=")[1].split(";")]
+    n = len(leaves(under(sa))) + len(leaves(under(sb)))
+    if ra == rb or n == 0:
+        return float(ra == rb)
+    pa, pb = (set(under([s for s in x if s not in y])) for x, y in ((sa, sb), (sb, sa)))
+    la, lb = leaves(pa - pb), leaves(pb - pa)
+    return min(1 - len(la ^ lb) / n, 1 - 1 / (n + 1))
+
+
+@pytest.mark.parametrize("per_range", [1024, 3])
+def test_merkle(docs, rows, empty, spark, per_range, monkeypatch):
+    monkeypatch.setattr(merkle, "_ROWS_PER_RANGE", per_range)
     got = merkle.compare_with_edit(docs).collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
-    want = collections.Counter()
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - 2**64 * (h >> 63)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1] or "")), reverse=True)
+    want = {}
     for r, nxt in zip(order, order[1:] + order[:1], strict=True):
         t, u = r[1] or "", nxt[1] or ""
         half = len(t) // 2
-        want[r[0], len(t), hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()] += 1
-    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
-    text = {r[0]: r[1] or "" for r in rows if r[0] is not None}
-    named = [r for r in got if r["doc_id"] is not None]
-    assert len({(text[r["doc_id"]], r["fingerprint"]) for r in named}) == len({text[r["doc_id"]] for r in named}) == len({r["fingerprint"] for r in named})
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+        edited = t[: len(t) - half] + u[:half]
+        f, g, h = (shown(tree_of(x)) for x in (t, edited, u))
+        key = r[0], len(t), hashlib.sha256(edited.encode()).hexdigest(), f, g
+        want.setdefault(key, []).append((round(alike(f, g), 9), round(alike(f, h), 9)))
+    have = {}
+    for r in got:
+        have.setdefault(tuple(r[c] for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")), []).append((round(r["near_edited"], 9), round(r["near_next"], 9)))
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
     assert merkle.compare_with_edit(empty).count() == 0
+
+
+def test_merkle_of_many_rows_without_or_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "_ROWS_PER_RANGE", 8)
+    rows = [(None, f"null {k}") for k in range(200)] + [(7, f"seven {k}") for k in range(300)] + [(k, f"one {k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_tie", F.xxhash64("text"))
+    place, _ = merkle._ranges(df)
+    per = collections.Counter(r[0] for r in df.select(place).collect())
+    assert max(per.values()) < 40
+    got = merkle.with_next(df.select("doc_id", "text")).collect()
+    after = {r["text"]: r["next_text"] for r in got}
+    assert len(after) == len(rows) == len(set(after.values()))
+    ids, at = {t: d for d, t in rows}, "one 299"
+    seen = []
+    for _ in rows:
+        seen.append(ids[at])
+        at = after[at]
+    assert at == "one 299" and seen == sorted((x for x in seen if x is not None), reverse=True) + [None] * 200
+
+
+def test_an_edit_changes_few_leaves(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    text = "\n\n".join(" ".join(words[k : k + 300]) for k in (0, 300, 600))
+    edits = ["x " + text, text.replace(words[450], "y", 1), text.replace("\n\n", "\n\nnew one here\n\n", 1), " ".join(reversed(words)), text]
+    d = spark.createDataFrame([(text, e) for e in edits], "a string, b string")
+    got = [r[0] for r in d.select(merkle.likeness(merkle.fingerprint_of(F.col("a")), merkle.fingerprint_of(F.col("b")))).collect()]
+    assert all(0.95 < x < 1 for x in got[:3]) and got[3] < 0.3 and got[4] == 1
     d = spark.createDataFrame([("a\nb\n\nc d\ne", "a\nx\n\nc d\ne"), ("a\n\nb", "a\n\nb\n\nc"), ("a", "a")], "a string, b string")
     found = d.select(merkle.changed_paragraphs(merkle.merkle_tree(F.col("a")), merkle.merkle_tree(F.col("b"))).alias("x")).collect()
     assert [[tuple(y) for y in r["x"]] for r in found] == [[(0, 1)], [(2, 0)], []]

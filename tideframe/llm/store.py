@@ -44,6 +44,11 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def task_count(spark: SparkSession, size: int, most: int = 32_000_000) -> int:
+    """Partitions for a shuffle of ``size`` bytes: the session's number, or more if they would hold over ``most`` each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
+
+
 @contextlib.contextmanager
 def _shuffle_files_freed(spark: SparkSession):
     """Within this block a finished query's shuffle files go at once instead of waiting for a driver's collection."""
