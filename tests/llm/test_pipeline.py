@@ -5,7 +5,7 @@ import hashlib
 
 import numpy as np
 import pytest
-import xxhash
+from test_nearcopies import brute
 from test_operators import SCHEMA, WORD, corpus
 
 import corpus_pipeline
@@ -71,19 +71,12 @@ def test_stages(spark, tmp_path):
     texts = {r[0]: r[1] for r in rows if r[0] in kept}
     assert 20 < len(texts) < len(rows)
 
-    def fingerprint(t):
-        w = WORD.findall("".join(c.lower() if c.isascii() else c for c in t))
-        hs = [xxhash.xxh64_intdigest(" ".join(w[k : k + 4]).encode(), 42) for k in range(max(len(w) - 3, 1))]
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-    fps = {k: fingerprint(t) for k, t in texts.items()}
-    group = {k: k for k in fps}
-    for a in sorted(fps):
-        for b in sorted(fps):
-            if b < a and (fps[a] ^ fps[b]).bit_count() <= 4 and group[a] != group[b]:
-                old, new = max(group[a], group[b]), min(group[a], group[b])
-                group = {k: new if g == old else g for k, g in group.items()}
-    texts = _keep_bytes({k: t for k, t in texts.items() if group[k] == k})
+    ids = sorted(texts)
+    _, group = brute([(k, texts[k]) for k in ids])
+    first = {}
+    for k, g in zip(ids, group, strict=True):
+        first.setdefault(g, k)
+    texts = _keep_bytes({k: texts[k] for k in first.values()})
     copies = _copies(texts, {r[0]: r[3] for r in rows})
     library, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), collections.Counter()
     for k, t in texts.items():
@@ -96,3 +89,9 @@ def test_stages(spark, tmp_path):
 
 def test_stages_keep_the_columns_of_documents():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "suffix_dedup", "mixing", "bpe_tokens"]
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
