@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tideframe.llm import suffixes
 from tideframe.llm.bpe import encode_digest
 from tideframe.llm.mixing import mix_sources
-from tideframe.llm.nearcopies import one_of_each
+from tideframe.llm.nearcopies import one_of_each, row_id
 from tideframe.llm.quality import keep_good, train_field
 from tideframe.llm.store import bound_batches, durable
 
@@ -38,9 +38,14 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources to their weights takes it, as whole rows."""
-    taken = mix_sources(docs, cut="documents").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    mixed = docs.select(*COLUMNS).join(durable(taken.where(F.col("_copies") > 0), "pipeline-mix"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    """Each document as often as the mix of sources to their weights takes it, as whole rows.
+
+    Rows are told apart by all they hold, not by doc_id; full duplicates are each taken as often as one of them.
+    """
+    rows = docs.select(*COLUMNS)
+    rows = rows.withColumn("_row", row_id(rows))
+    taken = mix_sources(rows, cut="documents", keep=("_row",)).groupBy("_row").agg(F.max("copies").alias("_copies")).where(F.col("_copies") > 0)
+    mixed = rows.join(durable(taken, "pipeline-mix"), "_row")
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
 
 
