@@ -95,3 +95,19 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_tells_rows_of_one_id_apart(spark):
+    rows = [(None if k % 3 else 5, f"w{k} " * (1 + k % 7), "en", "ab"[k % 2], k) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = collections.Counter(tuple(r) for r in corpus_pipeline.mixing(spark, docs, "").collect())
+    total, taken = collections.Counter(), collections.Counter()
+    for r in rows:
+        total[r[3]] += len(r[1].split())
+    for r, n in got.items():
+        taken[r[3]] += n * len(r[1].split())
+    assert set(got) <= set(rows) and max(got.values()) <= 2
+    full = 1.5 * (total["a"] + total["b"])
+    a = min(5 / 7 * full, 2 * total["a"])
+    assert abs(taken["a"] - a) <= 7 and abs(taken["b"] - (full - a)) <= 7
+    assert got == collections.Counter(tuple(r) for r in corpus_pipeline.mixing(spark, docs.repartition(5), "").collect())

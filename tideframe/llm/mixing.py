@@ -71,8 +71,9 @@ def mix_sources(
     cut: str = "words",
     seed: str = "mix",
     rows_per_range: int = 4096,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, copies.
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, copies, and the columns named in ``keep``.
 
     docs: doc_id, source, text; other columns are ignored. ``weights`` are given to the sources in code point order,
     null last, and repeat. ``share`` times all sizes is dealt out. With ``cut="words"`` the document at the budget gives
@@ -80,13 +81,14 @@ def mix_sources(
     whole documents are taken, the one at the budget if at least half of it fits; ``copies`` says how often.
 
     Null source: a source of its own, last. Null or wordless text: size 0, nothing taken; with ``cut="documents"`` such a
-    document is taken once, as it costs nothing. Null doc_id: a key like any other. Rows equal in doc_id are ordered by
-    size; full duplicates are interchangeable. Empty table: no rows. Reruns agree.
+    document is taken once, as it costs nothing. Null doc_id: the key comes from the text. Rows equal in doc_id are ordered
+    by size and then by ``keep``; full duplicates are interchangeable. Empty table: no rows. Reruns agree.
     """
     if cut not in ("words", "documents"):
         raise ValueError(f"cut is words or documents, not {cut!r}")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key")), "mix-sized")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.coalesce(F.md5("text"), F.lit(""))))))
+    kept = [f"_keep_{c}" for c in keep]
+    sized = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)]), "mix-sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = durable(source_targets(sizes, weights, share, most), "mix-targets").withColumnRenamed("source", "_source")
 
@@ -103,7 +105,7 @@ def mix_sources(
     ranges = ranges.select("source_rank", "_super", "_range", F.coalesce(F.sum("_s").over(before("source_rank", "_super").orderBy("_range")), F.lit(0)).alias("_o2"))
     offsets = ranges.join(supers, ["source_rank", "_super"]).select("source_rank", "_range", (F.col("_o1") + F.col("_o2")).alias("_offset"))
 
-    inside = before("source_rank", "_range").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size")
+    inside = before("source_rank", "_range").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size", *kept)
     rows = rows.join(offsets, ["source_rank", "_range"])
     rows = rows.withColumn("_before", F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
@@ -116,4 +118,4 @@ def mix_sources(
     else:
         copies = F.when(F.col("size") > 0, epochs + (2 * left >= F.col("size")).cast("long")).otherwise(F.lit(1))
         taken = copies * F.col("size")
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"), *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)])

@@ -75,7 +75,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null' || coalesce(md5(text), ''))) AS k
   FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size,
