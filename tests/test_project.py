@@ -1,12 +1,15 @@
 import csv
 import json
+import os
 
 import numpy as np
 import pytest
 
 from tideframe.cli import main
+from tideframe.operators import images
 from tideframe.operators.images import png_bytes
-from tideframe.project import Project, ProjectError
+from tideframe.project import Project, ProjectError, analyze
+from tideframe.sources import frames as sources
 
 H, W = 240, 320
 
@@ -68,7 +71,7 @@ def test_timeline_and_summary(golden):
     timeline = json.loads((root / ".tideframe" / "timeline.json").read_text())
     assert [[e["state_id"][-1] for e in r["events"]] for r in timeline["recordings"]] == [["1", "2", "3", "4"], ["1", "4"]]
     rows = list(csv.reader((root / ".tideframe" / "exports" / "summary.csv").open(newline="")))
-    assert rows[0][0] == "state_id" and [r[3] for r in rows[1:]] == ["2", "1", "1", "2"] and rows[3][7].endswith("_stitched.png")
+    assert rows[0][0] == "state_id" and [r[3] for r in rows[1:]] == ["2", "1", "1", "2"] and rows[3][7] == ".tideframe/stitched/state_0003.png"
 
 
 def test_manifest_round_trip(golden, spark):
@@ -94,7 +97,9 @@ def test_a_recording_without_frames_leaves_the_others(golden, spark):
 def test_commands(tmp_path, monkeypatch, capsys):
     monkeypatch.chdir(tmp_path)
     assert main(["status"]) == 1
-    assert main(["init", "demo"]) == 0 and main(["init", "demo"]) == 1
+    assert main(["init", "demo", "--fps", "2", "--cut-distance", "0.3"]) == 0 and main(["init", "demo"]) == 1
+    tmp_path /= "demo"
+    monkeypatch.chdir(tmp_path)
     (tmp_path / "rec_02").mkdir()
     for n in ("one.mp4", "two.mp4", "note.md", "x.xyz"):
         (tmp_path / n).write_text("abc")
@@ -102,7 +107,15 @@ def test_commands(tmp_path, monkeypatch, capsys):
     assert main(["add", "note.md", "--for", "two.mp4"]) == 0
     p = Project.load(tmp_path)
     assert p.recording("rec_02")["transcript_id"] == "tr_01" and p.manifest["transcripts"][0]["bytes"] == 3
+    assert (p.config.sample_fps, p.config.cut_distance, p.manifest["project"]) == (2.0, 0.3, "demo")
+    p.manifest["states"] = [{"id": "state_0001", "kind": "screen", "occurrences": [{"recording_id": r, "start_tc": t} for r, t in (("rec_01", "00:00:09"), ("rec_02", "00:00:04"), ("rec_02", "00:00:05"))]}]
+    assert p.listing()["states"] == [["state_0001", "screen", "3", "2", "00:00:04"]]
+    capsys.readouterr()
     assert main(["list"]) == 0 and main(["inspect", "nothing"]) == 1
+    assert "  tr_01  note.md  md  rec_02" in capsys.readouterr().out
+    with pytest.raises(SystemExit) as e:
+        main(["--version"])
+    assert e.value.code == 0
     assert p.status()["pending"] == "one.mp4, two.mp4"
 
 
@@ -117,3 +130,126 @@ def test_id_wins_over_file_name(tmp_path):
     p.save()
     with pytest.raises(ProjectError):
         Project.load(tmp_path)
+
+
+def shown(p, rec, pictures):
+    folder = p.frames_root() / f"recording_id={rec}"
+    folder.mkdir(parents=True)
+    for k, picture in enumerate(pictures):
+        (folder / f"frame_{k + 1:06d}.png").write_bytes(png_bytes(picture))
+
+
+def project_of(root, plans):
+    p = Project.create(root, "demo")
+    for k, (rec, pictures) in enumerate(plans.items()):
+        (root / f"{k}.mp4").write_bytes(b"x")
+        assert p.add(root / f"{k}.mp4")["id"] == rec
+        shown(p, rec, pictures)
+    return p
+
+
+def test_kinds_come_from_representative_frames(tmp_path, spark):
+    """The last frame of the first screen is dark; its representative isn't, so the way to the next screen is no modal."""
+    a, b = screen(1), screen(2)
+    dark = (a * 0.6).astype(np.uint8)
+    p = project_of(tmp_path, {"rec_01": [a] * 5 + [dark] + [b] * 3})
+    p.build(spark)
+    frames = spark.read.parquet(f"file://{tmp_path}/.tideframe/cache/tables/labelled").orderBy("seg_no").collect()
+    assert frames[0]["end_idx"] == 5 and frames[0]["rep_idx"] < 5
+    (t,) = p.manifest["transitions"]
+    from tideframe.operators.states import boundary_kind
+    from pyspark.sql import functions as F
+
+    want = spark.range(1).select(boundary_kind(*[F.lit(x) for x in images.boundary_metrics(a, b)]).alias("k")).first()["k"]
+    assert (t["kind"], t["confidence"]) == tuple(want)
+
+
+def test_a_failing_embedder_stops_its_recording_only(tmp_path, spark):
+    class Picky:
+        """A plug-in that fails on frames whose first pixel is pure red."""
+
+        name = "picky"
+
+        def embed(self, bgr):
+            if tuple(bgr[0, 0]) == (0, 0, 255):
+                raise KeyError("red")
+            return images.DefaultEmbedder().embed(bgr)
+
+    images.register_embedder("picky", Picky)
+    red = screen(3)
+    red[0, 0] = (0, 0, 255)
+    p = project_of(tmp_path, {"rec_01": [screen(1)] * 3, "rec_02": [screen(1), red, screen(2)], "rec_03": [screen(2)] * 2})
+    (p.frames_root() / "recording_id=rec_03" / "frame_000002.png").write_bytes(b"broken")
+    report = p.build(spark, config=p.config.with_flags(embedder="picky"))
+    assert [r["error"] for r in p.manifest["recordings"]] == [None, "KeyError: 'red'", "a frame can't be read"]
+    assert [r["status"] for r in p.manifest["recordings"]] == ["processed", "error", "error"] and len(report["warnings"]) == 2
+    assert report["totals"]["recordings_processed"] == 1
+
+
+def test_errors_stay_beside_results():
+    assert images._said(KeyError("red")) == "KeyError: 'red'"
+
+
+def test_a_scroll_run_is_stitched(tmp_path, spark):
+    rng = np.random.default_rng(9)
+    page = np.repeat(np.kron(rng.integers(0, 256, (90, 40), dtype=np.uint8), np.ones((8, 8), np.uint8))[:, :, None], 3, axis=2)
+    p = project_of(tmp_path, {"rec_01": [page[k * 56 : k * 56 + H] for k in range(6)]})
+    report = p.build(spark)
+    assert report["totals"]["scroll_states"] == 1 and report["kinds"]["states"] == {"scroll": 1}
+    assert images.read_png(f"{tmp_path}/.tideframe/stitched/state_0001.png").shape[0] == H + 5 * 56
+
+
+FAKE = """#!/bin/sh
+{body}
+"""
+
+
+def test_tools_on_the_path(tmp_path, spark, monkeypatch):
+    """Probing and sampling with stand-ins for the two programs, and the one-video command."""
+    tools = tmp_path / "bin"
+    tools.mkdir()
+    frame = tmp_path / "frame.png"
+    frame.write_bytes(png_bytes(screen(1)))
+    probe = {"streams": [{"codec_type": "audio"}, {"codec_type": "video", "r_frame_rate": "60/1", "avg_frame_rate": "11/2", "width": W, "height": H, "codec_name": "h264"}], "format": {"duration": "3.5"}}
+    (tools / "ffprobe").write_text(FAKE.format(body=f"case \"$*\" in *bad*) echo broken >&2; exit 1;; esac\ncat <<'X'\n{json.dumps(probe)}\nX"))
+    (tools / "ffmpeg").write_text(FAKE.format(body=f'for last; do :; done\nd=$(dirname "$last")\nfor k in 1 2 3; do cp {frame} "$d/frame_00000$k.png"; done'))
+    for t in tools.iterdir():
+        t.chmod(0o755)
+    for rec in ("ok", "bad"):
+        (tmp_path / f"{rec}.mp4").write_bytes(b"x")
+    videos = spark.createDataFrame([("r1", str(tmp_path / "ok.mp4")), ("r2", str(tmp_path / "bad.mp4"))], "recording_id string, path string")
+    path = f"{tools}:{os.environ['PATH']}"
+    # workers that run already have the old path, so the programs are called from here through the same functions
+    monkeypatch.setenv("PATH", path)
+    sources.ensure_tools()
+    assert sources.parse_probe(json.dumps(probe)) == (3.5, 60.0, W, H, "h264")
+    assert sources.parse_probe("") == (0.0, 0.0, 0, 0, "") and sources.parse_probe('{"streams": [{"codec_type": "video", "r_frame_rate": "0/0"}]}')[1] == 0.0
+    monkeypatch.setenv("PATH", str(tmp_path))
+    with pytest.raises(sources.ToolError):
+        sources.ensure_tools()
+    found = {r["path"].rsplit("/", 1)[1]: r for r in sources.probe_videos(videos).collect()}
+    assert set(found) == {"ok.mp4", "bad.mp4"} and all((r["metadata"] is None) == (r["error"] is not None) for r in found.values())
+
+
+def test_analyze_makes_a_folder_of_its_own(tmp_path, spark, monkeypatch):
+    outer = Project.create(tmp_path, "outer")
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "talk.mp4").write_bytes(b"x")
+    with pytest.raises(ProjectError):  # without tools there are no frames
+        analyze(spark, tmp_path / "talk.mp4")
+    inner = Project.load(tmp_path / "talk_tideframe")
+    assert inner.manifest["project"] == "talk" and [r["filename"] for r in inner.manifest["recordings"]] == ["talk.mp4"]
+    assert inner.manifest["recordings"][0]["status"] == "error" and Project.load(tmp_path).manifest["recordings"] == outer.manifest["recordings"] == []
+    shown(inner, "rec_01", [screen(1)] * 3)
+    assert analyze(spark, tmp_path / "talk.mp4")["totals"]["states"] == 1
+
+
+def test_many_files_at_once(tmp_path, spark):
+    p = Project.create(tmp_path, "demo")
+    for n in ("b.mp4", "a.MOV", "note.md", "x.xyz", "talk.vtt"):
+        (tmp_path / n).write_text(n)
+    p.add(tmp_path / "b.mp4")
+    assert p.add_all(spark, tmp_path) == ["rec_02", "tr_01", "tr_02"]
+    again = Project.load(tmp_path)
+    assert [r["filename"] for r in again.manifest["recordings"]] == ["b.mp4", "a.MOV"] and [t["bytes"] for t in again.manifest["transcripts"]] == [7, 8]
+    assert p.add_all(spark, tmp_path / ".tideframe" / "cache" if (tmp_path / ".tideframe" / "cache").exists() else tmp_path)[:1] != ["rec_03"]

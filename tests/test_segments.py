@@ -84,6 +84,14 @@ def test_canonical_first_of_equals_and_no_self_transition(spark):
     rows = [(0, "r", 0, 0, 1, 0.0, 1.0, 0, 0.5), (1, "r", 1, 2, 3, 2.0, 3.0, 2, 0.5), (2, "r", 2, 4, 5, 4.0, 5.0, 4, 0.4)]
     df = spark.createDataFrame(rows, "flat_no int, recording_id string, seg_no int, start_idx int, end_idx int, start_time double, end_time double, rep_idx int, confidence double")
     df = df.selectExpr("*", "CASE WHEN flat_no < 2 THEN 0 ELSE 1 END AS label", "CASE WHEN flat_no < 2 THEN 'state_0001' ELSE 'state_0002' END AS state_id", "false AS is_scroll", "cast(null as int) AS scroll_start_idx", "cast(null as int) AS scroll_end_idx")
+    assert [(r["from_idx"], r["to_idx"]) for r in states.state_changes(df).collect()] == [(2, 4)]
     assert [r["canonical"]["flat_no"] for r in states.canonical_members(df).orderBy("label").collect()] == [0, 2]
     t = states.transitions(states.state_changes(df)).collect()
     assert [(r["id"], r["from_state"], r["to_state"], r["at"], r["kind"]) for r in t] == [("trans_0001", "state_0001", "state_0002", 4.0, "unknown")]
+
+
+def test_many_clusters_grow(spark):
+    rng = np.random.default_rng(1)
+    vs = rng.normal(size=(300, 64))
+    vs /= np.linalg.norm(vs, axis=1, keepdims=True)
+    assert cluster(spark, [(v, False) for v in vs] + [(vs[7], False)], 0.1) == [*range(300), 7]

@@ -1,3 +1,5 @@
+import numpy as np
+
 from tideframe.config import Config
 from tideframe.operators import segments, states
 from tideframe.streaming.incremental import rebuild_on_arrival
@@ -6,6 +8,19 @@ SCHEMA = "recording_id string, idx int, ts double, vec array<double>"
 A, B = [1.0, 0.0], [0.0, 1.0]
 
 
+def test_a_stream_with_shifts_finds_scroll_runs(spark, tmp_path):
+
+    vs = [[float(np.cos(k * 0.4)), float(np.sin(k * 0.4))] for k in range(6)]
+    rows = [("rec_01", k, float(k), v, 0.0, 90.0 if k < 5 else None, 0.9) for k, v in enumerate(vs)]
+    schema = SCHEMA + ", dx double, dy double, response double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    seen = []
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    keep = lambda df, n: seen.append([(r["start_idx"], r["end_idx"], r["is_scroll"]) for r in df.collect()])
+    rebuild_on_arrival(stream, f"{tmp_path}/table", Config(cut_distance=0.01), keep).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [[(0, 5, True)]]
+
+
 def test_stream_ends_where_the_batch_build_does(spark, tmp_path):
     rows = [("rec_01", k, float(k), A if k < 3 else B) for k in range(6)] + [("rec_02", k, float(k), A) for k in range(3)]
     for k, part in enumerate((rows[:4], rows[4:])):

@@ -5,29 +5,34 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from . import __version__
+from .functions.text import STATUS_COLOURS
 from .project import Project, ProjectError, analyze
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="tideframe")
+    parser.add_argument("--version", action="version", version=f"tideframe {__version__}")
     sub = parser.add_subparsers(dest="command", required=True)
-    sub.add_parser("init").add_argument("name")
+    init = sub.add_parser("init")
+    init.add_argument("name", help="folder to create")
     add = sub.add_parser("add")
     add.add_argument("file")
     add.add_argument("--for", dest="recording_for")
-    for name in ("build", "analyze"):
-        p = sub.add_parser(name)
+    for name in ("init", "build", "analyze"):
+        p = init if name == "init" else sub.add_parser(name)
         p.add_argument("--fps", type=float)
         p.add_argument("--embedder")
         p.add_argument("--cut-distance", type=float)
         if name == "build":
             p.add_argument("--force", action="store_true")
-        else:
+        elif name == "analyze":
             p.add_argument("video")
-            p.add_argument("-o", "--out")
+            p.add_argument("-o", "--output", dest="out", help="project folder; NAME_tideframe for a video called NAME")
     for name in ("status", "list", "export"):
         sub.add_parser(name)
     sub.add_parser("inspect").add_argument("target", nargs="?")
@@ -39,17 +44,26 @@ def _flags(args, config):
 
 
 def _list(project: Project) -> None:
-    for name, fields in (("recordings", ("id", "filename", "status", "transcript_id")), ("transcripts", ("id", "filename", "format", "recording_id")), ("states", ("id", "kind"))):
-        print(name)
-        for row in project.manifest[name]:
-            print("  " + "  ".join(str(row.get(f) or "-") for f in fields))
+    for title, rows in project.listing().items():
+        print(title)
+        for row in rows:
+            print("  " + "  ".join(_coloured(x) for x in row))
+
+
+def _coloured(status: str) -> str:
+    """A status in its colour, where someone looks at it; anything else as it is."""
+    return f"\x1b[{STATUS_COLOURS[status]}m{status}\x1b[0m" if status in STATUS_COLOURS and sys.stdout.isatty() else status
 
 
 def run(argv: list[str]) -> None:
     args = _parser().parse_args(argv)
     session = lambda: SparkSession.builder.appName("tideframe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "init":
-        Project.create(".", args.name)
+        from .config import Config
+
+        root = Path(args.name).resolve()
+        Project.create(root, root.name, _flags(args, Config()))
+        print(root)
     elif args.command == "analyze":
         from .config import Config
 

@@ -44,8 +44,3 @@ def l2_normalized(v: Column) -> Column:
     """v / |v|, or v where |v| is 1e-8 or less."""
     norm = F.sqrt(dot(v, v))
     return F.when(norm > 1e-8, F.transform(v, lambda x: x / norm)).otherwise(v)
-
-
-def added_direction(a: Column, b: Column) -> Column:
-    """The centroid's step when b joins a."""
-    return l2_normalized(F.zip_with(a, b, lambda x, y: x + y))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..config import TRANSCRIPT_EXTENSIONS, VIDEO_EXTENSIONS
 
 
+#: Console colours of statuses.
+STATUS_COLOURS = {"processed": 32, "error": 31, "added": 33}
+
+
 def timecode(seconds: Column) -> Column:
     """HH:MM:SS of seconds rounded half to even, never below zero; hours may take more digits."""
     s = F.greatest(F.bround(seconds.cast("double")), F.lit(0.0)).cast("bigint")
@@ -57,13 +61,3 @@ def padded_id(prefix: str, number: Column, width: int) -> Column:
 
 def display(value: Column, blank: str = "-") -> Column:
     return F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit(blank))
-
-
-def status_style(status: Column) -> Column:
-    """Console colour of a status; others stand for themselves."""
-    return F.when(status == "processed", F.lit("green")).when(status == "error", F.lit("red")).when(status == "added", F.lit("yellow")).otherwise(status)
-
-
-def utc_stamp(at: Column) -> Column:
-    """Whole-second UTC time with a Z; the session's time zone is UTC."""
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")

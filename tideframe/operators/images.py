@@ -1,10 +1,12 @@
 """Image kernels in NumPy and the column functions around them.
 
-Pictures are BGR or gray uint8 arrays, as Spark's image source decodes them. Only the kernels touch pixels; they run in
-Arrow batches next to the files, and nothing with pixels is shuffled.
+Pictures are BGR or gray uint8 arrays, as Spark's image source decodes them. Only the kernels touch pixels, in Arrow
+batches. Vectors are made next to the files; neighbours exchange gray pictures in search size, and whole pictures move
+only where they are stitched or compared at a change of state. A kernel that fails gives an error beside its result, so
+that a bad frame stops its own recording and no other.
 """
 
-import math
+import importlib.util
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 #: Weights of blue, green and red in a gray level.
 _LUMA = (0.114, 0.587, 0.299)
+_PNG = b"\x89PNG\r\n\x1a\n"
 
 
 def decode(row) -> np.ndarray | None:
@@ -54,6 +57,16 @@ def hue_saturation(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(hue + 180 * (hue < 0)).astype(int) % 180, np.rint(255 * (top - low) / np.maximum(top, 1)).astype(int)
 
 
+def color_bin(hue: np.ndarray, saturation: np.ndarray) -> np.ndarray:
+    """Which of 8 by 8 bins a colour is in, hue by hue."""
+    return hue * 8 // 180 * 8 + saturation // 32
+
+
+def color_bin_column(hue: Column, saturation: Column) -> Column:
+    """:func:`color_bin` of two columns of integers."""
+    return F.pandas_udf(lambda h, s: color_bin(h, s).astype("int32"), "int")(hue, saturation)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(v)
     return v / n if n > 1e-8 else v
@@ -67,21 +80,30 @@ class DefaultEmbedder:
     def __init__(self, thumb: int = 32, color_weight: float = 0.5):
         self.thumb, self.color_weight = thumb, color_weight
 
+    def embed_path(self, path: str) -> np.ndarray:
+        return self.embed(read_png(path))
+
     def embed(self, bgr: np.ndarray) -> np.ndarray:
         small = np.rint(area_resize(to_gray(bgr), self.thumb, self.thumb)).ravel()
         h, s = hue_saturation(bgr)
-        bins = np.bincount((h * 8 // 180 * 8 + s // 32).ravel(), minlength=64).astype(float)
+        bins = np.bincount(color_bin(h, s).ravel(), minlength=64).astype(float)
         return _unit(np.concatenate([_unit(small - small.mean()), _unit(bins) * self.color_weight]))
 
 
 class ClipEmbedder:
-    """A plug-in that needs open_clip and torch, loaded on first use in each worker."""
+    """A plug-in that needs open_clip and torch, without which it can't be made; the model is loaded on first use."""
 
     name = "clip"
 
     def __init__(self, model: str = "ViT-B-32", weights: str = "laion2b_s34b_b79k"):
+        missing = [m for m in ("open_clip", "torch") if importlib.util.find_spec(m) is None]
+        if missing:
+            raise RuntimeError(f"the clip embedder needs packages that aren't installed: {', '.join(missing)}")
         self.model, self.weights, self._loaded = model, weights, None
 
+    def embed_path(self, path: str) -> np.ndarray:
+        return self.embed(read_png(path))
+
     def embed(self, bgr: np.ndarray) -> np.ndarray:
         if self._loaded is None:
             import open_clip
@@ -105,10 +127,14 @@ def register_embedder(name: str, factory: Callable) -> None:
     _EMBEDDERS[name] = factory
 
 
-def get_embedder(name: str):
+def _factory(name: str) -> Callable:
     if name not in _EMBEDDERS:
         raise ValueError(f"unknown embedder {name!r}; known: {', '.join(sorted(_EMBEDDERS))}")
-    return _EMBEDDERS[name]()
+    return _EMBEDDERS[name]
+
+
+def get_embedder(name: str):
+    return _factory(name)()
 
 
 def match_template(picture: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -165,36 +191,14 @@ def shift_between(before: np.ndarray, after: np.ndarray, scale: float) -> tuple[
     return float((x - left) / scale), float((y - top) / scale), float(found[y, x])
 
 
-def strip_heights(dys: list[float], height: int, cap: int) -> list[int]:
-    """Rows that each step adds to a stitched picture of frames of ``height``; the step that reaches ``cap`` is the last."""
-    out, total = [], height
-    for dy in dys:
-        if out and total >= cap:
-            break
-        step = min(round(abs(dy)), height)
-        out.append(step)
-        total += step
-        if step and total >= cap:
-            break
-    return out
-
+def stitch(frames: list[np.ndarray | None], rows: list[int]) -> np.ndarray | None:
+    """One tall picture of frames in the order of a plan (see ``pairs.stitch_plan``): the bottom ``rows`` of each.
 
-def stitch(frames: list[np.ndarray | None], dys: list[float], cap: int) -> np.ndarray | None:
-    """One tall picture of a scroll run: the first frame and below it the new bottom rows of each next one.
-
-    dys[k] is the step from frame k to k + 1. A run that goes up on the whole is read backwards. None for fewer than two
-    frames or one that can't be read.
+    None for fewer than two frames, one that can't be read, or frames of different widths.
     """
-    if len(frames) < 2 or any(f is None for f in frames):
+    if len(frames) < 2 or any(f is None for f in frames) or len({f.shape[1] for f in frames}) > 1:
         return None
-    if sum(dys) < 0:
-        frames, dys = frames[::-1], dys[::-1]
-    height = frames[0].shape[0]
-    parts = [frames[0]]
-    for frame, step in zip(frames[1:], strip_heights(dys, height, cap), strict=False):
-        if step:
-            parts.append(frame[height - step :])
-    return np.concatenate(parts, axis=0)
+    return np.concatenate([f[f.shape[0] - n :] for f, n in zip(frames, rows, strict=True) if n], axis=0)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -231,29 +235,66 @@ def png_bytes(bgr: np.ndarray) -> bytes:
     h, w = bgr.shape[:2]
     rows = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(bgr[:, :, ::-1]).reshape(h, w * 3)], axis=1).tobytes()
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+    return _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+
+
+def read_png(path: str) -> np.ndarray:
+    """BGR array of an eight-bit PNG that is neither interlaced nor indexed."""
+    with open(path, "rb") as f:
+        data = f.read()
+    at, body, head = 8, b"", None
+    while at + 8 <= len(data):
+        (n,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", data[at + 8 : at + 21])
+        elif kind == b"IDAT":
+            body += data[at + 8 : at + 8 + n]
+        at += n + 12
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}
+    if data[:8] != _PNG or head is None or head[2] != 8 or head[3] not in channels or head[6]:
+        raise ValueError(f"not a plain eight-bit PNG: {path}")
+    w, h, c = head[0], head[1], channels[head[3]]
+    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * c + 1)
+    out = np.zeros((h + 1, w + 1, c), np.int64)  # a row above and a pixel before, of zeros
+    for y in range(h):
+        kind, row = int(lines[y, 0]), lines[y, 1:].reshape(w, c).astype(np.int64)
+        if kind in (0, 2):
+            out[y + 1, 1:] = (row + (out[y, 1:] if kind == 2 else 0)) % 256
+        elif kind == 1:
+            out[y + 1, 1:] = np.cumsum(row, axis=0) % 256
+        else:
+            for x in range(w):
+                left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+                guess = left + up - corner
+                far = np.abs(np.stack([guess - left, guess - up, guess - corner]))
+                near = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+                out[y + 1, x + 1] = (row[x] + ((left + up) // 2 if kind == 3 else near)) % 256
+    picture = out[1:, 1:].astype(np.uint8)
+    return np.repeat(picture[:, :, :1], 3, axis=2) if c < 3 else np.ascontiguousarray(picture[:, :, 2::-1])
+
+
+def _said(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:500]
 
 
 def embed_column(image: Column, embedder: str = "default") -> Column:
-    """Vectors of an ``image`` column, null where there is no picture; the embedder is made once in each worker."""
+    """struct(vec, error) of an ``image`` column: a vector, or why there is none; the embedder is made once in each worker,
+    by the factory that is registered here."""
+    make = _factory(embedder)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        model = get_embedder(embedder)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
         for pdf in batches:
-            pictures = (decode(r) for r in pdf.to_dict("records"))
-            yield pd.Series([None if p is None else model.embed(p).tolist() for p in pictures])
-
-    return F.pandas_udf(run, "array<double>")(image)
-
-
-def _on_pairs(kernel: Callable, fields: tuple[str, ...]) -> Callable[[Column, Column], Column]:
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(map(decode, a.to_dict("records")), map(decode, b.to_dict("records")), strict=True):
-            rows.append((math.nan,) * len(fields) if x is None or y is None else kernel(x, y))
-        return pd.DataFrame(rows, columns=list(fields), dtype=float)
+            rows = []
+            for r in pdf.to_dict("records"):
+                try:
+                    picture = decode(r)
+                    rows.append((None, "a frame can't be read") if picture is None else (model.embed(picture).tolist(), None))
+                except Exception as e:  # whatever a plug-in raises is its recording's error
+                    rows.append((None, _said(e)))
+            yield pd.DataFrame(rows, columns=["vec", "error"])
 
-    return F.pandas_udf(run, ", ".join(f"{f} double" for f in fields))
+    return F.pandas_udf(run, "vec array<double>, error string")(image)
 
 
 def small_gray_column(image: Column, max_dim: int = 720) -> Column:
@@ -270,21 +311,35 @@ def small_gray_column(image: Column, max_dim: int = 720) -> Column:
 
 
 def shift_column(before: Column, after: Column) -> Column:
-    """struct(dx, dy, response) of two columns of small gray pictures; zeros where either has none."""
+    """struct(dx, dy, response, error) of two columns of small gray pictures; zeros where either has none or a step fails."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True):
-            if not x["height"] or not y["height"]:
-                rows.append((0.0, 0.0, 0.0))
-                continue
-            small, other = (np.frombuffer(p["data"], np.uint8).reshape(p["height"], p["width"]) for p in (x, y))
-            rows.append(shift_between(small, other, x["scale"]) if x["scale"] == y["scale"] else (0.0, 0.0, 0.0))
-        return pd.DataFrame(rows, columns=["dx", "dy", "response"])
+            try:
+                if not x["height"] or not y["height"] or x["scale"] != y["scale"]:
+                    rows.append((0.0, 0.0, 0.0, None))
+                    continue
+                small, other = (np.frombuffer(p["data"], np.uint8).reshape(p["height"], p["width"]) for p in (x, y))
+                rows.append((*shift_between(small, other, x["scale"]), None))
+            except Exception as e:
+                rows.append((0.0, 0.0, 0.0, _said(e)))
+        return pd.DataFrame(rows, columns=["dx", "dy", "response", "error"])
 
-    return F.pandas_udf(run, "dx double, dy double, response double")(before, after)
+    return F.pandas_udf(run, "dx double, dy double, response double, error string")(before, after)
 
 
 def boundary_column(before: Column, after: Column) -> Column:
-    """struct(border, drop, top, middle) of two ``image`` columns."""
-    return _on_pairs(boundary_metrics, ("border", "drop", "top", "middle"))(before, after)
+    """struct(border, drop, top, middle) of two ``image`` columns; all null where one can't be read or compared."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True):
+            try:
+                x, y = decode(x), decode(y)
+                rows.append((None,) * 4 if x is None or y is None else boundary_metrics(x, y))
+            except Exception:  # an unknown transition, as for frames that can't be read
+                rows.append((None,) * 4)
+        return pd.DataFrame(rows, columns=["border", "drop", "top", "middle"]).astype("Float64")
+
+    return F.pandas_udf(run, "border double, drop double, top double, middle double")(before, after)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.numbers import cosine_distance
 
+
 def _in_order():
     return Window.partitionBy("recording_id").orderBy("idx")
 
 
-
 def frame_pairs(frames: DataFrame) -> DataFrame:
     """recording_id, idx, dist: each frame but a recording's last, with its distance to the next. frames: recording_id, idx, vec."""
     return frames.withColumn("_next", F.lead("vec").over(_in_order())).where(F.col("_next").isNotNull()).select("recording_id", "idx", cosine_distance(F.col("vec"), F.col("_next")).alias("dist"))
@@ -23,6 +23,11 @@ def is_scroll(config: Config) -> Column:
     return (F.col("response") >= config.scroll_min_response) & (F.abs("dy") >= config.scroll_min_shift_px) & (F.abs("dx") <= config.scroll_max_horizontal_px)
 
 
+def direction(dy: Column) -> Column:
+    """1 for down, as where content doesn't move, -1 for up."""
+    return F.when(dy >= 0, 1).otherwise(-1)
+
+
 def scroll_runs(pairs: DataFrame, config: Config) -> DataFrame:
     """recording_id, start_idx, end_idx, direction: runs of scrolling pairs of one direction, from first to last frame.
 
@@ -31,7 +36,7 @@ def scroll_runs(pairs: DataFrame, config: Config) -> DataFrame:
     ok = is_scroll(config)
     if "dist" in pairs.columns:
         ok = ok & (F.col("dist") >= config.scroll_min_embedding_change)
-    marked = pairs.withColumn("_sign", F.when(ok, F.when(F.col("dy") > 0, 1).otherwise(-1)).otherwise(0))
+    marked = pairs.withColumn("_sign", F.when(ok, direction(F.col("dy"))).otherwise(0))
     before = F.lag("_sign").over(_in_order())
     marked = marked.withColumn("_run", F.sum(F.when(before.isNull() | (before != F.col("_sign")), 1).otherwise(0)).over(_in_order().rowsBetween(Window.unboundedPreceding, 0)))
     runs = marked.where("_sign <> 0").groupBy("recording_id", "_run", "_sign").agg(F.min("idx").alias("start_idx"), (F.max("idx") + 1).alias("end_idx"), F.count(F.lit(1)).alias("_n"))
@@ -50,3 +55,20 @@ def cut_islands(frames: DataFrame, classes: DataFrame) -> DataFrame:
     cut = classes.where("kind = 'cut'").select("recording_id", (F.col("idx") + 1).alias("idx"), F.lit(1).alias("_cut"))
     seg = F.sum(F.coalesce("_cut", F.lit(0))).over(_in_order().rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     return frames.join(cut, ["recording_id", "idx"], "left").withColumn("seg_no", seg).drop("_cut")
+
+
+def stitch_plan(frames: DataFrame, run: str, cap: int) -> DataFrame:
+    """run, pos, idx, rows, total: which bottom rows of which frame make up the tall picture of each run.
+
+    frames: run, idx, dy (the step to the next frame of the run, null for the last) and height. A run that goes up on the
+    whole is read backwards. The first frame comes whole; each next one adds as many rows as its step has, up to its height,
+    until the picture has ``cap`` rows; ``total`` is its height so far. Runs of one frame have no plan.
+    """
+    whole, forth = Window.partitionBy(run), Window.partitionBy(run).orderBy("idx")
+    known = frames.withColumns({"_way": direction(F.sum(F.coalesce("dy", F.lit(0.0))).over(whole)), "_n": F.count(F.lit(1)).over(whole), "_before": F.lag("dy").over(forth)})
+    known = known.withColumns({"_turn": F.col("_way") * F.col("idx"), "_step": F.when(F.col("_way") > 0, F.col("_before")).otherwise(F.col("dy"))})
+    read = Window.partitionBy(run).orderBy("_turn")
+    known = known.withColumn("pos", (F.row_number().over(read) - 1).cast("int"))
+    rows = F.when(F.col("pos") == 0, F.col("height").cast("long")).otherwise(F.least(F.bround(F.abs("_step"), 0).cast("long"), F.col("height").cast("long")))
+    known = known.withColumn("rows", rows).withColumn("total", F.sum("rows").over(read.rowsBetween(Window.unboundedPreceding, 0)))
+    return known.where((F.col("_n") > 1) & ((F.col("pos") <= 1) | (F.col("total") - F.col("rows") < cap))).select(run, "pos", "idx", "rows", "total")

@@ -27,20 +27,21 @@ def greedy_clusters(segments: DataFrame, merge_distance: float) -> DataFrame:
     """
 
     def fold(batches):
-        kinds: list[bool] = []
-        centroids = np.zeros((0, 0))
+        kinds, centroids, n = np.zeros(64, bool), np.zeros((64, 0)), 0
         for pdf in batches:
             labels = []
             for v, scroll in zip(pdf["centroid"], pdf["is_scroll"], strict=True):
                 v = np.asarray(v, float)
                 near = None
-                if len(kinds):
-                    d = np.where(np.array(kinds) == scroll, 1.0 - centroids @ v, np.inf)
+                if n:
+                    d = np.where(kinds[:n] == scroll, 1.0 - centroids[:n] @ v, np.inf)
                     near = int(d.argmin()) if d.min() <= merge_distance else None
                 if near is None:
-                    near = len(kinds)
-                    kinds.append(bool(scroll))
-                    centroids = np.concatenate([centroids.reshape(-1, len(v)), v[None]])
+                    if n == 0 or n == len(kinds):  # room for twice as many
+                        kinds = np.concatenate([kinds, np.zeros(n, bool)])
+                        centroids = np.concatenate([centroids[:n], np.zeros((len(kinds) - n, len(v)))]) if n else np.zeros((len(kinds), len(v)))
+                    near, n = n, n + 1
+                    kinds[near], centroids[near] = bool(scroll), v
                 else:
                     m = centroids[near] + v
                     norm = np.linalg.norm(m)
@@ -55,7 +56,8 @@ def greedy_clusters(segments: DataFrame, merge_distance: float) -> DataFrame:
 def labelled_segments(segments: DataFrame, merge_distance: float) -> DataFrame:
     """``segments`` with flat_no, label and state_id."""
     flat = flat_order(segments)
-    return flat.join(greedy_clusters(flat, merge_distance), "flat_no").withColumn("state_id", padded_id("state", F.col("label") + 1, 4))
+    out = flat.join(greedy_clusters(flat, merge_distance), "flat_no").withColumn("state_id", padded_id("state", F.col("label") + 1, 4))
+    return out.repartition("recording_id")  # what several views read is then made once
 
 
 def canonical_members(labelled: DataFrame) -> DataFrame:
@@ -91,11 +93,11 @@ def states(occurrence_rows: DataFrame, screenshots: DataFrame | None = None) ->
 
 
 def state_changes(labelled: DataFrame) -> DataFrame:
-    """Neighbouring segments of a recording in different states: from_state, to_state, the frames at the border, the time."""
+    """Neighbouring segments of a recording in different states: from_state, to_state, their representative frames, the time."""
     w = Window.partitionBy("recording_id").orderBy("start_time", "seg_no")
-    rows = labelled.withColumns({f"_next_{c}": F.lead(c).over(w) for c in ("state_id", "start_time", "start_idx", "flat_no")})
+    rows = labelled.withColumns({f"_next_{c}": F.lead(c).over(w) for c in ("state_id", "start_time", "rep_idx", "flat_no")})
     rows = rows.where("_next_state_id IS NOT NULL AND _next_state_id <> state_id")
-    return rows.select("recording_id", F.col("state_id").alias("from_state"), F.col("_next_state_id").alias("to_state"), F.col("end_idx").alias("from_idx"), F.col("_next_start_idx").alias("to_idx"), F.col("_next_start_time").alias("at"), F.col("_next_flat_no").alias("flat_no"))
+    return rows.select("recording_id", F.col("state_id").alias("from_state"), F.col("_next_state_id").alias("to_state"), F.col("rep_idx").alias("from_idx"), F.col("_next_rep_idx").alias("to_idx"), F.col("_next_start_time").alias("at"), F.col("_next_flat_no").alias("flat_no"))
 
 
 def boundary_kind(border: Column, drop: Column, top: Column, middle: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import numbers, text
+from ..operators import images, registry
 from ..operators import pairs as P
 from ..operators import segments as G
 from ..operators import states as S
@@ -130,7 +131,7 @@ occ AS (
          printf('%02d:%02d:%02d', l.start_time::BIGINT // 3600, l.start_time::BIGINT % 3600 // 60, l.start_time::BIGINT % 60) AS start_tc,
          printf('%02d:%02d:%02d', l.end_time::BIGINT // 3600, l.end_time::BIGINT % 3600 // 60, l.end_time::BIGINT % 60) AS end_tc
   FROM lab l JOIN fr r ON r.recording_id = l.recording_id AND r.idx = l.rep_idx),
-nx AS (SELECT *, lead(state_id) OVER w AS to_state, lead(start_time) OVER w AS at_s, lead(flat_no) OVER w AS to_no FROM lab WINDOW w AS (PARTITION BY recording_id ORDER BY start_time, seg_no)),
+nx AS (SELECT *, lead(state_id) OVER w AS to_state, lead(start_time) OVER w AS at_s, lead(flat_no) OVER w AS to_no, lead(rep_idx) OVER w AS to_rep FROM lab WINDOW w AS (PARTITION BY recording_id ORDER BY start_time, seg_no)),
 tr AS (SELECT printf('trans_%04d', row_number() OVER (ORDER BY recording_id, to_no)) AS id, recording_id, state_id AS from_state, to_state, at_s FROM nx WHERE to_state <> state_id)"""
 
 _SEG = "WITH" + _FRAMES
@@ -210,10 +211,12 @@ def occurrences(spark, sf):
     return S.occurrences(_labelled(spark, sf), _frames(spark, sf)).drop("label", "flat_no")
 
 
-@query(_ALL + " SELECT state_id AS id, 'screen' AS kind, count(*) AS n, min(start_tc) AS first_tc FROM occ GROUP BY state_id")
+@query(_ALL + " SELECT state_id AS id, 'screen' AS kind, count(*) AS n, min(start_tc) AS first_tc, string_agg(recording_id || ' ' || start_tc || ' ' || end_tc, '; ' ORDER BY recording_id, start, flat_no) AS spans FROM occ GROUP BY state_id")
 def shared_states(spark, sf):
+    """States with their occurrences in order, written in a row."""
     rows = S.states(S.occurrences(_labelled(spark, sf), _frames(spark, sf)))
-    return rows.select("id", "kind", F.size("occurrences").cast("long").alias("n"), F.array_min(F.transform("occurrences", lambda o: o["start_tc"])).alias("first_tc"))
+    spans = F.concat_ws("; ", F.transform("occurrences", lambda o: F.concat_ws(" ", o["recording_id"], o["start_tc"], o["end_tc"])))
+    return rows.select("id", "kind", F.size("occurrences").cast("long").alias("n"), F.array_min(F.transform("occurrences", lambda o: o["start_tc"])).alias("first_tc"), spans.alias("spans"))
 
 
 _TC = "printf('%02d:%02d:%02d', {0}::BIGINT // 3600, {0}::BIGINT % 3600 // 60, {0}::BIGINT % 60)"
@@ -297,11 +300,12 @@ def scroll_pairs(spark, sf):
 
 
 def _state_runs(spark, sf):
-    """Runs of one event type, as segments."""
+    """Runs of one event type, as segments: a cut is where the type changes."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = _read(spark, sf, "events").withColumns({"idx": (F.row_number().over(w) - 1).cast("int"), "_new": F.when(F.lag("event_type").over(w) == F.col("event_type"), 0).otherwise(1)})
-    rows = rows.withColumn("seg_no", (F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
-    return rows.groupBy(F.col("user_id").cast("string").alias("recording_id"), "seg_no").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.min("event_type").alias("event_type"))
+    rows = _read(spark, sf, "events").withColumns({"idx": (F.row_number().over(w) - 1).cast("int"), "_to": F.lead("event_type").over(w)}).withColumn("recording_id", F.col("user_id").cast("string"))
+    kinds = rows.where("_to IS NOT NULL").select("recording_id", "idx", F.when(F.col("_to") == F.col("event_type"), "static").otherwise("cut").alias("kind"))
+    islands = P.cut_islands(rows.select("recording_id", "idx", "event_type"), kinds)
+    return islands.groupBy("recording_id", "seg_no").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.min("event_type").alias("event_type"))
 
 
 _STATE_RUNS = """
@@ -330,18 +334,20 @@ def run_in_segment(spark, sf):
 @query("WITH" + _SHIFTS + " SELECT recording_id, CASE WHEN sum(round(dy, 3)::DECIMAL(18,3)) >= 0 THEN 1 ELSE -1 END::INT AS direction FROM sh WHERE dy IS NOT NULL GROUP BY 1")
 def run_direction(spark, sf):
     total = F.sum(F.round("dy", 3).cast("decimal(18,3)"))
-    return _shifts(spark, sf).groupBy("recording_id").agg(F.when(total >= 0, 1).otherwise(-1).cast("int").alias("direction"))
+    return _shifts(spark, sf).groupBy("recording_id").agg(P.direction(total).cast("int").alias("direction"))
 
 
 @query(
     "WITH" + _SHIFTS
-    + """, st AS (SELECT recording_id, idx, 100 + sum(least(round_even(abs(dy), 0)::BIGINT, 100)) OVER (PARTITION BY recording_id ORDER BY idx) AS h FROM sh WHERE dy IS NOT NULL)
+    + """, way AS (SELECT recording_id, CASE WHEN sum(dy) >= 0 THEN 1 ELSE -1 END AS d FROM sh GROUP BY 1),
+    st AS (SELECT recording_id, 100 + sum(least(round_even(abs(dy), 0)::BIGINT, 100)) OVER (PARTITION BY recording_id ORDER BY idx * d) AS h FROM sh JOIN way USING (recording_id) WHERE dy IS NOT NULL)
     SELECT recording_id, coalesce(min(CASE WHEN h >= 2000 THEN h END), max(h))::BIGINT AS height FROM st GROUP BY recording_id"""
 )
 def stitched_height(spark, sf):
-    step = F.least(F.bround(F.abs("dy"), 0).cast("bigint"), F.lit(100))
-    h = F.lit(100) + F.sum(step).over(Window.partitionBy("recording_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    return _shifts(spark, sf).withColumn("h", h).groupBy("recording_id").agg(F.coalesce(F.min(F.when(F.col("h") >= 2000, F.col("h"))), F.max("h")).alias("height"))
+    """Events of a user as the frames of a run, 100 rows high each."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    frames = _read(spark, sf, "events").select(F.col("user_id").cast("string").alias("recording_id"), (F.row_number().over(w) - 1).cast("int").alias("idx"), (F.lead("value").over(w) - F.col("value")).alias("dy"), F.lit(100).alias("height"))
+    return P.stitch_plan(frames, "recording_id", 2000).groupBy("recording_id").agg(F.max("total").alias("height"))
 
 
 @query(
@@ -364,7 +370,7 @@ def round_and_clamp(spark, sf):
 
 @query(
     """SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(t)), '[^\\p{L}\\p{M}\\p{N}_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'item') AS slug
-    FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)"""
+    FROM (SELECT doc_id, text AS t FROM documents)"""
 )
 def slugify(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
@@ -418,22 +424,21 @@ def optional_display(spark, sf):
     return _read(spark, sf, "customer").select("c_custkey", text.display(F.when(k == 0, F.lit(None)).when(k == 1, "").otherwise(F.col("c_mktsegment"))).alias("shown"))
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
+@query("SELECT o_orderkey, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'F'")
 def unprocessed(spark, sf):
-    """Recordings to process: orders stand for recordings, F for processed."""
-    return _read(spark, sf, "orders").where(F.lit(False) | (F.col("o_orderstatus") != "F")).select("o_orderkey", "o_orderstatus")
+    """Recordings to process: orders stand for recordings."""
+    return registry.unprocessed(_read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "processed").otherwise(F.col("o_orderstatus")).alias("status")))
 
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def missing_transcript(spark, sf):
-    return _read(spark, sf, "documents").join(_read(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+    return registry.without(_read(spark, sf, "documents"), _read(spark, sf, "labels"), "doc_id").select("doc_id", "source")
 
 
 @query("SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 def registered_twice(spark, sf):
-    """The duplicate check as a semi join."""
     orders = _read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return _read(spark, sf, "customer").join(orders, "c_custkey", "left_semi").select("c_custkey", "c_name")
+    return registry.known_already(_read(spark, sf, "customer"), orders, "c_custkey").select("c_custkey", "c_name")
 
 
 _TARGET = "CASE WHEN o_orderkey % 2 = 0 THEN printf('%d', o_custkey % 25) WHEN o_orderkey % 3 = 0 THEN 'none' ELSE printf('NATION_%d', o_orderkey % 25) END"
@@ -445,34 +450,38 @@ _TARGET = "CASE WHEN o_orderkey % 2 = 0 THEN printf('%d', o_custkey % 25) WHEN o
 )
 def assoc_precedence(spark, sf):
     """A target names an id first, a file name second."""
-    nation = _read(spark, sf, "nation")
-    by_id = nation.select(F.col("n_nationkey").cast("string").alias("t"), F.col("n_nationkey").alias("i"))
-    by_name = nation.groupBy(F.col("n_name").alias("t")).agg(F.min("n_nationkey").alias("n"))
-    return _read(spark, sf, "orders").select("o_orderkey", F.expr(_TARGET.replace("printf(", "format_string(")).alias("t")).join(by_id, "t", "left").join(by_name, "t", "left").select("o_orderkey", F.coalesce("i", "n").alias("target"))
+    recordings = _read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("filename"))
+    rows = _read(spark, sf, "orders").select("o_orderkey", F.expr(_TARGET.replace("printf(", "format_string(")).alias("t"))
+    return registry.resolve_targets(rows, "t", recordings).select("o_orderkey", F.col("recording").alias("target"))
 
 
-@query("SELECT doc_id, source, octet_length(encode(text))::BIGINT AS bytes, 'txt' AS format FROM documents")
-def transcripts(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("bytes"), F.lit("txt").alias("format"))
+_FILES = """SELECT '/root/' || CASE WHEN c_custkey % 2 = 0 THEN 'p' ELSE 'pp' END || '/' || printf('%06d', c_custkey) || '/' || CASE c_custkey % 5 WHEN 0 THEN 'take.MP4' WHEN 1 THEN 'notes.md' WHEN 2 THEN 'x.xyz'
+  WHEN 3 THEN printf('t%d.webm', c_custkey) ELSE 'talk.VTT' END AS path, c_custkey::BIGINT AS bytes FROM customer"""
 
 
-@query("SELECT event_type AS kind, count(*) AS n, count(*) FILTER (WHERE value > 50) AS n_large FROM events GROUP BY 1")
-def kind_counts(spark, sf):
-    return _read(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("n_large"))
+@query(
+    f"""WITH f AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS filename, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS format, CASE WHEN starts_with(path, '/root/p/') THEN substr(path, 9) ELSE path END AS stored FROM ({_FILES})),
+    r AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY path) AS k FROM f WHERE format IN ('mp4', 'webm') AND filename NOT IN ('t13.webm', 't18.webm'))
+    SELECT 'recording' AS kind, printf('rec_%02d', row_number() OVER (ORDER BY path) + 2) AS id, filename, stored, format, bytes FROM r WHERE k = 1
+    UNION ALL SELECT 'transcript', printf('tr_%02d', row_number() OVER (ORDER BY path) + 1), filename, stored, format, bytes FROM f WHERE format IN ('md', 'vtt')"""
+)
+def transcripts(spark, sf):
+    """Many files registered at once: recordings and transcripts with their ids."""
+    files = _read(spark, sf, "customer").select(F.expr(_FILES[len("SELECT ") : _FILES.index(" AS path")].replace("printf(", "format_string(")).alias("path"), F.col("c_custkey").cast("long").alias("bytes"))
+    known = spark.createDataFrame([("t13.webm",), ("t18.webm",)], "filename string")
+    return registry.additions(files, known, 2, 1, F.lit("/root/p"))
 
 
 @query("SELECT l_returnflag, string_agg(DISTINCT l_linestatus, ', ' ORDER BY l_linestatus) AS names FROM lineitem GROUP BY 1")
 def joined_names(spark, sf):
-    return _read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.concat_ws(", ", F.array_sort(F.collect_set("l_linestatus"))).alias("names"))
+    return registry.joined_names(_read(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-@query(
-    """SELECT h, s, count(*) AS n FROM (SELECT least(floor((value % 180) / 22.5), 7)::INT AS h, least(floor((event_id % 256) / 32), 7)::INT AS s FROM events WHERE value >= 0) GROUP BY ALL"""
-)
+@query("SELECT (h * 8) // 180 * 8 + s // 32 AS bin, count(*) AS n FROM (SELECT floor(value % 180)::INT AS h, (event_id % 256)::INT AS s FROM events WHERE value >= 0) GROUP BY ALL")
 def hist2d(spark, sf):
-    """Hue and saturation bins, 8 by 8 over [0,180) and [0,256)."""
-    h, s = F.least(F.floor((F.col("value") % 180) / 22.5), F.lit(7)).cast("int"), F.least(F.floor((F.col("event_id") % 256) / 32), F.lit(7)).cast("int")
-    return _read(spark, sf, "events").where("value >= 0").groupBy(h.alias("h"), s.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    """Hue and saturation bins, 8 by 8 over [0,180) and [0,256), as the embedder has them."""
+    rows = _read(spark, sf, "events").where("value >= 0")
+    return rows.groupBy(images.color_bin_column(F.floor(F.col("value") % 180).cast("int"), (F.col("event_id") % 256).cast("int")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -485,9 +494,83 @@ def boundary_kind(spark, sf):
     return _read(spark, sf, "events").select("event_id", S.boundary_kind(border, (e % 31 - 10).cast("double"), (e * 13 % 100) / 100.0, (e * 3 % 100) / 100.0)["kind"].alias("kind"))
 
 
-@query("SELECT user_id, from_type, to_type, count(*) AS n FROM (SELECT user_id, event_type AS from_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_type FROM events) WHERE to_type <> from_type GROUP BY ALL")
+@query("WITH" + _STATE_RUNS + ", nx AS (SELECT event_type AS from_state, lead(event_type) OVER (PARTITION BY recording_id ORDER BY seg_no) AS to_state FROM er) SELECT from_state, to_state, count(*) AS n FROM nx WHERE to_state <> from_state GROUP BY ALL")
 def event_graph(spark, sf):
-    """Transitions between neighbouring events of a user, without those that stay."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = _read(spark, sf, "events").select("user_id", F.col("event_type").alias("from_type"), F.lead("event_type").over(w).alias("to_type"))
-    return rows.where("to_type <> from_type").groupBy("user_id", "from_type", "to_type").agg(F.count(F.lit(1)).alias("n"))
+    """Runs of event types as segments, their types as states."""
+    runs = _state_runs(spark, sf).select("recording_id", "seg_no", F.col("event_type").alias("state_id"), F.col("start_idx").cast("double").alias("start_time"), F.col("start_idx").alias("rep_idx"), F.col("seg_no").alias("flat_no"))
+    return S.workflow_graph(S.state_changes(runs))
+
+
+def _metrics(changes):
+    """Metrics of borders by the number of the segment after them; of every eleventh a frame can't be read."""
+    k = F.col("flat_no")
+    value = lambda v: F.when(k % 11 != 0, v.cast("double"))
+    return changes.select("flat_no", value((k * 7 % 100) / 100).alias("border"), value(k % 31 - 10).alias("drop"), value((k * 13 % 100) / 100).alias("top"), value((k * 3 % 100) / 100).alias("middle"))
+
+
+_KINDS = """, kd AS (SELECT *, CASE WHEN to_no % 11 = 0 THEN 'unknown' WHEN (to_no * 7 % 100) / 100.0 > 0.85 AND to_no % 31 - 10 > 8 THEN 'modal'
+  WHEN (to_no * 13 % 100) / 100.0 > 0.9 AND (to_no * 3 % 100) / 100.0 < 0.6 AND abs(to_no % 31 - 10) < 8 THEN 'tab' ELSE 'navigation' END AS kind FROM nx WHERE to_state <> state_id)"""
+
+
+@query(
+    _ALL + _KINDS
+    + """ SELECT printf('trans_%04d', row_number() OVER (ORDER BY recording_id, to_no)) AS id, state_id AS from_state, to_state, rep_idx AS from_idx, to_rep AS to_idx, kind,
+      CASE kind WHEN 'unknown' THEN 0.3 WHEN 'modal' THEN 0.6 WHEN 'tab' THEN 0.5 ELSE 0.7 END::DOUBLE AS confidence FROM kd"""
+)
+def transition_kinds(spark, sf):
+    """Transitions with the metrics of their borders, and the representative frames that those are taken of."""
+    changes = S.state_changes(_labelled(spark, sf))
+    numbered = S.transitions(changes, _metrics(changes)).join(changes.select("recording_id", F.bround("at", 2).alias("at"), "from_idx", "to_idx"), ["recording_id", "at"])
+    return numbered.select("id", "from_state", "to_state", "from_idx", "to_idx", "kind", "confidence")
+
+
+@query(_ALL + _KINDS + " SELECT kind, count(*) AS n FROM kd GROUP BY kind")
+def kind_counts(spark, sf):
+    changes = S.state_changes(_labelled(spark, sf))
+    return views.kind_counts(S.transitions(changes, _metrics(changes)))
+
+
+def _vector_shifts(frames):
+    """Shifts between the vectors' frames that scroll for some frames at a time, up and down."""
+    k = F.col("idx")
+    return frames.select("recording_id", "idx", (k * 3 % 11 - 5).cast("double").alias("dx"), (F.floor(k / 5) * 29 % 61 - 30).cast("double").alias("dy"), F.when(k % 13 == 0, 0.4).otherwise(0.9).alias("response"))
+
+
+def _scrolled(spark, sf):
+    frames = _frames(spark, sf)
+    return S.labelled_segments(G.segment_recordings(frames, _vector_shifts(frames), CONFIG), CONFIG.merge_distance)
+
+
+_SCROLL = """
+vs AS (
+  SELECT recording_id, idx, CASE WHEN CASE WHEN idx % 13 = 0 THEN 0.4 ELSE 0.9 END >= 0.5 AND abs(idx // 5 * 29 % 61 - 30) >= 20 AND abs(idx * 3 % 11 - 5) <= 4 AND dist >= 0.05
+    THEN CASE WHEN idx // 5 * 29 % 61 - 30 >= 0 THEN 1 ELSE -1 END ELSE 0 END AS s FROM pd),
+vr AS (SELECT *, sum(c) OVER (PARTITION BY recording_id ORDER BY idx) AS r FROM (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY recording_id ORDER BY idx) IS DISTINCT FROM s THEN 1 ELSE 0 END AS c FROM vs)),
+runs AS (SELECT recording_id, min(idx) AS a, max(idx) + 1 AS b FROM vr WHERE s <> 0 GROUP BY recording_id, r HAVING count(*) >= 2),
+cut AS (SELECT p.recording_id, p.idx, p.dist > 1.0 AND NOT EXISTS (SELECT 1 FROM runs r WHERE r.recording_id = p.recording_id AND p.idx >= r.a AND p.idx < r.b) AS is_cut FROM pd p),
+isl AS (
+  SELECT fr.*, coalesce(sum(CASE WHEN is_cut THEN 1 ELSE 0 END) OVER (PARTITION BY fr.recording_id ORDER BY fr.idx), 0)::INT AS seg_no
+  FROM fr LEFT JOIN cut ON cut.recording_id = fr.recording_id AND cut.idx = fr.idx - 1),"""
+
+
+def _with_scroll() -> str:
+    """The folds over segments with scroll runs, in which scrolls and screens make states of their own."""
+    frames = _FRAMES[: _FRAMES.index("\nisl AS")] + _SCROLL + _FRAMES[_FRAMES.index("\nmean AS") :]
+    folds = _FOLDS[: _FOLDS.index("\nlab AS")]
+    for old, new in (
+        ("FROM sg),\ncl AS", "FROM (SELECT g.*, r.a, r.b, r.a IS NOT NULL AS is_scroll FROM sg g LEFT JOIN best r ON r.recording_id = g.recording_id AND r.seg_no = g.seg_no)),\ncl AS"),
+        ("fl AS (", "best AS (SELECT * FROM (SELECT g.recording_id, g.seg_no, r.a, r.b, row_number() OVER (PARTITION BY g.recording_id, g.seg_no ORDER BY r.b - r.a DESC, r.a) AS k FROM sg g JOIN runs r ON r.recording_id = g.recording_id AND r.a >= g.start_idx AND r.b <= g.end_idx) WHERE k = 1),\nfl AS ("),
+        ("SELECT 0 AS flat_no, [centroid] AS cs, 0 AS label FROM fl", "SELECT 0 AS flat_no, [centroid] AS cs, [is_scroll] AS ks, 0 AS label FROM fl"),
+        ("ELSE c END) END, label", "ELSE c END) END, CASE WHEN label = len(cs) THEN list_append(ks, is_scroll) ELSE ks END, label"),
+        ("SELECT f.flat_no, f.centroid, cs, CASE", "SELECT f.flat_no, f.centroid, f.is_scroll, cs, ks, CASE"),
+        ("SELECT f.flat_no, f.centroid, c.cs, list_transform(c.cs, lambda x: 1 - list_inner_product(x, f.centroid)) AS ds", "SELECT f.flat_no, f.centroid, f.is_scroll, c.cs, c.ks, list_transform(c.cs, lambda x, i: CASE WHEN c.ks[i] = f.is_scroll THEN 1 - list_inner_product(x, f.centroid) ELSE 9 END) AS ds"),
+    ):
+        assert old in folds, old
+        folds = folds.replace(old, new)
+    return "WITH RECURSIVE" + frames + folds
+
+
+@query(_with_scroll() + " SELECT fl.recording_id, seg_no, start_idx, end_idx, rep_idx, is_scroll, a AS scroll_start_idx, b AS scroll_end_idx, printf('state_%04d', label + 1) AS state_id FROM fl JOIN cl USING (flat_no)")
+def scroll_states(spark, sf):
+    """The flagship with scroll runs: they end no segment, and scrolls and screens never share a state."""
+    return _scrolled(spark, sf).select("recording_id", "seg_no", "start_idx", "end_idx", "rep_idx", "is_scroll", "scroll_start_idx", "scroll_end_idx", "state_id")

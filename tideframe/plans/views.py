@@ -43,6 +43,11 @@ def state_summary(state_rows: DataFrame) -> DataFrame:
     )
 
 
+def kind_counts(rows: DataFrame) -> DataFrame:
+    """kind, n: how many states, or transitions, of each kind there are."""
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def recording_counts(frames: DataFrame, segments: DataFrame) -> DataFrame:
     """recording_id, frames_sampled, segments."""
     f = frames.groupBy("recording_id").agg(F.count(F.lit(1)).alias("frames_sampled"))

@@ -6,7 +6,7 @@ import csv
 import dataclasses
 import json
 import os
-import shutil
+import struct
 import time
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .config import TRANSCRIPT_EXTENSIONS, VIDEO_EXTENSIONS, Config
-from .operators import images, segments, states
+from .operators import images, pairs, registry, segments, states
 from .plans import views
 from .sources import frames as sources
 
@@ -50,12 +50,12 @@ class Project:
     # -- manifest -------------------------------------------------------------------------------------------------
 
     @classmethod
-    def create(cls, root: str | Path, name: str) -> Project:
+    def create(cls, root: str | Path, name: str, config: Config | None = None) -> Project:
         root = Path(root)
         if (root / FOLDER / "manifest.json").exists():
             raise ProjectError(f"{root} is a project already")
         empty = {k: [] for k in ("recordings", "transcripts", "states", "screenshots", "transitions")}
-        p = cls(root, {"project": name, "schema_version": schemas.SCHEMA_VERSION, "created_at": now_iso(), "updated_at": now_iso(), "config": Config().to_dict(), **empty})
+        p = cls(root, {"project": name, "schema_version": schemas.SCHEMA_VERSION, "created_at": now_iso(), "updated_at": now_iso(), "config": (config or Config()).to_dict(), **empty})
         p.save()
         return p
 
@@ -122,12 +122,16 @@ class Project:
         rows = self.manifest["recordings"]
         if any(r["filename"] == path.name for r in rows):
             raise ProjectError(f"a recording named {path.name} is there already")
-        empty = {"duration": 0.0, "fps": 0.0, "width": 0, "height": 0, "codec": ""}
-        row = {"id": f"rec_{len(rows) + 1:02d}", "filename": path.name, "path": self._stored(path), "added_at": now_iso(), "status": "added", "metadata": empty, "transcript_id": None, "error": None}
+        row = self._recording_row(f"rec_{len(rows) + 1:02d}", path.name, self._stored(path))
         rows.append(row)
         self.save()
         return row
 
+    @staticmethod
+    def _recording_row(ident: str, filename: str, stored: str) -> dict:
+        empty = {"duration": 0.0, "fps": 0.0, "width": 0, "height": 0, "codec": ""}
+        return {"id": ident, "filename": filename, "path": stored, "added_at": now_iso(), "status": "added", "metadata": empty, "transcript_id": None, "error": None}
+
     def _add_transcript(self, path: Path, ext: str, recording_for: str | None) -> dict:
         rec = self.recording(recording_for) if recording_for else None
         if recording_for and rec is None:
@@ -140,6 +144,23 @@ class Project:
         self.save()
         return row
 
+    def add_all(self, spark: SparkSession, folder: str | Path) -> list[str]:
+        """Register every video and transcript right below ``folder`` that isn't there yet; the ids that were given."""
+        files = [(str(p.resolve()), p.stat().st_size) for p in sorted(Path(folder).iterdir()) if p.is_file()]
+        if not files:
+            return []
+        recs, trs = self.manifest["recordings"], self.manifest["transcripts"]
+        known = spark.createDataFrame([(r["filename"],) for r in recs], "filename string")
+        new = registry.additions(spark.createDataFrame(files, "path string, bytes long"), known, len(recs), len(trs), F.lit(str(self.root)))
+        rows = new.orderBy("kind", "id").collect()  # one row an entity of the manifest
+        for r in rows:
+            if r["kind"] == "recording":
+                recs.append(self._recording_row(r["id"], r["filename"], r["stored"]))
+            else:
+                trs.append({"id": r["id"], "filename": r["filename"], "path": r["stored"], "format": r["format"], "bytes": r["bytes"], "recording_id": None})
+        self.save()
+        return [r["id"] for r in rows]
+
     # -- build ----------------------------------------------------------------------------------------------------
 
     def frames_root(self) -> Path:
@@ -158,9 +179,14 @@ class Project:
             self.manifest["config"] = config.to_dict()
         self.save()
         config, warnings = self.config, []
-        todo = [r for r in self.manifest["recordings"] if force or r["status"] != "processed"]
-        self._sample(spark, [r for r in todo if not any((self.frames_root() / f"recording_id={r['id']}").glob("frame_*.png"))], warnings)
-        known = [r["id"] for r in self.manifest["recordings"] if any((self.frames_root() / f"recording_id={r['id']}").glob("frame_*.png"))]
+        images.get_embedder(config.embedder)  # one that can't be made is told before anything is done
+        entries = spark.createDataFrame([(r["id"], r["status"]) for r in self.manifest["recordings"]], "id string, status string")
+        open_ = {r["id"] for r in registry.unprocessed(entries, force).collect()}  # one row a recording
+        todo = [r for r in self.manifest["recordings"] if r["id"] in open_]
+        has_frames = lambda r: any((self.frames_root() / f"recording_id={r['id']}").glob("frame_*.png"))
+        self._probe(spark, todo)
+        self._sample(spark, [r for r in todo if not has_frames(r)])
+        known = [r["id"] for r in self.manifest["recordings"] if has_frames(r)]
         for r in todo:
             if r["id"] not in known:
                 r.update(status="error", error=r["error"] or "no frames")
@@ -169,37 +195,41 @@ class Project:
             self.save()
             raise ProjectError("no recording has frames")
 
+        for r in todo:
+            r["error"] = None if r["id"] in known else r["error"]
         log(f"{len(todo)} recordings to process, {len(known)} with frames")
         work = f"file://{self.root}/{FOLDER}/cache/tables"
         pictures = sources.read_pictures(spark, f"file://{self.frames_root()}")
         listed = sources.list_frames(spark, f"file://{self.frames_root()}", config.sample_fps)
-        seen = pictures.select("path", images.embed_column(F.col("image"), config.embedder).alias("vec"), images.small_gray_column(F.col("image")).alias("small"))
+        seen = pictures.select("path", images.embed_column(F.col("image"), config.embedder).alias("e"), images.small_gray_column(F.col("image")).alias("small"))
         path = lambda c: F.regexp_replace(c, "^file:/+", "/")
         rows = listed.withColumn("path", path("path")).join(seen.withColumn("path", path("path")), "path")
-        bad = [r[0] for r in rows.where("vec IS NULL").select("recording_id").distinct().collect()]
-        for r in todo:
-            if r["id"] in bad:
-                r.update(status="error", error="a frame can't be read")
-                warnings.append(f"{r['id']}: a frame can't be read")
-        rows = rows.where(F.col("recording_id").isin([k for k in known if k not in bad]))
+        rows = rows.where(F.col("recording_id").isin(known))
         w = Window.partitionBy("recording_id").orderBy("idx")
         rows = rows.withColumn("_next", F.lead("small").over(w))
         rows = rows.withColumn("shift", F.when(F.col("_next").isNotNull(), images.shift_column(F.col("small"), F.coalesce("_next", "small"))))
-        rows.select("recording_id", "idx", "ts", "path", "vec", "shift").write.mode("overwrite").parquet(f"{work}/frames")
+        rows.select("recording_id", "idx", "ts", "path", "e.vec", F.coalesce("e.error", "shift.error").alias("error"), "shift").write.mode("overwrite").parquet(f"{work}/frames")
+        measured = spark.read.parquet(f"{work}/frames")
+        bad = {r["recording_id"]: r["error"] for r in measured.where("error IS NOT NULL").groupBy("recording_id").agg(F.min_by("error", "idx").alias("error")).collect()}  # one row a recording
+        for r in self.manifest["recordings"]:
+            if r["id"] in bad:
+                warnings.append(f"{r['id']}: {bad[r['id']]}")
+                if r["id"] in open_:
+                    r.update(status="error", error=bad[r["id"]])
+        frames = measured.where(~F.col("recording_id").isin(list(bad))).drop("error")
         log("frames measured")
-        frames = spark.read.parquet(f"{work}/frames")
-        shifts = frames.where("shift IS NOT NULL").select("recording_id", "idx", "shift.*")
+        shifts = frames.where("shift IS NOT NULL").select("recording_id", "idx", "shift.dx", "shift.dy", "shift.response")
         segments.segment_recordings(frames, shifts, config).write.mode("overwrite").parquet(f"{work}/segments")
         segs = spark.read.parquet(f"{work}/segments")
         states.labelled_segments(segs, config.merge_distance).write.mode("overwrite").parquet(f"{work}/labelled")
         labelled = spark.read.parquet(f"{work}/labelled")
         log("states found")
 
-        shots = self._screenshots(spark, labelled, frames, pictures, config, warnings)
+        shots = self._screenshots(spark, labelled, frames, config, warnings)
         occurrence_rows = states.occurrences(labelled, frames)
         state_rows = states.states(occurrence_rows, shots).orderBy("id")
         changes = states.state_changes(labelled)
-        transition_rows = states.transitions(changes, self._boundaries(changes, frames, pictures)).orderBy("id")
+        transition_rows = states.transitions(changes, self._boundaries(spark, changes, frames)).orderBy("id")
         recs = spark.createDataFrame([(r["id"], r["filename"], float(r["metadata"]["duration"] or 0.0)) for r in self.manifest["recordings"]], "id string, filename string, duration double")
 
         plain = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731  one row a state or transition
@@ -214,7 +244,7 @@ class Project:
         report = {
             "generated_at": now_iso(), "project": self.manifest["project"], "config": config.to_dict(), "totals": totals,
             "recordings": [{"id": r["recording_id"], "frames_sampled": r["frames_sampled"], "segments": r["segments"]} for r in counts.orderBy("recording_id").collect()],
-            "warnings": warnings, "elapsed_seconds": round(time.time() - began, 2),
+            "kinds": {"states": self._kinds(state_rows), "transitions": self._kinds(transition_rows)}, "warnings": warnings, "elapsed_seconds": round(time.time() - began, 2),
         }
         out = self.root / FOLDER
         _write(out / "timeline.json", json.dumps({"project": self.manifest["project"], "recordings": timeline}, indent=2))
@@ -223,60 +253,95 @@ class Project:
         self.export(spark)
         return report
 
-    def _sample(self, spark: SparkSession, rows: list[dict], warnings: list[str]) -> None:
+    @staticmethod
+    def _kinds(rows: DataFrame) -> dict[str, int]:
+        return {r["kind"]: r["n"] for r in views.kind_counts(rows).orderBy("kind").collect()}  # a handful of kinds
+
+    def _videos(self, spark: SparkSession, rows: list[dict]) -> DataFrame:
+        return spark.createDataFrame([(r["id"], str(self.resolve(r["path"]))) for r in rows], "recording_id string, path string")
+
+    def _probe(self, spark: SparkSession, rows: list[dict]) -> None:
+        """Metadata of recordings, also of those whose frames are there; what goes wrong is kept as their error."""
         if not rows:
             return
-        videos = spark.createDataFrame([(r["id"], str(self.resolve(r["path"]))) for r in rows], "recording_id string, path string")
-        probed = {p["path"]: p for p in sources.probe_videos(videos).collect()}  # one row a recording
+        probed = {p["path"]: p for p in sources.probe_videos(self._videos(spark, rows)).collect()}  # one row a recording
         for r in rows:
             p = probed[str(self.resolve(r["path"]))]
             if p["metadata"]:
                 r["metadata"] = p["metadata"].asDict()
             r["error"] = p["error"]
-        for s in sources.sample_videos(videos, str(self.frames_root().parent), self.config.sample_fps).where("error IS NOT NULL").collect():
-            self.recording(s["recording_id"])["error"] = s["error"]
 
-    def _screenshots(self, spark: SparkSession, labelled: DataFrame, frames: DataFrame, pictures: DataFrame, config: Config, warnings: list[str]) -> DataFrame:
-        """id, state_id, path, stitched, recording_id, timestamp, width, height of each state; pictures are written."""
-        folder = self.root / FOLDER / "screenshots"
-        folder.mkdir(parents=True, exist_ok=True)
+    def _sample(self, spark: SparkSession, rows: list[dict]) -> None:
+        if rows:
+            for s in sources.sample_videos(self._videos(spark, rows), str(self.frames_root().parent), self.config.sample_fps).where("error IS NOT NULL").collect():
+                self.recording(s["recording_id"])["error"] = s["error"]
+
+    def _pictures(self, spark: SparkSession, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (path and others) with each picture; only those files are read, of which the manifest is the bound."""
+        paths = [r["path"] for r in wanted.select("path").distinct().collect()]
+        if not paths:
+            return wanted.withColumn("image", F.lit(None).cast("struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"))
+        found = sources.read_pictures(spark, [f"file://{p}" for p in paths]).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+        return wanted.join(found, "path", "left")
+
+    def _screenshots(self, spark: SparkSession, labelled: DataFrame, frames: DataFrame, config: Config, warnings: list[str]) -> DataFrame:
+        """id, state_id, path, stitched, recording_id, timestamp, width, height of each state; executors write the pictures."""
+        shots, tall = self.root / FOLDER / "screenshots", self.root / FOLDER / "stitched"
+        for folder in (shots, tall):
+            folder.mkdir(parents=True, exist_ok=True)
         canon = states.canonical_members(labelled).select("label", "state_id", "canonical.*")
         at = frames.select("recording_id", F.col("idx").alias("rep_idx"), "ts", "path")
-        rows = canon.join(at, ["recording_id", "rep_idx"]).collect()  # one row a state
-        for r in rows:
-            shutil.copyfile(r["path"], folder / f"{r['state_id']}.png")
-        scrolls = canon.where("is_scroll").select("state_id", "recording_id", "scroll_start_idx", "scroll_end_idx")
-        part = frames.select(F.col("recording_id").alias("_r"), "idx", "path", F.col("shift.dy").alias("dy"))
+        target = str(shots)
+
+        def copy(batches):
+            for pdf in batches:
+                sizes = []
+                for path, state in zip(pdf["path"], pdf["state_id"], strict=True):
+                    with open(path, "rb") as f:
+                        data = f.read()
+                    with open(f"{target}/{state}.png", "wb") as f:
+                        f.write(data)
+                    sizes.append(struct.unpack(">II", data[16:24]))  # where a PNG has its width and height
+                yield pdf[["label", "state_id", "recording_id", "ts"]].assign(width=[w for w, _ in sizes], height=[h for _, h in sizes])
+
+        rows = canon.join(at, ["recording_id", "rep_idx"]).select("label", "state_id", "recording_id", "ts", "path")
+        rows = rows.mapInPandas(copy, "label int, state_id string, recording_id string, ts double, width int, height int").collect()  # one row a state
+
+        heights = spark.createDataFrame([(r["state_id"], r["height"]) for r in rows], "state_id string, height int")
+        scrolls = canon.where("is_scroll").select("state_id", F.col("recording_id").alias("_r"), "scroll_start_idx", "scroll_end_idx").join(heights, "state_id")
+        part = frames.select("recording_id", "idx", "path", F.col("shift.dy").alias("dy"))
         run = scrolls.join(part, (F.col("_r") == F.col("recording_id")) & F.col("idx").between(F.col("scroll_start_idx"), F.col("scroll_end_idx")))
-        run = run.join(pictures.withColumn("path", F.regexp_replace("path", "^file:/+", "/")), "path").select("state_id", "idx", "dy", "image")
-        target, cap = str(folder), config.stitch_max_height_px
+        run = run.withColumn("dy", F.when(F.col("idx") < F.col("scroll_end_idx"), F.col("dy")))
+        plan = pairs.stitch_plan(run, "state_id", config.stitch_max_height_px)
+        pictures = self._pictures(spark, run.select("state_id", "idx", "path").join(plan, ["state_id", "idx"]))
+        made_in = str(tall)
 
         def save(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("idx")
-            picture = images.stitch([images.decode(r) for r in pdf["image"]], pdf["dy"].tolist()[:-1], cap)
-            name = pdf["state_id"].iloc[0]
-            if picture is not None:
-                with open(f"{target}/{name}_stitched.png", "wb") as f:
-                    f.write(images.png_bytes(picture))
-            return pd.DataFrame({"state_id": [name], "made": [picture is not None]})
-
-        made = {r["state_id"]: r["made"] for r in run.groupBy("state_id").applyInPandas(save, "state_id string, made boolean").collect()}
-        warnings += [f"{k}: not stitched" for k, ok in sorted(made.items()) if not ok]
-        sizes = {Path(r["origin"]).name: (r["width"], r["height"]) for r in spark.read.format("image").load(f"file://{folder}/state_*[0-9].png").select("image.origin", "image.width", "image.height").collect()}
-        stored = lambda n: f"{FOLDER}/screenshots/{n}.png"
+            pdf, name = pdf.sort_values("pos"), pdf["state_id"].iloc[0]
+            try:
+                picture = images.stitch([images.decode(r) for r in pdf["image"]], pdf["rows"].tolist())
+                if picture is not None:
+                    with open(f"{made_in}/{name}.png", "wb") as f:
+                        f.write(images.png_bytes(picture))
+                return pd.DataFrame({"state_id": [name], "made": [picture is not None]})
+            except Exception:  # the state keeps its screenshot
+                return pd.DataFrame({"state_id": [name], "made": [False]})
+
+        made = {r["state_id"]: r["made"] for r in pictures.groupBy("state_id").applyInPandas(save, "state_id string, made boolean").collect()}
+        warnings += [f"{k}: the scroll run can't be stitched" for k, ok in sorted(made.items()) if not ok]
         out = [
-            (f"shot_{r['label'] + 1:04d}", r["state_id"], stored(r["state_id"]), stored(f"{r['state_id']}_stitched") if made.get(r["state_id"]) else None, r["recording_id"], round(r["ts"], 2), *sizes.get(f"{r['state_id']}.png", (0, 0)))
+            (f"shot_{r['label'] + 1:04d}", r["state_id"], f"{FOLDER}/screenshots/{r['state_id']}.png", f"{FOLDER}/stitched/{r['state_id']}.png" if made.get(r["state_id"]) else None, r["recording_id"], round(r["ts"], 2), r["width"], r["height"])
             for r in rows
         ]
         return spark.createDataFrame(out, "id string, state_id string, path string, stitched string, recording_id string, timestamp double, width int, height int")
 
-    def _boundaries(self, changes: DataFrame, frames: DataFrame, pictures: DataFrame) -> DataFrame:
+    def _boundaries(self, spark: SparkSession, changes: DataFrame, frames: DataFrame) -> DataFrame:
+        """flat_no and the metrics of the two representative frames of each change of state."""
         at = frames.select("recording_id", "idx", "path")
         ends = changes.select("flat_no", "recording_id", F.col("from_idx").alias("idx"), F.lit(0).alias("side")).unionByName(changes.select("flat_no", "recording_id", F.col("to_idx").alias("idx"), F.lit(1).alias("side")))
-        shown = ends.join(at, ["recording_id", "idx"]).join(pictures.withColumn("path", F.regexp_replace("path", "^file:/+", "/")), "path")
+        shown = self._pictures(spark, ends.join(at, ["recording_id", "idx"]).select("flat_no", "side", "path"))
         both = shown.groupBy("flat_no").agg(*[F.first(F.when(F.col("side") == k, F.col("image")), ignorenulls=True).alias(n) for k, n in ((0, "a"), (1, "b"))])
-        metrics = both.select("flat_no", images.boundary_column(F.col("a"), F.col("b")).alias("m")).select("flat_no", "m.*")
-        return metrics.select("flat_no", *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in ("border", "drop", "top", "middle")])
+        return both.select("flat_no", images.boundary_column(F.col("a"), F.col("b")).alias("m")).select("flat_no", "m.*")
 
     # -- reading --------------------------------------------------------------------------------------------------
 
@@ -299,6 +364,16 @@ class Project:
             "pending": ", ".join(r["filename"] for r in recs if r["status"] != "processed"),
         }
 
+    def listing(self) -> dict[str, list[list[str]]]:
+        """Rows to be shown: recordings, transcripts, and states with how often, in how many recordings, and when first."""
+        shown = lambda *values: ["-" if v in (None, "") else str(v) for v in values]
+        first = lambda s: min((o["start_tc"] for o in s["occurrences"]), default=None)
+        return {
+            "recordings": [shown(r["id"], r["filename"], r["status"], f"{r['metadata']['duration']:.0f}s" if r["metadata"]["duration"] else None, r["transcript_id"]) for r in self.manifest["recordings"]],
+            "transcripts": [shown(t["id"], t["filename"], t["format"], t["recording_id"] or "(unassigned)") for t in self.manifest["transcripts"]],
+            "states": [shown(s["id"], s["kind"], len(s["occurrences"]), len({o["recording_id"] for o in s["occurrences"]}), first(s)) for s in self.manifest["states"]],
+        }
+
     def inspect(self, target: str) -> tuple[str, dict]:
         """A state by id, else a recording by id or file name, with its transitions."""
         for s in self.manifest["states"]:
@@ -315,11 +390,8 @@ def analyze(spark: SparkSession, video: str | Path, out: str | Path | None = Non
     video = Path(video)
     if not video.exists():
         raise FileNotFoundError(str(video))
-    root = Path(out) if out else video.parent
-    try:
-        project = Project.load(root)
-    except ProjectError:
-        project = Project.create(root, video.stem)
+    root = Path(out) if out else Path.cwd() / f"{video.stem}_tideframe"
+    project = Project.load(root) if (root / FOLDER / "manifest.json").exists() else Project.create(root, video.stem, config)
     if not any(r["filename"] == video.name for r in project.manifest["recordings"]):
         project.add(video)
     return project.build(spark, force=True, config=dataclasses.replace(config) if config else None)

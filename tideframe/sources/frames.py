@@ -32,16 +32,20 @@ def list_frames(spark: SparkSession, root: str, fps: float) -> DataFrame:
     return rows.where("number IS NOT NULL").select("recording_id", idx.alias("idx"), frame_time(F.col("number"), fps).alias("ts"), "path")
 
 
-def read_pictures(spark: SparkSession, root: str) -> DataFrame:
-    """path and ``image`` (BGR) of all frames; one that can't be decoded has an image of height -1."""
+def read_pictures(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """path and ``image`` (BGR) of all frames below a folder, or of a list of files; one that can't be decoded has an image
+    of height -1."""
     return spark.read.format("image").option("pathGlobFilter", "frame_*.png").option("recursiveFileLookup", "true").load(root).select(F.col("image.origin").alias("path"), "image")
 
 
 def parse_probe(text: str) -> tuple[float, float, int, int, str]:
-    """(duration, fps, width, height, codec) of a probe's JSON: the first video stream; what is absent is 0 or empty."""
+    """(duration, fps, width, height, codec) of a probe's JSON: the first video stream; what is absent is 0 or empty.
+
+    fps is the base rate, of which all times of a recording with a varying rate are multiples, not its average.
+    """
     data = json.loads(text or "{}")
     stream = next((s for s in data.get("streams", []) if s.get("codec_type") == "video"), {})
-    top, _, low = str(stream.get("avg_frame_rate") or stream.get("r_frame_rate") or "").partition("/")
+    top, _, low = str(stream.get("r_frame_rate") or "").partition("/")
     try:
         fps = round(float(top) / float(low), 3)
     except (ValueError, ZeroDivisionError):
