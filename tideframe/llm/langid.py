@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textblocks import mix64, slices
@@ -55,9 +55,10 @@ class LanguageFilters:
     common: int = 0
 
     @classmethod
-    def build(cls, profiles: dict[str, np.ndarray], bits: int = 20, common: str | None = None) -> LanguageFilters:
-        """Filters of 2**bits slots from each language's n-grams."""
+    def build(cls, profiles: dict[str, np.ndarray], bits: int | None = None, common: str | None = None) -> LanguageFilters:
+        """Filters of 2**bits slots from each language's n-grams; by default 2**20, or eight a gram of the largest profile."""
         languages = sorted(profiles)
+        bits = bits or max(20, (8 * max((len(p) for p in profiles.values()), default=0)).bit_length())
         slots = np.zeros((1 << bits, max(1, -(-len(languages) // 64))), np.uint64)
         fill = np.zeros(len(languages))
         for k, name in enumerate(languages):
@@ -99,11 +100,12 @@ class LanguageFilters:
         return names, np.where([x != UNDETERMINED for x in names], score, 0.0)
 
 
-def train_filters(docs: DataFrame, most_docs: int = 400, most_grams: int = 40_000, grain: int = 1 << 30) -> LanguageFilters:
+def train_filters(docs: DataFrame, most_docs: int = 400, least_docs: int = 2, grain: int = 1 << 30) -> LanguageFilters:
     """Filters from the text and lang columns of ``docs``; rows where either is null teach nothing.
 
-    At most about ``most_docs`` rows of a language are used, drawn by a hash of their text, and of those the ``most_grams``
-    n-grams in most of them (of equals the smaller number). Counting is distributed; the driver gets the chosen n-grams.
+    At most about ``most_docs`` rows of a language are used, whole, drawn by a hash of their text, and of those all n-grams
+    that ``least_docs`` or more of them have, or that a language with fewer rows has at all. Counting is distributed; the
+    driver gets the n-grams, whose number the sample bounds.
     """
     told = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in told.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
@@ -118,13 +120,19 @@ def train_filters(docs: DataFrame, most_docs: int = 400, most_grams: int = 40_00
             for at, texts in slices(batch["text"]):
                 names, of = np.unique(langs[at : at + len(texts)].astype(str), return_inverse=True)
                 gram, doc = grams([t.decode() for t in texts])
-                pairs = np.unique(np.stack([of[doc].astype(np.uint64), gram, doc.astype(np.uint64)], axis=1), axis=0) if len(gram) else np.zeros((0, 3), np.uint64)
-                both, n = np.unique(pairs[:, :2], axis=0, return_counts=True)
-                yield pa.record_batch([pa.array(names[both[:, 0].astype(int)], pa.string()), pa.array(both[:, 1].astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                for k, name in enumerate(names):
+                    mine = of[doc] == k
+                    place = np.cumsum(np.bincount(np.flatnonzero(of == k), minlength=len(of))) - 1  # texts of the language, numbered
+                    own, counts = gram[mine], place[doc[mine]].astype(np.uint64)
+                    for low in range(0, int(place[-1]) + 1, 1 << 24):  # a gram has 40 bits, a text's number the other 24
+                        use = (counts >= low) & (counts < low + (1 << 24))
+                        both = np.unique(own[use] << np.uint64(24) | counts[use] - np.uint64(low)) >> np.uint64(24)
+                        found, n = np.unique(both, return_counts=True)
+                        yield pa.record_batch([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     found = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))).where(F.col("r") <= most_grams)
-    top = ranked.select("lang", "gram").toPandas()
+    few = F.col("lang").isin([k for k, n in counts.items() if n < 2 * least_docs])
+    top = found.where((F.col("n") >= least_docs) | few).select("lang", "gram").toPandas()
     return LanguageFilters.build({lang: g["gram"].to_numpy() for lang, g in top.groupby("lang")}, common=min(counts, key=lambda k: (-counts[k], k)))
 
 
@@ -139,7 +147,7 @@ def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     Rows are judged one by one from the whole text alone; cases as in :meth:`LanguageFilters.decide`. Null or repeated
     doc_id and repeated rows stay as they are. Empty table: no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2**20 slots: 8 MB for up to 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB for up to 64 languages, or 64 bytes a gram of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
