@@ -9,6 +9,7 @@ pairs that verified links have joined by then.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -19,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import discard, durable
+from .store import discard, durable, one_row_a_batch
 from .textblocks import give_back
 
-TILE, TILE_BYTES = 4096, 1 << 22
+#: Rows of a tile, and bytes of its sketches, at most: a tile is sent once for every tile that it meets.
+TILE, TILE_BYTES = 32_768, 1 << 22
 WORDS = 5
+_BITS = 1 << 25
 #: Candidates of a tile pair up to which all of them are verified, as a multiple of its rows.
 MANY = 2
 _STEP = math.log(1.25) / 2
@@ -114,15 +117,18 @@ def _near(a: np.ndarray, na: np.ndarray, ga: np.ndarray, b: np.ndarray, nb: np.n
 def candidates(placed: DataFrame, pairs: DataFrame, everything: bool, seed: int) -> DataFrame:
     """Pairs (u, v) of the tile pairs (c, t, d, s) to be verified, and if more of them were left out (open).
 
-    placed: key, n, sketch, c, t, g. Tiles give all their candidates, or a forest that spans them if those are many.
+    placed: key, n, sketch, c, t and g, the group that a row is in (without: its own). Tiles give all their candidates, or a
+    forest that spans them if those are many.
     """
-    blobs = durable(placed.groupBy("c", "t").agg(F.collect_list(F.struct("key", "n", "sketch", "g")).alias("rows")), "near-tiles")
+    grouped = "g" in placed.columns
+    blobs = durable(placed.groupBy("c", "t").agg(F.collect_list(F.struct("key", F.col("n").cast("int").alias("n"), "sketch", *["g"] * grouped)).alias("rows")), "near-tiles")
     joined = pairs.join(blobs.select("c", "t", F.col("rows").alias("a")), ["c", "t"]).join(blobs.select(F.col("c").alias("d"), F.col("t").alias("s"), F.col("rows").alias("b")), ["d", "s"])
 
     def side(rows, groups: dict) -> tuple:
         n = rows.field("n").to_numpy()
         marks = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
-        return rows.field("key").to_pylist(), n, marks, np.array([groups.setdefault(g, len(groups)) for g in rows.field("g").to_pylist()], np.int64)
+        keys = rows.field("key").to_pylist()
+        return keys, n.astype(np.int64), marks, np.array([groups.setdefault(g, len(groups)) for g in (rows.field("g").to_pylist() if grouped else keys)], np.int64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,6 +182,30 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "key string, hs array<long>")
 
 
+def _marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` with _may: whether their key may be among those of ``wanted``, so that few rows are shuffled to be joined.
+
+    A bitmap of the wanted keys' hashes is broadcast, of _BITS bits and so 4 MB at most; beyond some millions of wanted rows
+    it lets more and more through, which costs a larger shuffle and no result.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(_BITS)) + 1
+    maps = wanted.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    held = rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_at": F.bitmap_bit_position(place)}).join(F.broadcast(maps), "_bucket", "left")
+    byte = F.conv(F.hex(F.substr(F.col("_bits"), (F.shiftright("_at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return held.withColumn("_may", F.coalesce(F.getbit(byte, F.col("_at").bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))).drop("_bucket", "_at", "_bits")
+
+
+def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` less most of those whose key ``wanted`` lacks."""
+    return _marked(rows, wanted, key).where("_may").drop("_may")
+
+
+def _without(rows: DataFrame, unwanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key ``unwanted`` lacks; only rows that may be unwanted are shuffled."""
+    marked = _marked(rows, unwanted, key)
+    return marked.where("NOT _may").drop("_may").unionByName(marked.where("_may").drop("_may").join(unwanted.select(key), key, "left_anti"))
+
+
 def links(distinct: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
     """Edges (u, v) between keys whose components are those of all pairs of Jaccard similarity 0.8 or more.
 
@@ -189,22 +219,31 @@ def links(distinct: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame
     placed = distinct.withColumn("t", F.pmod(F.xxhash64("key"), how_many[F.col("c")].cast("long")).cast("int"))
     pairs = spark.createDataFrame(near, "c int, d int, nc int, nd int")
     pairs = pairs.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))).where("c < d OR t <= s").select("c", "t", "d", "s")
-    held, found, everything, turn = None, None, False, 0
+    held, found, everything, turn, sets, known = None, None, False, 0, None, []
     while True:
-        grouped = placed.withColumn("g", F.col("key"))
+        grouped = placed
         if found is not None:
             used = pairs.select("c", "t").union(pairs.select("d", "s")).distinct()
             grouped = placed.join(used, ["c", "t"], "left_semi").join(found, F.col("key") == F.col("node"), "left").withColumn("g", F.coalesce("component", "key"))
-        tried = durable(candidates(grouped, pairs, everything, turn), "near-tried")
+        with one_row_a_batch(spark):  # a pair of tiles is MBs
+            tried = durable(candidates(grouped, pairs, everything, turn), "near-tried")
         nodes = tried.select(F.col("u").alias("key")).union(tried.select("v")).distinct()
-        wanted = distinct.select("key", "rid").join(nodes, "key")
-        sets = durable(_sets(rows.join(wanted, "rid").dropDuplicates(["rid"]), words), "near-sets")
-        both = tried.select("u", "v").distinct().join(sets.select(F.col("key").alias("u"), F.col("hs").alias("hu")), "u").join(sets.select(F.col("key").alias("v"), F.col("hs").alias("hv")), "v")
+        if sets is not None:
+            nodes = nodes.join(sets.select("key"), "key", "left_anti")
+        wanted = durable(distinct.select("key", "rid").join(nodes, "key"), "near-wanted")
+        if wanted.limit(1).count():
+            known.append(durable(_sets(_likely(rows, wanted, "rid").join(wanted, "rid").dropDuplicates(["rid"]), words), "near-sets"))
+        discard(wanted)
+        sets = functools.reduce(DataFrame.unionByName, known) if known else spark.createDataFrame([], "key string, hs array<bigint>")
+        pair = tried.select("u", "v").distinct()
+        near = sets if turn == 0 else _likely(sets, pair.select(F.col("u").alias("key")).union(pair.select("v")), "key")
+        both = pair.join(near.select(F.col("key").alias("u"), F.col("hs").alias("hu")), "u").join(near.select(F.col("key").alias("v"), F.col("hs").alias("hv")), "v")
         good = durable(both.where(9 * F.size(F.array_intersect("hu", "hv")) >= 4 * (F.size("hu") + F.size("hv"))).select("u", "v"), "near-links")
         held = good if held is None else held.unionByName(good)
         again = tried.where("open").select("c", "t", "d", "s").distinct()
-        discard(sets)
         if again.limit(1).count() == 0:
+            for s in known:
+                discard(s)
             return held
         everything = turn >= 4 or 10 * good.count() < tried.count()
         pairs, found, turn = durable(again, "near-again"), durable(components(held, "near-joined"), "near-found"), turn + 1
@@ -225,8 +264,10 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     of = distinct.join(found, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("g"))
     stays = of.groupBy("g").agg(F.min("least").alias("least")).select("g", F.col("least.rid").alias("stays"))
     dropped = printed.join(of.join(stays, "g").select("key", "stays"), "key").where("rid <> stays").select("rid")
-    kept = rows.join(durable(dropped.distinct(), "near-dropped"), "rid", "left_anti")
-    repeated = durable(printed.groupBy("rid").count().where("count > 1").select("rid"), "near-repeated")
+    dropped = durable(dropped.distinct(), "near-dropped")
+    kept = _without(rows, dropped, "rid")
+    repeated = durable(printed.groupBy("rid").count().where("count > 1").select("rid").join(dropped, "rid", "left_anti"), "near-repeated")
     if repeated.limit(1).count():
-        kept = kept.join(repeated, "rid", "left_anti").unionByName(kept.join(repeated, "rid", "left_semi").dropDuplicates(["rid"]))
+        once = _likely(rows, repeated, "rid").join(repeated, "rid", "left_semi").dropDuplicates(["rid"])
+        kept = _without(kept, repeated, "rid").unionByName(once)
     return kept.select(*docs.columns)

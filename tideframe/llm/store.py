@@ -44,6 +44,18 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextlib.contextmanager
+def one_row_a_batch(spark: SparkSession):
+    """Within this block what is evaluated hands rows to Python one at a time: rows that are large themselves."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def task_count(spark: SparkSession, size: int, most: int = 32_000_000) -> int:
     """Partitions for a shuffle of ``size`` bytes: the session's number, or more if they would hold over ``most`` each."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
