@@ -180,6 +180,42 @@ def test_hot_keys_take_the_other_way_to_the_same_rows(docs, rows, monkeypatch):
     assert bag(suffixes.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("size", [150, 1000])
+def test_suffixes_of_texts_that_are_cut(docs, rows, size, monkeypatch):
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", size)
+    want = collections.Counter(byte_windows(rows, 100))
+    # workers import the module anew, so the pieces' size is given through a wrapper that is sent along
+    cut = textblocks.cuts
+    monkeypatch.setattr(suffixes, "cuts", lambda column, most, overlap: cut(column, size, overlap))
+    assert bag(suffixes.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_cuts():
+    t = [b"x" * n for n in (0, 5, 99, 100, 199, 200, 1000)]
+    import pyarrow as pa
+
+    for most in (50, 100, 5000):
+        got = [c for part in textblocks.cuts(pa.array(t), most, 99) for c in part]
+        for k, x in enumerate(t):
+            mine = [(at, len(p)) for row, at, p in got if row == k]
+            assert mine[0][0] == 0 and mine[-1][0] + mine[-1][1] == len(x)
+            starts = [s for at, n in mine for s in range(at, at + n - 99)]
+            assert starts == list(range(max(len(x) - 99, 0)))
+
+
+@pytest.mark.parametrize("alone", [64, 0, 3])
+def test_suffix_orders(alone, monkeypatch):
+    monkeypatch.setattr(suffixes, "_ALONE", alone or 1)
+    rng = random.Random(3)
+    for _ in range(300):
+        kinds = rng.choice([1, 2, 5, 200])
+        texts = [[rng.randint(1, kinds) for _ in range(rng.randint(0, 40))] + [0] for _ in range(rng.randint(1, 12))]
+        first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        got = suffixes.suffix_orders(np.concatenate(texts), first)
+        for k, t in enumerate(texts):
+            assert (got[first[k] : first[k + 1]] - first[k]).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
 def test_suffix_order():
     rng = random.Random(3)
     for _ in range(1500):

@@ -1,15 +1,18 @@
 """Suffix sorting in linear time by groups, and dedup of long byte strings with it.
 
-:func:`suffix_order` sorts suffixes in two phases. The first refines groups of suffixes from the largest down: each suffix
-of the group at hand points to the nearest earlier suffix of a smaller group, and the suffixes pointed at are split off
-their own group by how many point at them. In the end a group holds the suffixes that begin with the same Lyndon word.
-The second phase walks the order from its smallest suffix and puts what lies before each one, along the pointers, to the
-next free place of its group. Nothing is renamed and nothing recurses.
+Suffixes are sorted in two phases. The first refines groups of suffixes from the largest down: each suffix of the group at
+hand points to the nearest earlier suffix of a smaller group, and the suffixes pointed at are split off their own group by
+how many point at them. In the end a group holds the suffixes that begin with the same Lyndon word. The second phase walks
+the order from its smallest suffix and puts what lies before each one, along the pointers, to the next free place of its
+group. Nothing is renamed and nothing recurses. :func:`suffix_orders` takes many texts in step, each with its own group at
+hand, so that every step is a few operations on arrays; :func:`suffix_order` takes one.
 
 For a corpus, equal strings of the full length meet through a chosen short string inside them (see ``repeats``); around
 each one that repeats lies a piece of text with all the strings that chose it. Equal pieces become one, with their first
-place; pieces that share a short string and differ are sorted by their suffixes, in symbols of eight bytes counted from
-the short string, and neighbours in that order that agree far enough are occurrences of one string.
+place; pieces that share a short string and differ make one text, whose suffixes are sorted, in symbols of eight bytes
+counted from the short string, and neighbours in that order that agree far enough are occurrences of one string. A short
+string that very many texts share would bring them all to one task; the strings around it are dealt by hashes of
+themselves instead, 128 bits of which then tell them to be equal.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from pyspark.sql import functions as F
 
 from .repeats import ANSWER, BOTH, Layout, Replies, answers, both, by_range, chosen, send
 from .store import discard, durable
-from .textblocks import Block, Spans, blend, give_back, mix64, slices
+from .textblocks import Block, Spans, blend, cuts, give_back, mix64
 
 _LAST_ID, _OTHER = 2**63 - 1, 0x2545F4914F6CDD1D
 #: Bytes of pieces that are sorted in one go, but for pieces around one short string, which stay together.
 SORTED_BYTES = 1_000_000
-#: Bytes of texts that are hashed at a time; a worker needs some hundred times as much while it does.
+#: Bytes of texts that are hashed at a time; a worker needs some hundred times as much while it does. Longer texts are cut.
 SLICE_BYTES = 1_000_000
+#: Texts that are sorted one by one, the longest of those at hand.
+_ALONE = 64
 
 
 def suffix_order(symbols: list[int]) -> list[int]:
@@ -108,6 +113,108 @@ def suffix_order(symbols: list[int]) -> list[int]:
     return out[1:]
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of rows with equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _spread(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after another."""
+    return np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
+
+
+def suffix_orders(text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Orders of the suffixes of many texts, as places in ``text``, one text's after another.
+
+    Text k lies at first[k] to before first[k + 1] and ends with its smallest symbol, which it has nowhere else. The few
+    longest texts, for which steps would be nearly empty, are sorted one by one.
+    """
+    out, lengths = np.empty(len(text), np.int64), np.diff(first)
+    most = np.partition(lengths, -_ALONE)[-_ALONE] if len(lengths) > _ALONE else 0
+    for k in np.flatnonzero(lengths > most):
+        low, high = first[k], first[k + 1]
+        out[low] = high - 1
+        out[low + 1 : high] = np.array(suffix_order(text[low : high - 1].tolist()), np.int64) + low
+    rest = np.flatnonzero((lengths <= most) & (lengths > 0))
+    if len(rest):
+        place = _spread(first[rest], lengths[rest])
+        inner = np.concatenate([[0], np.cumsum(lengths[rest])])
+        out[place] = place[_in_step(text[place], inner)]
+    return out
+
+
+def _in_step(text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    n, starts = len(text), first[:-1]
+    of = np.repeat(np.arange(len(starts)), np.diff(first))
+    order = np.lexsort((text, of))
+    heads = _starts(of[order], text[order])
+    size = np.zeros(n, np.int64)
+    size[heads] = np.diff(np.append(heads, n))
+    group, at = np.empty(n, np.int64), np.empty(n, np.int64)
+    group[order], at[order] = np.repeat(heads, size[heads]), np.arange(n)
+    before, taken = np.full(n, -1, np.int64), np.zeros(n, bool)
+
+    end, live = first[1:].copy(), np.arange(len(starts))
+    while len(live):  # each text's largest group that wasn't at hand yet
+        low = group[order[end[live] - 1]]
+        many = end[live] - low
+        s, lows, begin = order[_spread(low, many)], np.repeat(low, many), np.repeat(starts[live], many)
+        end[live] = low
+        live = live[low > starts[live]]
+        p = s - 1
+        on = np.arange(len(p))
+        while len(on := on[p[on] >= begin[on]]) and len(on := on[group[p[on]] > lows[on]]):
+            p[on] = before[p[on]]
+        p[p < begin] = -1
+        before[s] = p
+        on = np.arange(len(p))  # of those that point into their own group, on along the pointers of the others
+        while len(on := on[p[on] >= 0]) and len(on := on[group[p[on]] == lows[on]]):
+            before[s[on]] = p[on] = before[p[on]]
+        p = p[p >= 0]
+        if not len(p):
+            continue
+        p, count = np.unique(p, return_counts=True)
+        by = np.lexsort((count, group[p]))  # those that most point at go to the top of their groups
+        p, count = p[by], count[by]
+        g = group[p]
+        h = _starts(g)
+        moved = np.diff(np.append(h, len(g)))
+        tail = np.repeat(g[h] + size[g[h]] - moved, moved)
+        to, now = tail + np.arange(len(p)) - np.repeat(h, moved), at[p]
+        inside = now >= tail
+        taken[now[inside]] = True
+        free = to[~taken[to]]
+        taken[now[inside]] = False
+        holes, stay = now[~inside], order[free]
+        order[holes], at[stay] = stay, holes
+        order[to], at[p] = p, to
+        new = _starts(g, count)
+        size[g[h]] -= moved
+        size[to[new]] = np.diff(np.append(new, len(p)))
+        group[p] = np.repeat(to[new], size[to[new]])
+
+    out, free, placed = np.full(n, -1, np.int64), np.arange(n), np.zeros(n, bool)
+    out[starts] = first[1:] - 1
+    placed[first[1:] - 1] = True
+    longest = np.argsort(-np.diff(first), kind="stable")
+    begin, lengths = starts[longest], np.diff(first)[longest]
+    for i in range(int(lengths[0])):
+        b = begin[: np.searchsorted(-lengths, -i, side="left")]
+        s = out[b + i] - 1
+        s = s[s >= b]
+        while len(s := s[~placed[s]]):
+            g = group[s]
+            out[free[g]] = s
+            free[g] += 1
+            placed[s] = True
+            s = before[s]
+            s = s[s >= 0]
+    return out
+
+
 class PieceBlock(Block):
     """A block with its strings of the full length and the chosen short string of each."""
 
@@ -173,11 +280,12 @@ def _gather(buffer: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray
     return buffer[at]
 
 
-def _ship(layout: Layout, texts: list[bytes], ids: np.ndarray, known: Replies, width: int, block: int) -> list[tuple[int, bytes]]:
+def _ship(layout: Layout, cut: list[tuple[int, int, bytes]], all_ids: np.ndarray, known: Replies, width: int, block: int) -> list[tuple[int, bytes]]:
     """What a block sends to each range of keys: its distinct pieces, each with its first place in the block."""
-    b = PieceBlock(texts, width)
+    b = PieceBlock([t for _, _, t in cut], width)
+    ids, base = all_ids[[k for k, _, _ in cut]], np.array([x for _, x, _ in cut], np.int64)
     p = b.pieces(known)
-    doc_id, at = ids[p["doc"]], p["low"] - b.first[p["doc"]]
+    doc_id, at = ids[p["doc"]], p["low"] - b.first[p["doc"]] + base[p["doc"]]
     order, heads = _firsts(_name(p["key"], p["check"], p["into"], p["n"]), doc_id, at)
     p, doc_id, at = p[order[heads]], doc_id[order[heads]], at[order[heads]]
     ship = np.zeros(len(p), _SHIPPED)
@@ -200,24 +308,29 @@ def _eight(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     return body[at[:, None] + np.arange(8)].view("<u8")[:, 0]
 
 
-def _string_classes(body: np.ndarray, where: np.ndarray, into: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _string_classes(body: np.ndarray, where: np.ndarray, into: np.ndarray, n: np.ndarray, key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Piece, offset and class of every string of ``width`` bytes of pieces of ``n`` such strings; equal ones share a class.
 
-    Pieces lie at ``where`` in ``body`` with their short string ``into`` them. Strings that are equal have it at the same
+    Pieces lie at ``where`` in ``body`` with their short string ``into`` them, in order of its ``key``; those of one key make
+    one text to be sorted. Strings that are equal have it at the same
     place, so the suffixes to sort are those that begin a whole number of eight-byte symbols from it. A string is its
     whole symbols, which the order of suffixes finds equal, and fewer than eight bytes before and after them.
     """
     shift = into % 8
     units = (n + width - 1 - shift) // 8
-    first = np.cumsum(units + 1) - units - 1  # a separator, smaller than all symbols, ends each piece
+    keys = _starts(key)
+    first = np.cumsum(units + 1) - units - 1  # a separator, smaller than all symbols, ends each piece; the last one of a text is smaller yet
     piece = np.repeat(np.arange(len(n)), units)
     at = np.arange(len(piece)) - np.repeat(np.cumsum(units) - units, units)
     _, symbol = np.unique(_eight(body, where[piece] + shift[piece] + 8 * at), return_inverse=True)
-    text = np.zeros(int((units + 1).sum()), np.int64)
-    text[first[piece] + at] = symbol + 1
+    text = np.ones(int((units + 1).sum()), np.int64)
+    text[first[piece] + at] = symbol + 2
+    texts = np.append(first[keys], len(text))
+    text[texts[1:] - 1] = 0
     left = np.zeros(len(text), np.int64)  # symbols from here to the end of the piece
     left[first[piece] + at] = units[piece] - at
-    order = np.array(suffix_order(text.tolist()), np.int64)
+    order = suffix_orders(text, texts)
+    of_key = np.repeat(np.arange(len(keys)), np.diff(texts))
 
     owner = np.repeat(np.arange(len(n)), n)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -227,7 +340,7 @@ def _string_classes(body: np.ndarray, where: np.ndarray, into: np.ndarray, n: np
     for depth in np.unique(whole):
         o = order[left[order] >= depth]
         same = np.zeros(len(o), bool)
-        same[1:] = (text[o[1:, None] + np.arange(depth)] == text[o[:-1, None] + np.arange(depth)]).all(axis=1)
+        same[1:] = (text[o[1:, None] + np.arange(depth)] == text[o[:-1, None] + np.arange(depth)]).all(axis=1) & (of_key[o[1:]] == of_key[o[:-1]])
         of = np.zeros(len(text), np.int64)
         of[o] = np.cumsum(~same)
         mine = whole == depth
@@ -257,7 +370,7 @@ def _together(rivals: np.ndarray, distinct: np.ndarray, most: int) -> Iterator[n
 def _rival_owners(rivals: np.ndarray, distinct: np.ndarray, names: np.ndarray, body: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
     """First places, in runs of neighbouring strings, of all strings of pieces that are sorted together."""
     d = distinct[rivals]
-    piece, offset, klass = _string_classes(body, where[rivals], d["into"].astype(np.int64), d["n"].astype(np.int64), width)
+    piece, offset, klass = _string_classes(body, where[rivals], d["into"].astype(np.int64), d["n"].astype(np.int64), d["key"], width)
     ids, ats = distinct["id"][rivals][piece], distinct["at"][rivals][piece] + offset
     order, first = _firsts(klass, ids, ats)
     sizes = np.diff(np.append(first, len(order)))
@@ -272,25 +385,7 @@ def _rival_owners(rivals: np.ndarray, distinct: np.ndarray, names: np.ndarray, b
     return runs
 
 
-def _may_meet(d: np.ndarray, body: np.ndarray, where: np.ndarray, width: int, short: int) -> np.ndarray:
-    """Which pieces may share a full-length string with another one around the same short string.
-
-    Beyond the short string, such a string takes in half of what is left on one side at least.
-    """
-    size, into = d["bytes"].astype(np.int64), d["into"].astype(np.int64)
-    spans = Spans(_gather(body, where, size), 8)
-    low = np.cumsum(size) - size
-    half = (width - short) // 2
-    meets = np.zeros(len(d), bool)
-    for salt, begin, end in ((1, low + into - half, low + into + short), (2, low + into, low + into + short + half)):
-        fits = (begin >= low) & (end <= low + size)
-        view = np.where(fits, mix64(spans.hash(np.where(fits, begin, 0), np.where(fits, end, 0)) ^ d["key"]) ^ np.uint64(salt), np.uint64(0))
-        _, back, n = np.unique(view, return_inverse=True, return_counts=True)
-        meets |= fits & (n[back] > 1)
-    return meets
-
-
-def _owners(table: pa.Table, width: int, short: int) -> pa.Table:
+def _owners(table: pa.Table, width: int) -> pa.Table:
     """First places of all strings of one range of keys, for each block that holds them."""
     heads, bodies, blocks = [], [], []
     unpack = zstandard.ZstdDecompressor()
@@ -309,16 +404,14 @@ def _owners(table: pa.Table, width: int, short: int) -> pa.Table:
     owner = np.zeros(len(distinct), _OWNER)
     owner["name"], owner["id"], owner["at"], owner["to"] = names[order[first]], distinct["id"], distinct["at"], distinct["n"]
 
-    # pieces around one short string that differ are rivals; a part of them at a time is looked at and sorted
+    # pieces around one short string that differ are rivals; a part of them at a time is sorted
     by_key = np.argsort(distinct["key"], kind="stable")
     count = np.unique(distinct["key"][by_key], return_inverse=True, return_counts=True)
     rivals = by_key[(count[2][count[1]] > 1) & (distinct["bytes"][by_key] > 0)]
     sorted_, found = [], []
     for part in _together(rivals, distinct, SORTED_BYTES) if len(rivals) else ():
-        part = part[_may_meet(distinct[part], body, where[part], width, short)]
-        if len(part):
-            sorted_.append(part)
-            found.append(_rival_owners(part, distinct, owner["name"], body, where, width))
+        sorted_.append(part)
+        found.append(_rival_owners(part, distinct, owner["name"], body, where, width))
     if found:
         owner = np.concatenate([np.delete(owner, np.concatenate(sorted_)), *found])
     owner = owner[np.argsort(owner["name"], kind="stable")]
@@ -336,14 +429,14 @@ def _owners(table: pa.Table, width: int, short: int) -> pa.Table:
     )
 
 
-def _cover(b: PieceBlock, p: np.ndarray, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which bytes of the block's buffer lie in a string that also starts earlier."""
+def _cover(b: PieceBlock, p: np.ndarray, ids: np.ndarray, base: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which bytes of the block's buffer lie in a string that also starts earlier. base: where its texts begin in their rows'."""
     names = _name(p["key"], p["check"], p["into"], p["n"])
     low = np.searchsorted(owner["name"], names, side="left")
     n = np.searchsorted(owner["name"], names, side="right") - low
     each = np.repeat(np.arange(len(p)), n)
     own = owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(each))]
-    at = p["low"][each] - b.first[p["doc"][each]]
+    at = p["low"][each] - b.first[p["doc"][each]] + base[p["doc"][each]]
     later = (own["id"] != ids[p["doc"][each]]) | (own["at"] != at)
     marks = np.zeros(len(b.buffer) + 1, np.int64)
     np.add.at(marks, p["low"][each][later] + own["from"][later], 1)
@@ -375,9 +468,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False, c
         for batch in batches:
             give_back()
             blocks = batch["block"].to_numpy()
-            for at, texts in slices(batch["text"], SLICE_BYTES):
-                b = PieceBlock(texts, width)
-                yield both(*send(layout, b.key, blocks[at + b.doc]))
+            for cut in cuts(batch["text"], SLICE_BYTES, width - 1):
+                b = PieceBlock([t for _, _, t in cut], width)
+                yield both(*send(layout, b.key, blocks[np.array([k for k, _, _ in cut])[b.doc]]))
 
     sent = durable(rows.mapInArrow(scan, BOTH), "suffixes-1-sent")
     told = durable(answers(sent), "suffixes-1")
@@ -386,13 +479,13 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False, c
     def ship(block: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
         give_back()
         known, ids, out = Replies(replies["packed"]), _ids(texts["doc_id"].combine_chunks()), []
-        for at, part in slices(texts["text"].combine_chunks(), SLICE_BYTES):
-            out += _ship(layout, part, ids[at : at + len(part)], known, width, block[0].as_py())
+        for cut in cuts(texts["text"].combine_chunks(), SLICE_BYTES, width - 1):
+            out += _ship(layout, cut, ids, known, width, block[0].as_py())
         return pa.table({"range": pa.array([r for r, _ in out], pa.int64()), "packed": pa.array([x for _, x in out], pa.binary())})
 
     def own(table: pa.Table) -> pa.Table:
         give_back()
-        return _owners(table, width, max(1, width * 8 // 25))
+        return _owners(table, width)
 
     pieces = durable(rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ship, "range long, packed binary"), "suffixes-2-sent")
     owners = durable(pieces.groupBy("range").applyInArrow(own, ANSWER), "suffixes-2")
@@ -412,21 +505,30 @@ def remove_repeats(docs: DataFrame, width: int = 100, with_text: bool = False, c
             owner = np.unique(owner)
         ids = _ids(texts["doc_id"].combine_chunks())
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for at, part in slices(texts["text"].combine_chunks(), SLICE_BYTES):
-            b = PieceBlock(part, width)
-            gone = _cover(b, b.pieces(known), ids[at : at + len(part)], owner)
-            total = np.concatenate([[0], np.cumsum(gone)])
-            begins = np.concatenate([[0], np.cumsum(gone & ~np.concatenate([[False], gone[:-1]]))])
-            for d, text in enumerate(part):
-                lo, hi = b.first[d], b.last[d]
-                removed = int(total[hi] - total[lo])
-                left = b.buffer[lo:hi][~gone[lo:hi]].tobytes() if removed else text
-                out["n_bytes"].append(len(text))
-                out["n_removed"].append(removed)
-                out["n_spans"].append(int(begins[hi] - begins[lo]))
-                out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-                if with_text:
-                    out["kept"].append(left.decode("utf-8", "ignore"))
+        column, wide = texts["text"].combine_chunks().cast(pa.binary()), np.zeros(0, bool)
+
+        def settle(text: bytes, gone: np.ndarray) -> None:
+            left = np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
+            out["n_bytes"].append(len(text))
+            out["n_removed"].append(len(text) - len(left))
+            out["n_spans"].append(int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum()))
+            out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
+            if with_text:
+                out["kept"].append(left.decode("utf-8", "ignore"))
+
+        for cut in cuts(column, SLICE_BYTES, width - 1):
+            b = PieceBlock([t for _, _, t in cut], width)
+            gone = _cover(b, b.pieces(known), ids[[k for k, _, _ in cut]], np.array([x for _, x, _ in cut], np.int64), owner)
+            for d, (k, base, piece) in enumerate(cut):
+                mine = gone[b.first[d] : b.last[d]]
+                if base == 0 and len(piece) < SLICE_BYTES + width - 1:
+                    settle(piece, mine)
+                    continue
+                text = column[k].as_py()  # a piece of a long text, of which all pieces come one after another
+                wide = np.zeros(len(text), bool) if base == 0 else wide
+                wide[base : base + len(piece)] |= mine
+                if base + len(piece) >= len(text):
+                    settle(text, wide)
         kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.string()} if with_text else {})
         return pa.table({"doc_id": texts["doc_id"]} | {k: pa.array(out[k], t) for k, t in kinds.items()} | {c: texts[f"_carry_{c}"] for c in carry})
 

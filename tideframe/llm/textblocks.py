@@ -147,6 +147,26 @@ class Block:
         return out
 
 
+def cuts(column: pa.Array, most: int, overlap: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Row, place in its text and bytes of pieces, in lists of about ``most`` bytes, null as empty.
+
+    A longer text comes in several pieces that overlap by ``overlap`` bytes, so that each string of one byte more lies whole
+    in just one of them.
+    """
+    out, size = [], 0
+    for k, x in enumerate(column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column):
+        t = x.as_py() or b""
+        for at in range(0, max(len(t) - overlap, 1), most):
+            piece = t[at : at + most + overlap]
+            if out and size + len(piece) > most:
+                yield out
+                out, size = [], 0
+            out.append((k, at, piece))
+            size += len(piece)
+    if out:
+        yield out
+
+
 def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """First row and texts, null as empty, of pieces of about ``most`` bytes: bounded memory whatever a batch holds."""
     at, out, size = 0, [], 0
