@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import durable
+from .store import durable, one_row_a_batch
 from .textblocks import give_back
 
-TILE = 4096
+#: Fingerprints of a tile; a tile is sent once for every tile that it meets.
+TILE = 32_768
 
 
 def simhash(text: bytes, words: int = 4) -> int:
@@ -54,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, radius: int, step: int = 64) -> list[tuple[int, int]]:
+def _forest(a: np.ndarray, b: np.ndarray, radius: int, step: int = 32) -> list[tuple[int, int]]:
     """Edges (i, j) between places of ``a`` and of ``b`` that span all links between them."""
     label = np.arange(len(b))
     edges = []
@@ -72,7 +73,7 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, step: int = 64) -> list[t
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (u, v) between the ``rep`` values of ``distinct`` (fp, rep; each fp once) that join all within ``radius`` bits.
 
-    The driver sees no more than the 1,089 cells' counts. A tile has about 4,096 fingerprints at most.
+    The driver sees no more than the 1,089 cells' counts. A tile has about 32,768 fingerprints at most.
     """
     spark = distinct.sparkSession
     cells = distinct.withColumns({"c": F.bit_count(F.shiftrightunsigned("fp", 32)) * 33 + F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))})
@@ -115,11 +116,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     if nameless:
         keyed = distinct.select("fp", F.struct(F.col("rep").isNull().alias("last"), "rep", "fp").alias("key"))
         edges = links(distinct.select("fp", F.col("fp").alias("rep")), radius)
-        found = components(edges, "simhash-components")
+        with one_row_a_batch(docs.sparkSession):  # a pair of tiles is a MB
+            found = components(edges, "simhash-components")
         of = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("g"))
         least = of.join(keyed, "fp").groupBy("g").agg(F.min("key.rep").alias("component_id"))
         groups = of.join(least, "g").select("fp", "component_id")
     else:
-        found = components(links(known, radius), "simhash-components")
+        with one_row_a_batch(docs.sparkSession):
+            found = components(links(known, radius), "simhash-components")
         groups = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return printed.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

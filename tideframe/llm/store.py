@@ -97,7 +97,13 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def discard_all(spark: SparkSession) -> None:
-    """Delete every durable table that this process still has, once all results that rest on them are written."""
-    for path in sorted(_written):
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete the durable tables that are written within this block when it ends, but for those put in the list it gives.
+
+    For callers that write an operator's result before they leave: results are evaluated late, and rest on those tables.
+    """
+    before, kept = set(_written), []
+    yield kept
+    for path in sorted(_written - before - {df._durable_path for df in kept}):
         _delete(spark, path)
