@@ -11,7 +11,7 @@ from tideframe.llm.bpe import encode_digest
 from tideframe.llm.mixing import mix_sources
 from tideframe.llm.nearcopies import one_of_each, row_id
 from tideframe.llm.quality import keep_good, train_field
-from tideframe.llm.store import bound_batches, durable
+from tideframe.llm.store import bound_batches, discard, durable, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -68,10 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each result is written as Parquet and read as the next one's input."""
+    """All stages over the documents of ``sf_dir``; each result is written as Parquet and read as the next one's input.
+
+    What a stage wrote on its way goes when its result is written, and a result when the next one is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = durable(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as kept:
+            kept.append(durable(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(docs)
+        docs = kept[0]
+    return STAGES[-1][1](spark, docs, sf_dir)
