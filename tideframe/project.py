@@ -198,6 +198,12 @@ class Project:
         for r in todo:
             r["error"] = None if r["id"] in known else r["error"]
         log(f"{len(todo)} recordings to process, {len(known)} with frames")
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            """``df`` as a table of the project, which later steps read instead of making it again."""
+            df.write.mode("overwrite").parquet(f"{work}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
         work = f"file://{self.root}/{FOLDER}/cache/tables"
         pictures = sources.read_pictures(spark, f"file://{self.frames_root()}")
         listed = sources.list_frames(spark, f"file://{self.frames_root()}", config.sample_fps)
@@ -208,8 +214,8 @@ class Project:
         w = Window.partitionBy("recording_id").orderBy("idx")
         rows = rows.withColumn("_next", F.lead("small").over(w))
         rows = rows.withColumn("shift", F.when(F.col("_next").isNotNull(), images.shift_column(F.col("small"), F.coalesce("_next", "small"))))
-        rows.select("recording_id", "idx", "ts", "path", "e.vec", F.coalesce("e.error", "shift.error").alias("error"), "shift").write.mode("overwrite").parquet(f"{work}/frames")
-        measured = spark.read.parquet(f"{work}/frames")
+        rows = rows.select("recording_id", "idx", "ts", "path", "e.vec", F.coalesce("e.error", "shift.error").alias("error"), "shift")
+        measured = kept(rows, "frames")
         bad = {r["recording_id"]: r["error"] for r in measured.where("error IS NOT NULL").groupBy("recording_id").agg(F.min_by("error", "idx").alias("error")).collect()}  # one row a recording
         for r in self.manifest["recordings"]:
             if r["id"] in bad:
@@ -219,17 +225,15 @@ class Project:
         frames = measured.where(~F.col("recording_id").isin(list(bad))).drop("error")
         log("frames measured")
         shifts = frames.where("shift IS NOT NULL").select("recording_id", "idx", "shift.dx", "shift.dy", "shift.response")
-        segments.segment_recordings(frames, shifts, config).write.mode("overwrite").parquet(f"{work}/segments")
-        segs = spark.read.parquet(f"{work}/segments")
-        states.labelled_segments(segs, config.merge_distance).write.mode("overwrite").parquet(f"{work}/labelled")
-        labelled = spark.read.parquet(f"{work}/labelled")
+        segs = kept(segments.segment_recordings(frames, shifts, config), "segments")
+        labelled = kept(states.labelled_segments(segs, config.merge_distance), "labelled")
         log("states found")
 
         shots = self._screenshots(spark, labelled, frames, config, warnings)
         occurrence_rows = states.occurrences(labelled, frames)
-        state_rows = states.states(occurrence_rows, shots).orderBy("id")
+        state_rows = kept(states.states(occurrence_rows, shots), "states").orderBy("id")
         changes = states.state_changes(labelled)
-        transition_rows = states.transitions(changes, self._boundaries(spark, changes, frames)).orderBy("id")
+        transition_rows = kept(states.transitions(changes, self._boundaries(spark, changes, frames)), "transitions").orderBy("id")
         recs = spark.createDataFrame([(r["id"], r["filename"], float(r["metadata"]["duration"] or 0.0)) for r in self.manifest["recordings"]], "id string, filename string, duration double")
 
         plain = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731  one row a state or transition
@@ -238,7 +242,7 @@ class Project:
         for r in todo:
             if r["id"] in known and r["id"] not in bad:
                 r.update(status="processed", error=None)
-        counts = views.recording_counts(frames, segs)
+        counts = kept(views.recording_counts(frames, segs), "counts")
         timeline = plain(views.timeline(recs, occurrence_rows, state_rows).orderBy("recording_id"))
         totals = views.build_report(counts, state_rows, transition_rows).first().asDict()
         report = {
