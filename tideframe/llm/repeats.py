@@ -166,7 +166,7 @@ class Replies:
 
 
 def chosen(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values, where its smallest is, the last one of equals.
+    """For each window of ``width`` unsigned values, where its smallest is, the last one of equals.
 
     Window minima come from running minima of pieces of that width, forward and backward. A position changes only where
     a new smallest value enters or the old one leaves; just those windows are searched.
@@ -174,9 +174,8 @@ def chosen(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    top = np.uint64(2**64 - 1)
     rows = -(-len(values) // width)
-    padded = np.full(rows * width, top)
+    padded = np.full(rows * width, np.iinfo(values.dtype).max, values.dtype)
     padded[: len(values)] = values
     grid = padded.reshape(rows, width)
     forward = np.minimum.accumulate(grid, axis=1).ravel()
@@ -191,5 +190,4 @@ def chosen(values: np.ndarray, width: int) -> np.ndarray:
         s = leaves[k : k + 20_000]
         seen = values[s[:, None] + np.arange(width)[None, ::-1]]
         at[s] = s + width - 1 - np.argmin(seen, axis=1)
-    known = np.maximum.accumulate(np.where(at >= 0, np.arange(n), 0))
-    return at[known]
+    return np.maximum.accumulate(at)  # places never go back

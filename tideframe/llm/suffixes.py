@@ -34,7 +34,7 @@ _LAST_ID, _OTHER = 2**63 - 1, 0x2545F4914F6CDD1D
 #: Bytes of pieces that are sorted in one go, but for pieces around one short string, which stay together.
 SORTED_BYTES = 1_000_000
 #: Bytes of texts that are hashed at a time; a worker needs some hundred times as much while it does. Longer texts are cut.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 #: Texts that are sorted one by one, the longest of those at hand.
 _ALONE = 64
 
@@ -224,7 +224,7 @@ class PieceBlock(Block):
         short, n = self.short, len(self.buffer)
         self.spans, self.other = Spans(self.buffer, 8), Spans(self.buffer, 8, _OTHER)
         value = self.spans.fixed(short)
-        pick = chosen(value, width - short + 1)
+        pick = chosen((value >> np.uint64(32)).astype(np.uint32), width - short + 1)
         whole = np.zeros(n + 1, np.int8)
         long_enough = self.last - self.first >= width
         np.add.at(whole, self.first[long_enough], 1)

@@ -43,18 +43,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def blend(a: np.ndarray, b: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
     """One 64-bit number from two, in order; no linear relation between inputs carries over to the outcome."""
-    out = np.empty(len(a), np.uint64)
-    seeds = np.asarray(seed, np.uint64)
+    out, seeds = np.empty(len(a), np.uint64), np.asarray(seed, np.uint64)
+    spare = np.empty(min(_STEP, len(a)), np.uint64)
     for k in range(0, len(a), _STEP):
-        x = a[k : k + _STEP] ^ (seeds[k : k + _STEP] if seeds.ndim else seeds)
+        x = out[k : k + _STEP]
+        high = spare[: len(x)]
+        np.bitwise_xor(a[k : k + _STEP], seeds[k : k + _STEP] if seeds.ndim else seeds, out=x)
         x *= _A
-        x ^= x >> np.uint64(32)
+        x ^= np.right_shift(x, np.uint64(32), out=high)
         x += b[k : k + _STEP]
         x *= _B
-        x ^= x >> np.uint64(29)
+        x ^= np.right_shift(x, np.uint64(29), out=high)
         x *= _C
-        x ^= x >> np.uint64(32)
-        out[k : k + _STEP] = x
+        x ^= np.right_shift(x, np.uint64(32), out=high)
     return out
 
 
@@ -77,6 +78,10 @@ class Spans:
         self._levels = {3: eights(values).copy()} if bits == 8 else {}
         self._levels[0] = values if bits == 8 else values.astype(np.uint64)
 
+    def _itself(self, width: int) -> bool:
+        """Whether spans of this length are hashed by their number alone: a power of two that doubling has mixed."""
+        return width & (width - 1) == 0 and width * self._bits > 64
+
     def _salt(self, n: int) -> int:
         return (self._seed + n * _LENGTH) % (1 << 64)
 
@@ -97,6 +102,8 @@ class Spans:
         """Hashes of all spans of ``width`` values."""
         k = width.bit_length() - 1
         now = self.level(k)
+        if self._itself(width):
+            return now
         n = max(self._n - width + 1, 0)
         return blend(now[:n], now[width - (1 << k) :][:n], self._salt(width))
 
@@ -108,6 +115,10 @@ class Spans:
         for k in np.unique(deep[n > 0]):
             rows = np.flatnonzero((deep == k) & (n > 0))
             now = self.level(int(k))
+            if self._itself(1 << int(k)):
+                own = n[rows] == 1 << int(k)
+                out[rows[own]] = now[start[rows[own]]]
+                rows = rows[~own]
             out[rows] = blend(now[start[rows]], now[end[rows] - (1 << int(k))], np.uint64(self._seed) + n[rows].astype(np.uint64) * np.uint64(_LENGTH))
         return out
 

@@ -35,7 +35,7 @@ class WindowBlock(Block):
         at = np.arange(max(n - width + 1, 0))
         self.at = at[self.word_doc[at] == self.word_doc[at + width - 1]] if len(at) else at
         self.value = self.spans.fixed(self.short)
-        self.pick = chosen(self.value, width - self.short + 1)[self.at] if len(self.at) else self.at
+        self.pick = chosen((self.value >> np.uint64(32)).astype(np.uint32), width - self.short + 1)[self.at] if len(self.at) else self.at
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Key and place of each chosen short window."""
