@@ -268,7 +268,7 @@ def tree_of(text):
     """Sections of paragraphs of leaves, by hand: (root, [(node, [(node, [leaf])])])."""
     sha = lambda level, t: hashlib.sha256((level + t).encode()).hexdigest()
     text = text.replace("\x1d", "\x1d0").replace("\x1e", "\x1d1")
-    ends = lambda t: xxhash.xxh64_intdigest(t.rstrip(" ").encode(), 42) % 2**64
+    ends = lambda t: hashlib.md5(t.rstrip(" ").encode()).hexdigest()[0] in "08"
     sections = []
     for s in text.split("\n\n"):
         paragraphs = []
@@ -277,8 +277,7 @@ def tree_of(text):
             tokens = re.findall(merkle._TOKEN, p)
             for k, t in enumerate(tokens):
                 blocks[-1] += t
-                h = ends(t)
-                if (h - 2**64 if h >> 63 else h) % 8 == 0 and k + 1 < len(tokens):
+                if ends(t) and k + 1 < len(tokens):
                     blocks.append("")
             leaves = [sha("b", b) for b in blocks]
             paragraphs.append((sha("p", "".join(leaves)), leaves))

@@ -100,6 +100,47 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
+_OP7_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+nx AS (
+  SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST),
+         first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS nxt FROM t),
+ed AS (SELECT *, substr(text, 1, n - n // 2) || substr(nxt, 1, n // 2) AS edited FROM nx),
+every AS (SELECT text AS x FROM ed UNION SELECT edited FROM ed),
+esc AS (SELECT x, replace(replace(x, chr(29), chr(29) || '0'), chr(30), chr(29) || '1') AS e FROM every),
+leaf AS (
+  SELECT x, list_transform(string_split(e, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(
+    string_split(regexp_replace(array_to_string(list_transform(regexp_extract_all(p, '[^ 	-]+[ 	-]*|[ 	-]+'),
+      lambda w: CASE WHEN substr(md5(rtrim(w, ' ')), 1, 1) IN ('0', '8') THEN w || chr(30) ELSE w END), ''), '$', ''), chr(30)),
+    lambda b: sha256('b' || b)))) AS ss
+  FROM esc),
+para AS (SELECT x, list_transform(ss, lambda ps: list_transform(ps, lambda ls: {'node': sha256('p' || array_to_string(ls, '')), 'leaves': ls})) AS ss FROM leaf),
+sect AS (SELECT x, list_transform(ss, lambda ps: {'node': sha256('s' || array_to_string(list_transform(ps, lambda p: p.node), '')), 'ps': ps}) AS ss FROM para),
+fp AS (
+  SELECT x, sha256('r' || array_to_string(list_transform(ss, lambda s: s.node), '')) || ':' || array_to_string(list_transform(ss, lambda s: substr(s.node, 1, 8) || '=' || array_to_string(
+    list_transform(s.ps, lambda p: array_to_string(list_concat([substr(p.node, 1, 8)], list_transform(list_filter(p.leaves, lambda l: l <> sha256('b')), lambda l: substr(l, 1, 8))), ',')), ';')), '/') AS f FROM sect),
+part AS (
+  SELECT x, f, split_part(f, ':', 1) AS root, string_split(split_part(f, ':', 2), '/') AS secs,
+         list_distinct(flatten(list_transform(flatten(list_transform(string_split(split_part(f, ':', 2), '/'), lambda s: string_split(substr(s, 10), ';'))), lambda p: string_split(p, ',')[2:]))) AS leaves
+  FROM fp),
+pair AS (SELECT DISTINCT a, b FROM (SELECT text AS a, edited AS b FROM ed UNION ALL SELECT text, nxt FROM ed)),
+open1 AS (
+  SELECT a, b, p.root = q.root AS same, len(p.leaves) + len(q.leaves) AS n,
+         flatten(list_transform(list_distinct(list_filter(p.secs, lambda s: NOT list_contains(q.secs, s))), lambda s: string_split(substr(s, 10), ';'))) AS pa,
+         flatten(list_transform(list_distinct(list_filter(q.secs, lambda s: NOT list_contains(p.secs, s))), lambda s: string_split(substr(s, 10), ';'))) AS pb
+  FROM pair JOIN part p ON p.x = a JOIN part q ON q.x = b),
+open2 AS (
+  SELECT a, b, same, n, list_distinct(flatten(list_transform(list_filter(pa, lambda p: NOT list_contains(pb, p)), lambda p: string_split(p, ',')[2:]))) AS la,
+         list_distinct(flatten(list_transform(list_filter(pb, lambda p: NOT list_contains(pa, p)), lambda p: string_split(p, ',')[2:]))) AS lb
+  FROM open1),
+near AS (
+  SELECT a, b, CASE WHEN same THEN 1.0::DOUBLE WHEN n = 0 THEN 0.0::DOUBLE ELSE least(
+    1.0::DOUBLE - (len(list_filter(la, lambda l: NOT list_contains(lb, l))) + len(list_filter(lb, lambda l: NOT list_contains(la, l))))::DOUBLE / n, 1.0::DOUBLE - 1.0::DOUBLE / (n + 1)) END AS v
+  FROM open2)
+SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, f.f AS fingerprint, g.f AS edited_fingerprint, u.v AS near_edited, w.v AS near_next
+FROM ed e JOIN fp f ON f.x = e.text JOIN fp g ON g.x = e.edited JOIN near u ON u.a = e.text AND u.b = e.edited JOIN near w ON w.a = e.text AND w.b = e.nxt
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
@@ -112,4 +153,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_word_bpe": op9_word_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-SQL: dict[str, str] = {"op1_mix_sources": _OP1_SQL}
+SQL: dict[str, str] = {"op1_mix_sources": _OP1_SQL, "op7_merkle_fingerprints": _OP7_SQL}
