@@ -39,14 +39,21 @@ def segment_durations(segments: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 class _Ranges:
-    """Segments of one recording over its vectors, whose running sums give any range's centroid."""
+    """Segments of one recording over its vectors, whose running sums, kept for every 64th frame, give any range's centroid."""
 
-    def __init__(self, vec: np.ndarray, ts: np.ndarray):
-        self.vec, self.ts = vec, ts
-        self.sums = np.concatenate([np.zeros((1, vec.shape[1])), np.cumsum(vec, axis=0)])
+    def __init__(self, vec: np.ndarray, ts: np.ndarray, every: int = 64):
+        self.vec, self.ts, self.every = vec, ts, every
+        starts = np.arange(0, len(vec), every)
+        sums = np.add.reduceat(vec, starts, axis=0) if len(vec) else np.zeros((0, vec.shape[1]))
+        self.sums = np.concatenate([np.zeros((1, vec.shape[1])), np.cumsum(sums, axis=0)])
+
+    def _sum(self, n: int) -> np.ndarray:
+        """Of the first n vectors."""
+        k = n // self.every
+        return self.sums[k] + self.vec[k * self.every : n].sum(axis=0)
 
     def centroid(self, a: int, b: int) -> np.ndarray:
-        m = (self.sums[b + 1] - self.sums[a]) / (b + 1 - a)
+        m = (self._sum(b + 1) - self._sum(a)) / (b + 1 - a)
         norm = np.linalg.norm(m)
         return m / norm if norm > 1e-8 else m
 
