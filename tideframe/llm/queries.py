@@ -110,7 +110,10 @@ every AS (SELECT text AS x FROM ed UNION SELECT edited FROM ed),
 esc AS (SELECT x, replace(replace(x, chr(29), chr(29) || '0'), chr(30), chr(29) || '1') AS e FROM every),
 leaf AS (
   SELECT x, list_transform(string_split(e, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(
-    string_split(regexp_replace(array_to_string(list_transform(regexp_extract_all(p, '[^ 	-]+[ 	-]*|[ 	-]+'),
+    string_split(regexp_replace(array_to_string(list_transform(regexp_extract_all(p, '[^ 	-
+]+[ 	-
+]*|[ 	-
+]+'),
       lambda w: CASE WHEN substr(md5(rtrim(w, ' ')), 1, 1) IN ('0', '8') THEN w || chr(30) ELSE w END), ''), '$', ''), chr(30)),
     lambda b: sha256('b' || b)))) AS ss
   FROM esc),
@@ -141,6 +144,30 @@ SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, f.f
 FROM ed e JOIN fp f ON f.x = e.text JOIN fp g ON g.x = e.edited JOIN near u ON u.a = e.text AND u.b = e.edited JOIN near w ON w.a = e.text AND w.b = e.nxt
 """
 
+_OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS w FROM documents),
+win AS (SELECT rid, s, array_to_string(w[s:s + 34], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+rep AS (SELECT rid, s FROM win QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS j FROM rep),
+lost AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
+kept AS (
+  SELECT x.rid, string_agg(x.word, ' ' ORDER BY x.j) AS t FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) x
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.rid = x.rid AND g.j = x.j) GROUP BY x.rid)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(l.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN lost l USING (rid) LEFT JOIN kept k USING (rid)
+"""
+
+_OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT rid, o, s, substr(h, 2 * s + 1, 200) AS k FROM (SELECT rid, o, h, unnest(range(0, len(h) // 2 - 99)) AS s FROM d)),
+rep AS (SELECT rid, s FROM (SELECT rid, o, s, min({'o': o, 's': s}) OVER (PARTITION BY k) AS f FROM win) WHERE {'o': o, 's': s} > f),
+isl AS (SELECT rid, s, sum(c) OVER (PARTITION BY rid ORDER BY s) AS r FROM (SELECT rid, s, CASE WHEN s - lag(s) OVER (PARTITION BY rid ORDER BY s) <= 100 THEN 0 ELSE 1 END AS c FROM rep)),
+span AS (SELECT rid, min(s) AS a, max(s) + 100 AS b FROM isl GROUP BY rid, r),
+cut AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS p FROM span),
+lost AS (SELECT c.rid, sum(b - a) AS n, count(*) AS k, string_agg(substr(d.h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS t, max(b) AS z FROM cut c JOIN d USING (rid) GROUP BY c.rid)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN n IS NULL THEN h ELSE t || substr(h, 2 * z + 1) END)) AS kept_sha256
+FROM d LEFT JOIN lost l USING (rid)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
@@ -153,4 +180,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_word_bpe": op9_word_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-SQL: dict[str, str] = {"op1_mix_sources": _OP1_SQL, "op7_merkle_fingerprints": _OP7_SQL}
+SQL: dict[str, str] = {"op1_mix_sources": _OP1_SQL, "op3_substring_dedup": _OP3_SQL, "op7_merkle_fingerprints": _OP7_SQL, "op10_suffix_dedup": _OP10_SQL}
