@@ -460,7 +460,7 @@ _FILES = """SELECT '/root/' || CASE WHEN c_custkey % 2 = 0 THEN 'p' ELSE 'pp' EN
 
 
 @query(
-    f"""WITH f AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS filename, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS format, CASE WHEN starts_with(path, '/root/p/') THEN substr(path, 9) ELSE path END AS stored FROM ({_FILES})),
+    f"""WITH f AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS filename, lower(regexp_extract(path, '[.]([^./]+)$', 1)) AS format, CASE WHEN starts_with(path, '/root/p/') THEN substr(path, 9) ELSE path END AS stored FROM ({_FILES})),
     r AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY path) AS k FROM f WHERE format IN ('mp4', 'webm') AND filename NOT IN ('t13.webm', 't18.webm'))
     SELECT 'recording' AS kind, printf('rec_%02d', row_number() OVER (ORDER BY path) + 2) AS id, filename, stored, format, bytes FROM r WHERE k = 1
     UNION ALL SELECT 'transcript', printf('tr_%02d', row_number() OVER (ORDER BY path) + 1), filename, stored, format, bytes FROM f WHERE format IN ('md', 'vtt')"""
