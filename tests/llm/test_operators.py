@@ -469,6 +469,57 @@ def test_languages(docs, rows, empty, spark):
     assert {r["lang_pred"] for r in langid.predict_languages(docs, langid.LanguageFilters.build({})).collect()} == {"und"}
 
 
+def grams_by_hand(text):
+    b = text.lower().encode()
+    b = b" " + bytes(x if x >= 0x80 or 97 <= x <= 122 else 32 for x in b) + b" "
+    b = re.sub(rb" +", b" ", b)
+    return [int.from_bytes(b[k : k + 5], "little") for k in range(len(b) - 4)]
+
+
+def slots_by_hand(gram, bits):
+    out = []
+    for seed in langid._SEEDS.tolist():
+        x, mask = gram ^ seed, 2**64 - 1
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        out.append((x ^ x >> 31) >> (64 - bits))
+    return out
+
+
+def test_languages_by_hand(spark):
+    rng = random.Random(4)
+    sound = {"xx": "bcdfaeß", "yy": "mnproué", "zz": "stvwiyж"}
+    say = lambda k: [(lang := rng.choice(list(sound))), " ".join("".join(rng.choice(sound[lang]) for _ in range(rng.randint(1, 5))) + rng.choice(["", ",", " 1"]) for _ in range(k))]
+    rows = [(k, t, lang) for k in range(120) for lang, t in [say(rng.randint(1, 30))]] + [(500, "only one", "one")]
+    filters = langid.train_filters(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    bits = len(filters.slots).bit_length() - 1
+    own = {}
+    for lang in {r[2] for r in rows}:
+        n = collections.Counter(g for _, t, x in rows if x == lang for g in set(grams_by_hand(t)))
+        own[lang] = {g for g, c in n.items() if c >= 2 or lang == "one"}
+    held = {lang: {s for g in gs for s in slots_by_hand(g, bits)} for lang, gs in own.items()}
+    assert filters.languages == sorted(own)
+    for k, lang in enumerate(filters.languages):
+        assert filters.fill[k] == len(held[lang]) / 2**bits
+        assert set(np.flatnonzero(filters.slots[:, 0] >> np.uint64(k) & np.uint64(1)).tolist()) == held[lang]
+    texts = [say(rng.randint(1, 40))[1] for _ in range(60)] + ["?", "", None, "qqqq kk"]
+    names, score = filters.decide(texts)
+    for t, name, s in zip(texts, names, score, strict=True):
+        if not t or not re.search(r"[^\W\d_]", t):
+            assert (name, s) == ("und", 0)
+            continue
+        gs, votes = grams_by_hand(t), []
+        for k, lang in enumerate(filters.languages):
+            wrong = filters.fill[k] ** 3
+            hits = sum(all(x in held[lang] for x in slots_by_hand(g, bits)) for g in gs)
+            votes.append(max((hits - len(gs) * wrong) / (1 - wrong), 0))
+        total = sum(votes)
+        want = filters.languages[int(np.argmax(votes))] if total > 0 else filters.languages[filters.common]
+        assert name == want and s == pytest.approx(max(votes) / total if total > 0 else 0)
+
+
 def test_filters_hold_every_gram_of_many_languages():
     profiles = {f"l{k:02d}": np.arange(k * 1000, k * 1000 + 50).astype(np.int64) for k in range(70)}
     filters = langid.LanguageFilters.build(profiles, bits=16)
@@ -609,3 +660,22 @@ def test_queries_on_a_small_folder(spark, tmp_path):
         spark.createDataFrame([(r[0], int(r[0] % 4 > 0), int(r[0] % 5 == 0)) for r in part if r[0] is not None], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         for op in ("op2_language_id", "op4_license_scan", "op5_toxicity_chain", "op8_quality_rules"):
             assert queries.QUERIES[op](spark, f"{tmp_path}/{name}").count() == len(part)
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from tideframe.llm import store
+
+    there = lambda df: os.path.exists(df._durable_path.removeprefix("file://"))
+    before = store.durable(spark.range(3), "before")
+    with store.scratch(spark) as kept:
+        a, b = store.durable(spark.range(3), "a"), store.durable(spark.range(5), "b")
+        kept.append(b)
+    assert not there(a) and there(b) and there(before) and b.count() == 5
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    with store.one_row_a_batch(spark):
+        assert spark.conf.get(key) == "1"
+    assert spark.conf.get(key) == was
+    assert store.task_count(spark, 10**9) == 32 and store.task_count(spark, 0) == int(spark.conf.get("spark.sql.shuffle.partitions"))
