@@ -27,8 +27,10 @@ from .textblocks import give_back
 TILE, TILE_BYTES = 32_768, 1 << 22
 WORDS = 5
 _BITS = 1 << 25
-#: Candidates of a tile pair up to which all of them are verified, as a multiple of its rows.
-MANY = 2
+#: Candidates of a tile pair up to which all of them are verified, as a part of its rows.
+MANY = 0.25
+#: Pairs of two groups that a spanning forest takes, so that one of them links if many of them would.
+TESTS = 16
 _STEP = math.log(1.25) / 2
 
 
@@ -140,7 +142,8 @@ def candidates(placed: DataFrame, pairs: DataFrame, everything: bool, seed: int)
                 kb, nb, b, gb = side(batch["b"][k].values, groups)
                 w = min(a.shape[1], b.shape[1])
                 rng = np.random.default_rng([seed, *at])
-                label, edges, forest, more = np.arange(len(groups)), [], [], False
+                label, edges, forest, more, tests = np.arange(len(groups)), [], [], False, {}
+                size = np.bincount(gb if at[:2] == at[2:] else np.concatenate([ga, gb]), minlength=len(groups))
                 for i, js in _near(fold(a, w), na, ga, fold(b, w), nb, gb, at[:2] == at[2:]):
                     if everything or not more:
                         edges += [(i, j) for j in js.tolist()]
@@ -152,11 +155,15 @@ def candidates(placed: DataFrame, pairs: DataFrame, everything: bool, seed: int)
                         continue
                     js = rng.permutation(js)
                     roots, first = np.unique(label[gb[js]], return_index=True)
-                    mine = label[ga[i]]
-                    for r, f in zip(roots, first, strict=True):
+                    mine, joined = label[ga[i]], []
+                    for r, f in zip(roots.tolist(), first.tolist(), strict=True):
                         if r != mine:
                             forest.append((i, int(js[f])))
-                    label[np.isin(label, roots)] = mine
+                            pair = (mine, r) if mine < r else (r, mine)
+                            tests[pair] = tests.get(pair, 0) + 1
+                            if tests[pair] >= min(TESTS, size[ga[i]] * size[gb[js[f]]]):
+                                joined.append(r)
+                    label[np.isin(label, joined)] = mine
                 if edges:
                     yield told(forest if more else edges, ka, kb, at, more)
 
