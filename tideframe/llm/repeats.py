@@ -20,7 +20,7 @@ from .textblocks import give_back, mix64
 
 BLOCK_BYTES, RANGE_BYTES = 4_000_000, 8_000_000
 #: A key is hot if a task has it more than this often, or if more than this many entries for it arrive.
-HOT_IN_TASK, HOT_ENTRIES = 8, 512
+HOT_IN_TASK, HOT_ENTRIES = 4, 512
 
 SENT = "range long, packed binary"
 ANSWER = "block long, packed binary"

@@ -294,7 +294,7 @@ def _ship(layout: Layout, cut: list[tuple[int, int, bytes]], all_ids: np.ndarray
     by_place = np.argsort(p["low"], kind="stable")  # pieces that overlap lie together and pack well
     ship, low = ship[by_place], p["low"][by_place]
     rows = np.arange(len(ship))
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     out = []
     for r, part in by_range(layout, ship["key"], rows):
         body = _gather(b.buffer, low[part], ship["bytes"][part].astype(np.int64))
@@ -423,7 +423,7 @@ def _owners(table: pa.Table, width: int) -> pa.Table:
     to = np.repeat(block, n)
     order = np.argsort(to, kind="stable")
     parts = np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     return pa.table(
         {"block": pa.array([int(to[p[0]]) for p in parts], pa.int64()), "packed": pa.array([pack.compress(owner[rows[p]].tobytes()) for p in parts], pa.binary())}
     )
