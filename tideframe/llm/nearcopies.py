@@ -4,12 +4,14 @@ A text's sketch has one bit for each hash value modulo its length, flipped by ev
 differ in no more bits than their sets differ in shingles, so the comparison of sketches (exclusive-or and bit counts, in
 tiles of texts of like size) never loses a pair that is similar enough; pairs that it lets through are verified on the
 sets. A tile pair in which very many pairs come through gives a spanning forest of them, and is compared again without the
-pairs that verified links have joined by then.
+pairs that verified links have joined by then. What is still open after some rounds is verified where it is compared, on the
+sets of the rows concerned, so that never more leaves a pair of tiles than some pairs for each row.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -26,11 +28,15 @@ from .textblocks import give_back
 #: Rows of a tile, and bytes of its sketches, at most: a tile is sent once for every tile that it meets.
 TILE, TILE_BYTES = 32_768, 1 << 22
 WORDS = 5
+#: Jaccard similarity from which on sets link, as a fraction.
+SIMILAR = (4, 5)
 _BITS = 1 << 25
 #: Candidates of a tile pair up to which all of them are verified, as a part of its rows.
 MANY = 0.25
 #: Pairs of two groups that a spanning forest takes, so that one of them links if many of them would.
 TESTS = 16
+#: Rounds of forests, after which tile pairs that are still open are settled on the sets themselves; bytes of a part's sets.
+TURNS, PART_BYTES = 4, 1 << 22
 _STEP = math.log(1.25) / 2
 
 
@@ -98,61 +104,85 @@ def prints(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, f"rid string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, key string, n long, c int, sketch binary")
 
 
-def _near(a: np.ndarray, na: np.ndarray, ga: np.ndarray, b: np.ndarray, nb: np.ndarray, gb: np.ndarray, same: bool, step: int = 16) -> Iterator[tuple[int, np.ndarray]]:
-    """Place in ``a`` and places in ``b`` that may be similar enough and are not in one group yet."""
-    columns = np.ascontiguousarray(b.T)
-    wide = np.uint16 if 64 * a.shape[1] < 65_536 else np.uint32
-    for at in range(0, len(a), step):
-        n = na[at : at + step, None]
-        apart = np.zeros((len(n), len(b)), wide)
-        for w in range(len(columns)):
-            apart += np.bitwise_count(a[at : at + step, w, None] ^ columns[w])
-        near = 9 * apart.astype(np.int64) <= n + nb
-        for i in np.flatnonzero(near.any(axis=1)):
-            js = np.flatnonzero(near[i])
-            fits = (5 * np.minimum(na[at + i], nb[js]) >= 4 * np.maximum(na[at + i], nb[js])) & (ga[at + i] != gb[js])
-            js = js[fits & (js > at + i)] if same else js[fits]
-            if len(js):
-                yield at + int(i), js
-
-
-def candidates(placed: DataFrame, pairs: DataFrame, everything: bool, seed: int) -> DataFrame:
-    """Pairs (u, v) of the tile pairs (c, t, d, s) to be verified, and if more of them were left out (open).
+def _near(a: dict, na: np.ndarray, ga: np.ndarray, b: dict, nb: np.ndarray, gb: np.ndarray, same: bool, similar: tuple[int, int], step: int = 16) -> Iterator[tuple[int, np.ndarray]]:
+    """Place in one tile and places in the other that may be similar enough and are not in one group yet.
 
-    placed: key, n, sketch, c, t and g, the group that a row is in (without: its own). Tiles give all their candidates, or a
-    forest that spans them if those are many.
+    a, b: places and sketches of the tile's rows by the sketches' length; unlike ones are compared in the shorter length.
     """
-    grouped = "g" in placed.columns
-    blobs = durable(placed.groupBy("c", "t").agg(F.collect_list(F.struct("key", F.col("n").cast("int").alias("n"), "sketch", *["g"] * grouped)).alias("rows")), "near-tiles")
-    joined = pairs.join(blobs.select("c", "t", F.col("rows").alias("a")), ["c", "t"]).join(blobs.select(F.col("c").alias("d"), F.col("t").alias("s"), F.col("rows").alias("b")), ["d", "s"])
+    part, whole = similar
+    for (wa, (at_a, left)), (wb, (at_b, right)) in itertools.product(a.items(), b.items()):
+        if whole * max(na[at_a].max(), nb[at_b].max()) < part * min(na[at_a].min(), nb[at_b].min()):
+            continue
+        left, columns = fold(left, min(wa, wb)), np.ascontiguousarray(fold(right, min(wa, wb)).T)
+        wide = np.uint16 if 64 * len(columns) < 65_536 else np.uint32
+        n_left, n_right, g_left, g_right = na[at_a], nb[at_b], ga[at_a], gb[at_b]
+        for at in range(0, len(left), step):
+            n = n_left[at : at + step, None]
+            apart = np.zeros((len(n), len(n_right)), wide)
+            for w in range(len(columns)):
+                apart += np.bitwise_count(left[at : at + step, w, None] ^ columns[w])
+            near = (whole + part) * apart.astype(np.int64) <= (whole - part) * (n + n_right)
+            for i in np.flatnonzero(near.any(axis=1)):
+                js = np.flatnonzero(near[i])
+                k = at + int(i)
+                fits = (whole * np.minimum(n_left[k], n_right[js]) >= part * np.maximum(n_left[k], n_right[js])) & (g_left[k] != g_right[js])
+                js = at_b[js[fits]]
+                js = js[js > at_a[k]] if same else js
+                if len(js):
+                    yield int(at_a[k]), js
+
+
+def _tiles(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+
+
+def _tile_pairs(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """c, t, d, s and the rows of both tiles (a, b) of each pair of tiles; placed has g, the group that a row is in."""
+    blobs = durable(_tiles(placed, ["c", "t"], ["key", "n", "sketch", "g"]), "near-tiles")
+    a, b = blobs.select("c", "t", F.col("rows").alias("a")), blobs.select(F.col("c").alias("d"), F.col("t").alias("s"), F.col("rows").alias("b"))
+    return pairs.join(a, ["c", "t"]).join(b, ["d", "s"]).select("c", "t", "d", "s", "a", "b")
+
+
+def _side(rows, groups: dict) -> tuple:
+    """Keys, sizes, sketches by their length, and numbered groups of a tile's rows."""
+    n = rows.field("n").to_numpy()
+    marks = rows.field("sketch").to_pylist()
+    size = np.fromiter(map(len, marks), np.int64, len(marks)) // 8
+    of = {int(w): np.flatnonzero(size == w) for w in np.unique(size)}
+    by = {w: (at, np.frombuffer(b"".join([marks[k] for k in at.tolist()]), np.uint64).reshape(len(at), w)) for w, at in of.items()}
+    return rows.field("key").to_pylist(), n.astype(np.int64), by, np.array([groups.setdefault(g, len(groups)) for g in rows.field("g").to_pylist()], np.int64)
+
+
+def _both(batch: pa.RecordBatch, k: int) -> tuple:
+    """Name, both sides and number of groups of a row of :func:`_tile_pairs`."""
+    groups: dict = {}
+    at = [batch[x][k].as_py() for x in ("c", "t", "d", "s")]
+    a, b = _side(batch["a"][k].values, groups), _side(batch["b"][k].values, groups)
+    return at, a, b, len(groups)
+
+
+_OF = "c long, t int, d long, s int"
+
+
+def candidates(placed: DataFrame, pairs: DataFrame, seed: int, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Pairs (u, v) of the tile pairs (c, t, d, s) to be verified, and if more of them were left out (open).
 
-    def side(rows, groups: dict) -> tuple:
-        n = rows.field("n").to_numpy()
-        marks = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
-        keys = rows.field("key").to_pylist()
-        return keys, n.astype(np.int64), marks, np.array([groups.setdefault(g, len(groups)) for g in (rows.field("g").to_pylist() if grouped else keys)], np.int64)
+    placed: key, n, sketch, c, t and g, the group that a row is in. Tiles give all their candidates, or a forest that spans
+    them if those are many, so no more pairs leave than some for each row.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             give_back()
             for k in range(batch.num_rows):
-                at = [batch[x][k].as_py() for x in ("c", "t", "d", "s")]
-                groups: dict = {}
-                ka, na, a, ga = side(batch["a"][k].values, groups)
-                kb, nb, b, gb = side(batch["b"][k].values, groups)
-                w = min(a.shape[1], b.shape[1])
-                rng = np.random.default_rng([seed, *at])
-                label, edges, forest, more, tests = np.arange(len(groups)), [], [], False, {}
-                size = np.bincount(gb if at[:2] == at[2:] else np.concatenate([ga, gb]), minlength=len(groups))
-                for i, js in _near(fold(a, w), na, ga, fold(b, w), nb, gb, at[:2] == at[2:]):
-                    if everything or not more:
+                at, (ka, na, a, ga), (kb, nb, b, gb), many = _both(batch, k)
+                rng = np.random.default_rng([seed, *(x % (1 << 32) for x in at)])
+                label, edges, forest, more, tests = np.arange(many), [], [], False, {}
+                size = np.bincount(gb if at[:2] == at[2:] else np.concatenate([ga, gb]), minlength=many)
+                for i, js in _near(a, na, ga, b, nb, gb, at[:2] == at[2:], similar):
+                    if not more:
                         edges += [(i, j) for j in js.tolist()]
-                        more = not everything and len(edges) > MANY * (len(ka) + len(kb))
-                    if everything:
-                        if len(edges) > 65_536:
-                            yield told(edges, ka, kb, at, False)
-                            edges = []
-                        continue
+                        more = len(edges) > MANY * (len(ka) + len(kb))
                     js = rng.permutation(js)
                     roots, first = np.unique(label[gb[js]], return_index=True)
                     mine, joined = label[ga[i]], []
@@ -170,9 +200,66 @@ def candidates(placed: DataFrame, pairs: DataFrame, everything: bool, seed: int)
     def told(edges, ka, kb, at, more) -> pa.RecordBatch:
         n = len(edges)
         ends = [pa.array([ka[i] for i, _ in edges], pa.string()), pa.array([kb[j] for _, j in edges], pa.string())]
-        return pa.record_batch([*ends, pa.array([more] * n, pa.bool_()), *[pa.array([x] * n, pa.int32()) for x in at]], ["u", "v", "open", "c", "t", "d", "s"])
+        of = [pa.array([x] * n, k) for x, k in zip(at, (pa.int64(), pa.int32()) * 2, strict=True)]
+        return pa.record_batch([*ends, pa.array([more] * n, pa.bool_()), *of], ["u", "v", "open", "c", "t", "d", "s"])
+
+    return _tile_pairs(placed, pairs).mapInArrow(compare, f"u string, v string, open boolean, {_OF}")
+
+
+def _involved(placed: DataFrame, pairs: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Rows (key, n, sketch, g) of the tile pairs, on their side, that may be similar enough to one of another group."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            give_back()
+            for k in range(batch.num_rows):
+                at, (ka, na, a, ga), (kb, nb, b, gb), _ = _both(batch, k)
+                left, right = np.zeros(len(ka), bool), np.zeros(len(kb), bool)
+                for i, js in _near(a, na, ga, b, nb, gb, False, similar):
+                    left[i], right[js] = True, True
+                for side, name, rows in ((0, "a", left), (1, "b", right)):
+                    n = int(rows.sum())
+                    if n:
+                        own = batch[name][k].values.filter(pa.array(rows))
+                        of = [pa.array([x] * n, t) for x, t in zip([*at, side], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                        yield pa.record_batch([*of, *(own.field(f) for f in ("key", "n", "sketch", "g"))], ["c", "t", "d", "s", "side", "key", "n", "sketch", "g"])
+
+    return _tile_pairs(placed, pairs).mapInArrow(compare, f"{_OF}, side int, key string, n long, sketch binary, g string")
+
+
+def _settled(placed: DataFrame, pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Edges (u, v) that join all links between groups in these tile pairs, verified where the rows are compared.
 
-    return joined.select("c", "t", "d", "s", "a", "b").mapInArrow(compare, "u string, v string, open boolean, c int, t int, d int, s int")
+    Only rows that may link come, with their sets and in parts of a few MB; what leaves a pair of parts is a forest.
+    """
+    tile = ["c", "t", "d", "s"]
+    rows = durable(_involved(placed, pairs, similar), "near-involved")
+    parts = rows.groupBy(*tile, "side").agg(F.ceil(F.sum("n") * 8 / PART_BYTES).cast("int").alias("parts"))
+    dealt = rows.join(parts, [*tile, "side"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).join(sets, "key")
+    blobs = durable(_tiles(dealt, [*tile, "side", "part"], ["key", "n", "sketch", "g", "hs"]), "near-parts")
+    a, b = (blobs.where(F.col("side") == k).select(*tile, F.col("part").alias(f"p{x}"), F.col("rows").alias(x)) for k, x in enumerate("ab"))
+    part, whole = similar
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            give_back()
+            for k in range(batch.num_rows):
+                _, (ka, na, a, ga), (kb, nb, b, gb), many = _both(batch, k)
+                of_a, of_b = batch["a"][k].values.field("hs"), batch["b"][k].values.field("hs")
+                label, edges = np.arange(many), []
+                for i, js in _near(a, na, ga, b, nb, gb, False, similar):
+                    mine = of_a[i].values.to_numpy()
+                    for j in js.tolist():
+                        if label[ga[i]] != label[gb[j]]:
+                            other = of_b[j].values.to_numpy()
+                            if (whole + part) * len(np.intersect1d(mine, other, assume_unique=True)) >= part * (len(mine) + len(other)):
+                                edges.append((ka[i], kb[j]))
+                                label[label == label[gb[j]]] = label[ga[i]]
+                yield pa.record_batch([pa.array([u for u, _ in edges], pa.string()), pa.array([v for _, v in edges], pa.string())], ["u", "v"])
+
+    # within one tile a pair of parts comes in both orders; the second finds nothing that the first one has not joined
+    pair = a.join(b, tile).where("c <> d OR t <> s OR pa <= pb")
+    return pair.select(*tile, "a", "b").mapInArrow(compare, "u string, v string")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -213,49 +300,95 @@ def _without(rows: DataFrame, unwanted: DataFrame, key: str) -> DataFrame:
     return marked.where("NOT _may").drop("_may").unionByName(marked.where("_may").drop("_may").join(unwanted.select(key), key, "left_anti"))
 
 
-def links(distinct: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """Edges (u, v) between keys whose components are those of all pairs of Jaccard similarity 0.8 or more.
+class Sets:
+    """Sets of shingles of the keys asked for, read from texts once each, and pairs verified on them.
 
-    distinct: key, n, c, sketch, rid (of one row that has the set); rows: rid, text. The driver sees the cells' sizes only.
+    distinct: key, rid (of one row that has the set); rows: rid, text.
     """
-    spark = distinct.sparkSession
-    sizes = {r["c"]: r for r in distinct.groupBy("c").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")).collect()}
-    tiles = {c: -(-r["rows"] // min(TILE, max(16, TILE_BYTES // (8 * width(c))))) for c, r in sizes.items()}
-    near = [(c, d, tiles[c], tiles[d]) for c in tiles for d in tiles if c <= d and 5 * sizes[c]["most"] >= 4 * sizes[d]["least"]]
-    how_many = F.create_map(*[F.lit(x) for cn in tiles.items() for x in cn]) if tiles else F.create_map(F.lit(0), F.lit(1))
-    placed = distinct.withColumn("t", F.pmod(F.xxhash64("key"), how_many[F.col("c")].cast("long")).cast("int"))
-    pairs = spark.createDataFrame(near, "c int, d int, nc int, nd int")
-    pairs = pairs.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))).where("c < d OR t <= s").select("c", "t", "d", "s")
-    held, found, everything, turn, sets, known = None, None, False, 0, None, []
-    while True:
-        grouped = placed
-        if found is not None:
-            used = pairs.select("c", "t").union(pairs.select("d", "s")).distinct()
-            grouped = placed.join(used, ["c", "t"], "left_semi").join(found, F.col("key") == F.col("node"), "left").withColumn("g", F.coalesce("component", "key"))
-        with one_row_a_batch(spark):  # a pair of tiles is MBs
-            tried = durable(candidates(grouped, pairs, everything, turn), "near-tried")
-        nodes = tried.select(F.col("u").alias("key")).union(tried.select("v")).distinct()
-        if sets is not None:
-            nodes = nodes.join(sets.select("key"), "key", "left_anti")
-        wanted = durable(distinct.select("key", "rid").join(nodes, "key"), "near-wanted")
+
+    def __init__(self, distinct: DataFrame, rows: DataFrame, words: int, similar: tuple[int, int]):
+        self._distinct, self._rows, self._words, self._similar, self._known = distinct, rows, words, similar, []
+
+    def of(self, keys: DataFrame) -> DataFrame:
+        """key and set (array of longs) of at least the ``keys``."""
+        if self._known:
+            keys = keys.join(self._all().select("key"), "key", "left_anti")
+        wanted = durable(self._distinct.select("key", "rid").join(keys, "key"), "near-wanted")
         if wanted.limit(1).count():
-            known.append(durable(_sets(_likely(rows, wanted, "rid").join(wanted, "rid").dropDuplicates(["rid"]), words), "near-sets"))
+            self._known.append(durable(_sets(_likely(self._rows, wanted, "rid").join(wanted, "rid").dropDuplicates(["rid"]), self._words), "near-sets"))
         discard(wanted)
-        sets = functools.reduce(DataFrame.unionByName, known) if known else spark.createDataFrame([], "key string, hs array<bigint>")
-        pair = tried.select("u", "v").distinct()
-        near = sets if turn == 0 else _likely(sets, pair.select(F.col("u").alias("key")).union(pair.select("v")), "key")
+        return self._all()
+
+    def _all(self) -> DataFrame:
+        empty = self._rows.sparkSession.createDataFrame([], "key string, hs array<bigint>")
+        return functools.reduce(DataFrame.unionByName, self._known) if self._known else empty
+
+    def verified(self, pair: DataFrame) -> DataFrame:
+        """Those of distinct pairs (u, v) that are similar enough."""
+        ends = pair.select(F.col("u").alias("key")).union(pair.select("v")).distinct()
+        near = _likely(self.of(ends), ends, "key") if self._known else self.of(ends)
         both = pair.join(near.select(F.col("key").alias("u"), F.col("hs").alias("hu")), "u").join(near.select(F.col("key").alias("v"), F.col("hs").alias("hv")), "v")
-        good = durable(both.where(9 * F.size(F.array_intersect("hu", "hv")) >= 4 * (F.size("hu") + F.size("hv"))).select("u", "v"), "near-links")
+        part, whole = self._similar
+        enough = (whole + part) * F.size(F.array_intersect("hu", "hv")) >= part * (F.size("hu") + F.size("hv"))
+        return durable(both.where(enough).select("u", "v"), "near-links")
+
+    def discard(self) -> None:
+        for s in self._known:
+            discard(s)
+
+
+def grouped_by(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``rows`` with g: the component of their key, or the key alone."""
+    if found is None:
+        return rows.withColumn("g", F.col("key"))
+    return rows.join(found, F.col("key") == F.col("node"), "left").withColumn("g", F.coalesce("component", "key")).drop("node", "component")
+
+
+def joined_links(placed: DataFrame, pairs: DataFrame, sets: Sets, similar: tuple[int, int] = SIMILAR, held: DataFrame | None = None) -> DataFrame:
+    """Edges (u, v) whose components are those of all links between rows of the given pairs of tiles, and of ``held``.
+
+    placed: key, n, sketch, c, t; pairs: c, t, d, s. Tiles with few candidates give them all; others a forest that spans
+    them, are compared again without what verified links have joined, and are settled on the sets if that doesn't end.
+    """
+    spark, turn = placed.sparkSession, 0
+    found = durable(components(held, "near-joined"), "near-found") if held is not None else None
+    while True:
+        used = pairs.select("c", "t").union(pairs.select("d", "s")).distinct()
+        grouped = grouped_by(placed.join(used, ["c", "t"], "left_semi") if turn else placed, found)
+        own = sets.of(grouped.select("key").distinct()) if turn == TURNS else None
+        with one_row_a_batch(spark):  # a pair of tiles is MBs
+            if turn == TURNS:
+                return held.unionByName(durable(_settled(grouped, pairs, own, similar), "near-settled"))
+            tried = durable(candidates(grouped, pairs, turn, similar), "near-tried")
+        good = sets.verified(tried.select("u", "v").distinct())
         held = good if held is None else held.unionByName(good)
         again = tried.where("open").select("c", "t", "d", "s").distinct()
         if again.limit(1).count() == 0:
-            for s in known:
-                discard(s)
             return held
-        everything = turn >= 4 or 10 * good.count() < tried.count()
         pairs, found, turn = durable(again, "near-again"), durable(components(held, "near-joined"), "near-found"), turn + 1
 
 
+def links(distinct: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """Edges (u, v) between keys whose components are those of all pairs of Jaccard similarity 0.8 or more.
+
+    distinct: key, n, c, sketch, rid (of one row that has the set); rows: rid, text. The driver sees the cells' sizes only.
+    """
+    spark = distinct.sparkSession
+    sizes = {r["c"]: r for r in distinct.groupBy("c").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")).collect()}
+    tiles = {c: -(-r["rows"] // min(TILE, max(16, TILE_BYTES // (8 * width(c))))) for c, r in sizes.items()}
+    part, whole = SIMILAR
+    near = [(c, d, tiles[c], tiles[d]) for c in tiles for d in tiles if c <= d and whole * sizes[c]["most"] >= part * sizes[d]["least"]]
+    how_many = F.create_map(*[F.lit(x) for cn in tiles.items() for x in cn]) if tiles else F.create_map(F.lit(0), F.lit(1))
+    placed = distinct.withColumn("t", F.pmod(F.xxhash64("key"), how_many[F.col("c")].cast("long")).cast("int")).withColumn("c", F.col("c").cast("long"))
+    pairs = spark.createDataFrame(near, "c long, d long, nc int, nd int")
+    pairs = pairs.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))).where("c < d OR t <= s").select("c", "t", "d", "s")
+    sets = Sets(distinct, rows, words, SIMILAR)
+    try:
+        return joined_links(placed, pairs, sets)
+    finally:
+        sets.discard()
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows of ``docs`` (doc_id, text and others) less near copies: of each group linked by a Jaccard similarity of 0.8 or more
     of word shingles, the row of smallest doc_id stays.

@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align_documents
 from .bpe import encode_digest
+from .fim import fill_in_middle, restore
 from .langid import held_out, predict_languages, train_filters
 from .licenses import scan_licenses
 from .merkle import compare_with_edit
 from .mixing import mix_sources
-from . import suffixes, windows
+from . import minhash, suffixes, windows
 from .quality import score_quality, train_field
 from .simhash import near_duplicates
 from .store import bound_batches
@@ -72,6 +74,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    hashes = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("form"), F.col("output")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -110,11 +127,8 @@ every AS (SELECT text AS x FROM ed UNION SELECT edited FROM ed),
 esc AS (SELECT x, replace(replace(x, chr(29), chr(29) || '0'), chr(30), chr(29) || '1') AS e FROM every),
 leaf AS (
   SELECT x, list_transform(string_split(e, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(
-    string_split(regexp_replace(array_to_string(list_transform(regexp_extract_all(p, '[^ 	-
-]+[ 	-
-]*|[ 	-
-]+'),
-      lambda w: CASE WHEN substr(md5(rtrim(w, ' ')), 1, 1) IN ('0', '8') THEN w || chr(30) ELSE w END), ''), '$', ''), chr(30)),
+    string_split(regexp_replace(array_to_string(list_transform(regexp_extract_all(p, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+'),
+      lambda w: CASE WHEN substr(md5(rtrim(w, ' ')), 1, 1) IN ('0', '8') THEN w || chr(30) ELSE w END), ''), '\x1E$', ''), chr(30)),
     lambda b: sha256('b' || b)))) AS ss
   FROM esc),
 para AS (SELECT x, list_transform(ss, lambda ps: list_transform(ps, lambda ls: {'node': sha256('p' || array_to_string(ls, '')), 'leaves': ls})) AS ss FROM leaf),
@@ -145,7 +159,7 @@ FROM ed e JOIN fp f ON f.x = e.text JOIN fp g ON g.x = e.edited JOIN near u ON u
 """
 
 _OP3_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 win AS (SELECT rid, s, array_to_string(w[s:s + 34], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
 rep AS (SELECT rid, s FROM win QUALIFY count(*) OVER (PARTITION BY k) > 1),
 gone AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS j FROM rep),
@@ -168,6 +182,39 @@ SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_r
 FROM d LEFT JOIN lost l USING (rid)
 """
 
+_OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+draw AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+form AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM draw),
+cut AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM form)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256
+FROM cut
+"""
+
+_OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+full_set AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' ')))) END AS s
+  FROM d),
+same AS (SELECT s, min(rid) AS rep, min(doc_id) AS least, len(s) AS n FROM full_set GROUP BY s),
+one AS (SELECT rep, n, unnest(s) AS x FROM same),
+link AS (
+  SELECT a.rep AS u, b.rep AS v FROM one a JOIN one b ON a.x = b.x AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS u, rep AS v FROM same UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u),
+comp AS (SELECT r.u AS rep, min(q.least) AS component_id FROM reach r JOIN same q ON q.rep = r.v GROUP BY r.u)
+SELECT f.doc_id, len(f.s)::BIGINT AS n_shingles, CASE WHEN len(f.s) = 0 THEN f.doc_id ELSE c.component_id END AS component_id,
+       coalesce(f.doc_id = CASE WHEN len(f.s) = 0 THEN f.doc_id ELSE c.component_id END, false) AS kept
+FROM full_set f JOIN same q ON q.s = f.s JOIN comp c ON c.rep = q.rep
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
@@ -179,5 +226,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_word_bpe": op9_word_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
-SQL: dict[str, str] = {"op1_mix_sources": _OP1_SQL, "op3_substring_dedup": _OP3_SQL, "op7_merkle_fingerprints": _OP7_SQL, "op10_suffix_dedup": _OP10_SQL}
+SQL: dict[str, str] = {"op1_mix_sources": _OP1_SQL, "op3_substring_dedup": _OP3_SQL, "op7_merkle_fingerprints": _OP7_SQL, "op10_suffix_dedup": _OP10_SQL, "op12_fill_in_middle": _OP12_SQL, "op13_minhash_near_dedup": _OP13_SQL}
