@@ -258,10 +258,13 @@ def test_forest_spans_all_links():
     assert len(edges) < 900 and all((int(a[i]) ^ int(a[j])).bit_count() <= 1 for i, j in edges)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [components.IN_ONE_TASK, 10, -1])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "IN_ONE_TASK", few)
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 201), (200, 202), (200, 203)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 200: 200, 201: 200, 202: 200, 203: 200}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def tree_of(text):

@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nearcopies
-from .components import components
-from .nearcopies import Sets, cell_of, fold, grouped_by, joined_links, row_id, shingles, sketch, width
+from .nearcopies import Sets, cell_of, fold, grouped_by, joined_links, row_id, shingles, sketch, width, with_links
 from .store import discard, durable, scratch
 from .textblocks import blend, give_back, mix64
 
@@ -73,7 +72,7 @@ def bands(hashes: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndar
 
 
 def prints(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """rid, doc_id, key (the set's 128-bit digest), n (its size), sketch, and bands of rows (rid, doc_id, text).
+    """rid, doc_id, digest (the set's, 128 bits), n (its size), sketch, and bands of rows (rid, doc_id, text).
 
     Sets of five shingles or fewer have no bands: at 0.85 they are similar to none but their equals.
     """
@@ -90,21 +89,29 @@ def prints(rows: DataFrame, words: int = WORDS) -> DataFrame:
                 marks.append(sketch(hs, width(cell_of(len(hs)))).tobytes())
                 of.append(bands(hs).view(np.int64) if len(hs) > alone else np.zeros(0, np.int64))
             columns = [batch["rid"], batch["doc_id"], pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(of, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, ["rid", "doc_id", "key", "n", "sketch", "bands"])
+            yield pa.record_batch(columns, ["rid", "doc_id", "digest", "n", "sketch", "bands"])
 
     rows = rows.select("rid", "doc_id", "text")
-    return rows.mapInArrow(run, f"rid string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, key string, n long, sketch binary, bands array<long>")
+    return rows.mapInArrow(run, f"rid string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest string, n long, sketch binary, bands array<long>")
 
 
-def stars(buckets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """Distinct candidate edges (u, v) from the smallest key of each bucket to its others, of sizes that can be similar.
+def shared_buckets(distinct: DataFrame) -> DataFrame:
+    """h, key, n, to (key and n of its smallest key) and rows of buckets that hold two sets or more, for each of their sets.
 
-    buckets: h, key, n. The smallest key is found with partial sums on the way, so a bucket of very many rows is no hot one.
+    The smallest key is found with partial sums on the way, so a bucket of very many rows is no hot one, and a bitmap keeps
+    most sets that are alone in their bucket out of the second shuffle.
     """
-    centres = buckets.groupBy("h").agg(F.min(F.struct("key", "n")).alias("to"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "to")
+    buckets = distinct.select(F.explode("bands").alias("h"), "key", F.col("n").cast("int").alias("n"))
+    centres = buckets.groupBy("h").agg(F.min(F.struct("key", "n")).alias("to"), F.count(F.lit(1)).cast("int").alias("rows")).where("rows > 1")
+    centres = durable(centres, "minhash-centres")
+    return durable(nearcopies.likely(buckets, centres, "h").join(centres, "h"), "minhash-buckets")
+
+
+def stars(buckets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Distinct candidate edges (u, v) from the smallest key of each bucket to its others, of sizes that can be similar."""
     part, whole = similar
     fits = (F.col("key") != F.col("to.key")) & (whole * F.least("n", "to.n") >= part * F.greatest("n", "to.n"))
-    return buckets.join(centres, "h").where(fits).select(F.col("to.key").alias("u"), F.col("key").alias("v")).distinct()
+    return buckets.where(fits).select(F.col("to.key").alias("u"), F.col("key").alias("v")).distinct()
 
 
 def _apart(pairs: tuple[np.ndarray, np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
@@ -135,8 +142,8 @@ def small_candidates(rows: DataFrame, similar: tuple[int, int] = SIMILAR) -> Dat
             for at in range(0, batch.num_rows, 256):
                 members = batch["members"].slice(at, 256)
                 rows, size = members.flatten(), members.value_lengths().to_numpy()
-                names, place = np.unique(np.array(rows.field("g").to_pylist(), object), return_inverse=True) if len(rows) else ([], np.zeros(0, np.int64))
-                n, keys = rows.field("n").to_numpy(), np.array(rows.field("key").to_pylist(), object)
+                place = rows.field("g").to_numpy()
+                n, keys = rows.field("n").to_numpy(), rows.field("key").to_numpy()
                 # each row with those after it in its bucket
                 first = np.cumsum(size) - size
                 rest = np.repeat(first + size, size) - np.arange(len(rows)) - 1
@@ -148,35 +155,35 @@ def small_candidates(rows: DataFrame, similar: tuple[int, int] = SIMILAR) -> Dat
                 near = (whole + part) * _apart((a, b), marks) <= (whole - part) * (n[a] + n[b])
                 u, v = keys[a[near]], keys[b[near]]
                 low = u < v
-                yield pa.record_batch([pa.array(np.where(low, u, v), pa.string()), pa.array(np.where(low, v, u), pa.string())], ["u", "v"])
+                yield pa.record_batch([pa.array(np.where(low, u, v)), pa.array(np.where(low, v, u))], ["u", "v"])
 
-    return rows.select("members").mapInArrow(run, "u string, v string").distinct()
+    return rows.select("members").mapInArrow(run, "u long, v long").distinct()
 
 
 def links(distinct: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """Edges (u, v) between keys whose components are those of all verified pairs that share a bucket.
+    """node, component of the keys that verified pairs of a bucket join.
 
-    distinct: key, n, sketch, bands, rid (of one row that has the set); rows: rid, text.
+    distinct: key (a number of the set's own), n, sketch, bands, rid (of one row that has the set); rows: rid, text.
     """
     sets = Sets(distinct, rows, words, SIMILAR)
-    buckets = distinct.select(F.explode("bands").alias("h"), "key", "n")
-    held = sets.verified(likely_pairs(durable(stars(buckets), "minhash-stars"), distinct))
-    found = durable(components(held, "minhash-joined"), "minhash-found")
-    grouped = grouped_by(buckets, found)
-    least, most = F.min("g"), F.max("g")
-    open_ = durable(grouped.groupBy("h").agg(least.alias("least"), most.alias("most"), F.count(F.lit(1)).alias("rows")).where("least < most").select("h", "rows"), "minhash-open")
+    buckets = shared_buckets(distinct)
+    found = with_links(None, sets.verified(durable(likely_pairs(stars(buckets), distinct), "minhash-stars")))
+    grouped = durable(grouped_by(buckets.select("h", "key", "n", "rows"), found), "minhash-grouped")
+    open_ = grouped.groupBy("h").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("h")
     members = durable(grouped.join(open_, "h").join(distinct.select("key", "sketch"), "key"), "minhash-members")
     small = members.where(F.col("rows") <= SMALL).groupBy("h").agg(F.collect_list(F.struct("key", "n", "sketch", "g")).alias("members"))
-    held = held.unionByName(sets.verified(durable(small_candidates(small), "minhash-small")))
+    close = durable(small_candidates(small), "minhash-small")
     large = members.where(F.col("rows") > SMALL)
-    if large.limit(1).count():
+    if large.limit(1).count() == 0:
+        found = with_links(found, sets.verified(close))
+    else:
         tiles = F.ceil(F.col("rows") / TILE).cast("int")
-        placed = large.select("key", "n", "sketch", F.col("h").alias("c"), F.pmod(F.xxhash64("key"), tiles).cast("int").alias("t"))
-        many = open_.where(F.col("rows") > SMALL).select(F.col("h").alias("c"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("t"), (tiles - 1).alias("last"))
+        placed = large.select("key", F.col("n").cast("long").alias("n"), "sketch", F.col("h").alias("c"), F.pmod(F.xxhash64("key"), tiles).cast("int").alias("t"))
+        many = large.select(F.col("h").alias("c"), "rows").distinct().select("c", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("t"), (tiles - 1).alias("last"))
         pairs = many.select("c", "t", F.col("c").alias("d"), F.explode(F.sequence("t", "last")).alias("s"))
-        held = joined_links(durable(placed, "minhash-placed"), durable(pairs, "minhash-tiles"), sets, SIMILAR, held)
+        found = joined_links(durable(placed, "minhash-placed"), durable(pairs, "minhash-tiles"), sets, SIMILAR, found, close)
     sets.discard()
-    return held
+    return found
 
 
 def likely_pairs(pairs: DataFrame, distinct: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -192,7 +199,7 @@ def likely_pairs(pairs: DataFrame, distinct: DataFrame, similar: tuple[int, int]
             near = (whole + part) * _apart((at, at + batch.num_rows), marks) <= (whole - part) * n
             yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], ["u", "v"]).filter(pa.array(near))
 
-    return both.mapInArrow(run, "u string, v string")
+    return both.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -207,12 +214,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("rid", row_id(docs.select("doc_id", "text")))
     printed = durable(prints(rows, words), "minhash-prints")
     full = printed.where("n > 0")
-    by_key = full.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min("rid").alias("rid"), F.min("doc_id").alias("least"))
-    distinct = durable(by_key, "minhash-distinct")
+    by_key = full.groupBy("digest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min("rid").alias("rid"), F.min("doc_id").alias("least"))
+    distinct = durable(by_key.withColumn("key", F.monotonically_increasing_id()), "minhash-distinct")
     with scratch(docs.sparkSession) as kept:
-        found = components(links(distinct, rows, words), "minhash-components")
-        of = grouped_by(distinct.select("key", "least"), found)
+        of = grouped_by(distinct.select("key", "digest", "least"), links(distinct, rows, words))
         least = of.groupBy("g").agg(F.min("least").alias("component_id"))
-        kept.append(durable(of.join(least, "g").select("key", "component_id"), "minhash-groups"))
-    out = full.join(kept[0], "key").select("doc_id", "n", "component_id").unionByName(printed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+        kept.append(durable(of.join(least, "g").select("digest", "component_id"), "minhash-groups"))
+    out = full.join(kept[0], "digest").select("doc_id", "n", "component_id").unionByName(printed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

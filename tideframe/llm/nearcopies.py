@@ -37,6 +37,8 @@ MANY = 0.25
 TESTS = 16
 #: Rounds of forests, after which tile pairs that are still open are settled on the sets themselves; bytes of a part's sets.
 TURNS, PART_BYTES = 4, 1 << 22
+#: A round in which not one candidate in FEW holds is the last one of forests.
+FEW = 10
 _STEP = math.log(1.25) / 2
 
 
@@ -85,7 +87,7 @@ def row_id(docs: DataFrame) -> Column:
 
 
 def prints(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """rid, doc_id, key (the set's 128-bit digest), n (its size), c (its cell) and sketch of rows (rid, doc_id, text)."""
+    """rid, doc_id, digest (the set's, 128 bits), n (its size), c (its cell) and sketch of rows (rid, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,10 +100,10 @@ def prints(rows: DataFrame, words: int = WORDS) -> DataFrame:
                 sizes.append(len(hs))
                 cells.append(c)
                 marks.append(sketch(hs, width(c)).tobytes())
-            yield pa.record_batch([batch["rid"], batch["doc_id"], pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(cells, pa.int32()), pa.array(marks, pa.binary())], ["rid", "doc_id", "key", "n", "c", "sketch"])
+            yield pa.record_batch([batch["rid"], batch["doc_id"], pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(cells, pa.int32()), pa.array(marks, pa.binary())], ["rid", "doc_id", "digest", "n", "c", "sketch"])
 
     rows = rows.select("rid", "doc_id", "text")
-    return rows.mapInArrow(run, f"rid string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, key string, n long, c int, sketch binary")
+    return rows.mapInArrow(run, f"rid string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest string, n long, c int, sketch binary")
 
 
 def _near(a: dict, na: np.ndarray, ga: np.ndarray, b: dict, nb: np.ndarray, gb: np.ndarray, same: bool, similar: tuple[int, int], step: int = 16) -> Iterator[tuple[int, np.ndarray]]:
@@ -199,11 +201,11 @@ def candidates(placed: DataFrame, pairs: DataFrame, seed: int, similar: tuple[in
 
     def told(edges, ka, kb, at, more) -> pa.RecordBatch:
         n = len(edges)
-        ends = [pa.array([ka[i] for i, _ in edges], pa.string()), pa.array([kb[j] for _, j in edges], pa.string())]
+        ends = [pa.array([ka[i] for i, _ in edges], pa.int64()), pa.array([kb[j] for _, j in edges], pa.int64())]
         of = [pa.array([x] * n, k) for x, k in zip(at, (pa.int64(), pa.int32()) * 2, strict=True)]
         return pa.record_batch([*ends, pa.array([more] * n, pa.bool_()), *of], ["u", "v", "open", "c", "t", "d", "s"])
 
-    return _tile_pairs(placed, pairs).mapInArrow(compare, f"u string, v string, open boolean, {_OF}")
+    return _tile_pairs(placed, pairs).mapInArrow(compare, f"u long, v long, open boolean, {_OF}")
 
 
 def _involved(placed: DataFrame, pairs: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -224,7 +226,7 @@ def _involved(placed: DataFrame, pairs: DataFrame, similar: tuple[int, int]) ->
                         of = [pa.array([x] * n, t) for x, t in zip([*at, side], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
                         yield pa.record_batch([*of, *(own.field(f) for f in ("key", "n", "sketch", "g"))], ["c", "t", "d", "s", "side", "key", "n", "sketch", "g"])
 
-    return _tile_pairs(placed, pairs).mapInArrow(compare, f"{_OF}, side int, key string, n long, sketch binary, g string")
+    return _tile_pairs(placed, pairs).mapInArrow(compare, f"{_OF}, side int, key long, n long, sketch binary, g long")
 
 
 def _settled(placed: DataFrame, pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -255,11 +257,11 @@ def _settled(placed: DataFrame, pairs: DataFrame, sets: DataFrame, similar: tupl
                             if (whole + part) * len(np.intersect1d(mine, other, assume_unique=True)) >= part * (len(mine) + len(other)):
                                 edges.append((ka[i], kb[j]))
                                 label[label == label[gb[j]]] = label[ga[i]]
-                yield pa.record_batch([pa.array([u for u, _ in edges], pa.string()), pa.array([v for _, v in edges], pa.string())], ["u", "v"])
+                yield pa.record_batch([pa.array([u for u, _ in edges], pa.int64()), pa.array([v for _, v in edges], pa.int64())], ["u", "v"])
 
     # within one tile a pair of parts comes in both orders; the second finds nothing that the first one has not joined
     pair = a.join(b, tile).where("c <> d OR t <> s OR pa <= pb")
-    return pair.select(*tile, "a", "b").mapInArrow(compare, "u string, v string")
+    return pair.select(*tile, "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -273,7 +275,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
             values = pa.concat_arrays(sets) if sets else pa.array([], pa.int64())
             yield pa.record_batch([batch["key"], pa.ListArray.from_arrays(pa.array(ends), values)], ["key", "hs"])
 
-    return rows.select("key", "text").mapInArrow(run, "key string, hs array<long>")
+    return rows.select("key", "text").mapInArrow(run, "key long, hs array<long>")
 
 
 def _marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -289,7 +291,7 @@ def _marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return held.withColumn("_may", F.coalesce(F.getbit(byte, F.col("_at").bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))).drop("_bucket", "_at", "_bits")
 
 
-def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """``rows`` less most of those whose key ``wanted`` lacks."""
     return _marked(rows, wanted, key).where("_may").drop("_may")
 
@@ -315,18 +317,18 @@ class Sets:
             keys = keys.join(self._all().select("key"), "key", "left_anti")
         wanted = durable(self._distinct.select("key", "rid").join(keys, "key"), "near-wanted")
         if wanted.limit(1).count():
-            self._known.append(durable(_sets(_likely(self._rows, wanted, "rid").join(wanted, "rid").dropDuplicates(["rid"]), self._words), "near-sets"))
+            self._known.append(durable(_sets(likely(self._rows, wanted, "rid").join(wanted, "rid").dropDuplicates(["rid"]), self._words), "near-sets"))
         discard(wanted)
         return self._all()
 
     def _all(self) -> DataFrame:
-        empty = self._rows.sparkSession.createDataFrame([], "key string, hs array<bigint>")
+        empty = self._rows.sparkSession.createDataFrame([], "key bigint, hs array<bigint>")
         return functools.reduce(DataFrame.unionByName, self._known) if self._known else empty
 
     def verified(self, pair: DataFrame) -> DataFrame:
         """Those of distinct pairs (u, v) that are similar enough."""
         ends = pair.select(F.col("u").alias("key")).union(pair.select("v")).distinct()
-        near = _likely(self.of(ends), ends, "key") if self._known else self.of(ends)
+        near = likely(self.of(ends), ends, "key") if self._known else self.of(ends)
         both = pair.join(near.select(F.col("key").alias("u"), F.col("hs").alias("hu")), "u").join(near.select(F.col("key").alias("v"), F.col("hs").alias("hv")), "v")
         part, whole = self._similar
         enough = (whole + part) * F.size(F.array_intersect("hu", "hv")) >= part * (F.size("hu") + F.size("hv"))
@@ -344,34 +346,46 @@ def grouped_by(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found, F.col("key") == F.col("node"), "left").withColumn("g", F.coalesce("component", "key")).drop("node", "component")
 
 
-def joined_links(placed: DataFrame, pairs: DataFrame, sets: Sets, similar: tuple[int, int] = SIMILAR, held: DataFrame | None = None) -> DataFrame:
-    """Edges (u, v) whose components are those of all links between rows of the given pairs of tiles, and of ``held``.
+def joined_links(placed: DataFrame, pairs: DataFrame, sets: Sets, similar: tuple[int, int] = SIMILAR, found: DataFrame | None = None, also: DataFrame | None = None) -> DataFrame:
+    """node, component of all keys that links join: those between rows of the given pairs of tiles, those among the pairs (u, v)
+    of ``also``, and those of ``found``.
 
     placed: key, n, sketch, c, t; pairs: c, t, d, s. Tiles with few candidates give them all; others a forest that spans
-    them, are compared again without what verified links have joined, and are settled on the sets if that doesn't end.
+    them, and are compared again without what verified links have joined. Once few candidates hold, or after some rounds, what
+    is left is settled on the sets.
     """
-    spark, turn = placed.sparkSession, 0
-    found = durable(components(held, "near-joined"), "near-found") if held is not None else None
+    spark, turn, tried, good = placed.sparkSession, 0, None, None
     while True:
         used = pairs.select("c", "t").union(pairs.select("d", "s")).distinct()
         grouped = grouped_by(placed.join(used, ["c", "t"], "left_semi") if turn else placed, found)
-        own = sets.of(grouped.select("key").distinct()) if turn == TURNS else None
+        last = turn == TURNS or (turn > 0 and FEW * good.count() < tried.count())
+        own = sets.of(grouped.select("key").distinct()) if last else None
         with one_row_a_batch(spark):  # a pair of tiles is MBs
-            if turn == TURNS:
-                return held.unionByName(durable(_settled(grouped, pairs, own, similar), "near-settled"))
+            if last:
+                return with_links(found, durable(_settled(grouped, pairs, own, similar), "near-settled"))
             tried = durable(candidates(grouped, pairs, turn, similar), "near-tried")
-        good = sets.verified(tried.select("u", "v").distinct())
-        held = good if held is None else held.unionByName(good)
-        again = tried.where("open").select("c", "t", "d", "s").distinct()
-        if again.limit(1).count() == 0:
-            return held
-        pairs, found, turn = durable(again, "near-again"), durable(components(held, "near-joined"), "near-found"), turn + 1
+        pair = tried.select("u", "v")
+        good = sets.verified((pair if turn or also is None else pair.unionByName(also)).distinct())
+        found, turn = with_links(found, good), turn + 1
+        pairs = durable(tried.where("open").select("c", "t", "d", "s").distinct(), "near-again")
+        if pairs.limit(1).count() == 0:
+            return found
+
+
+def with_links(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, component after more links (u, v); what was found before goes in as the stars that it is."""
+    if found is not None:
+        if links.limit(1).count() == 0:
+            return found
+        links = links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return durable(components(links, "near-joined"), "near-found")
 
 
 def links(distinct: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """Edges (u, v) between keys whose components are those of all pairs of Jaccard similarity 0.8 or more.
+    """node, component of the keys that pairs of Jaccard similarity 0.8 or more join.
 
-    distinct: key, n, c, sketch, rid (of one row that has the set); rows: rid, text. The driver sees the cells' sizes only.
+    distinct: key (a number of the set's own, fixed by being written), n, c, sketch, rid (of one row that has the set); rows:
+    rid, text. The driver sees the cells' sizes only.
     """
     spark = distinct.sparkSession
     sizes = {r["c"]: r for r in distinct.groupBy("c").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")).collect()}
@@ -399,15 +413,16 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = docs.withColumn("rid", row_id(docs))
     printed = durable(prints(rows, words), "near-prints")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
-    distinct = durable(printed.groupBy("key").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("sketch").alias("sketch"), F.min(order).alias("least")).withColumn("rid", F.col("least.rid")), "near-distinct")
-    found = components(links(distinct, rows, words), "near-components")
-    of = distinct.join(found, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("g"))
+    distinct = printed.groupBy("digest").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("sketch").alias("sketch"), F.min(order).alias("least"))
+    distinct = durable(distinct.withColumns({"rid": F.col("least.rid"), "key": F.monotonically_increasing_id()}), "near-distinct")
+    found = links(distinct, rows, words)
+    of = distinct.join(found, F.col("key") == F.col("node"), "left").select("digest", "least", F.coalesce("component", "key").alias("g"))
     stays = of.groupBy("g").agg(F.min("least").alias("least")).select("g", F.col("least.rid").alias("stays"))
-    dropped = printed.join(of.join(stays, "g").select("key", "stays"), "key").where("rid <> stays").select("rid")
+    dropped = printed.join(of.join(stays, "g").select("digest", "stays"), "digest").where("rid <> stays").select("rid")
     dropped = durable(dropped.distinct(), "near-dropped")
     kept = _without(rows, dropped, "rid")
     repeated = durable(printed.groupBy("rid").count().where("count > 1").select("rid").join(dropped, "rid", "left_anti"), "near-repeated")
     if repeated.limit(1).count():
-        once = _likely(rows, repeated, "rid").join(repeated, "rid", "left_semi").dropDuplicates(["rid"])
+        once = likely(rows, repeated, "rid").join(repeated, "rid", "left_semi").dropDuplicates(["rid"])
         kept = _without(kept, repeated, "rid").unionByName(once)
     return kept.select(*docs.columns)
