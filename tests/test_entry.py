@@ -23,3 +23,14 @@ def test_works_without_the_optional_part(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert out.stdout.split() == [str(len(entry.catalog.QUERIES)), str(len(entry.catalog.SQL))]
+
+
+def test_works_where_the_optional_part_cannot_be_imported(tmp_path):
+    import shutil
+
+    shutil.copytree(ROOT / "tideframe", tmp_path / "tideframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "tideframe" / "llm").mkdir()
+    (tmp_path / "tideframe" / "llm" / "__init__.py").write_text("import a_package_that_is_not_there\n")
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(entry.catalog.QUERIES))] and "a_package_that_is_not_there" in out.stderr

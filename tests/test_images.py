@@ -80,7 +80,7 @@ def test_an_embedder_without_its_packages_says_so():
 def test_boundaries():
     rng = np.random.default_rng(2)
     a = rng.integers(100, 256, (200, 300, 3), dtype=np.uint8)
-    assert images.boundary_metrics(a, a)[:2] == (1.0, 0.0)
+    assert images.boundary_metrics(a, a)[:2] == pytest.approx((1.0, 0.0))
     b = a.copy()
     b[50:180] = rng.integers(100, 256, (130, 300, 3), dtype=np.uint8)
     _, drop, top, middle = images.boundary_metrics(a, b)
@@ -102,3 +102,11 @@ def test_embedding_is_a_unit_vector():
 def test_area_resize_keeps_the_mean():
     a = np.random.default_rng(4).random((37, 53))
     assert abs(images.area_resize(a, 11, 7).mean() - a.mean()) < 1e-9
+
+
+def test_colour_bins_of_columns(spark):
+    rows = [(h, s) for h in range(0, 180, 7) for s in range(0, 256, 15)]
+    df = spark.createDataFrame(rows, "h int, s int")
+    got = [r[0] for r in df.select(images.color_bin_column(df["h"], df["s"])).collect()]
+    assert got == images.color_bin(*np.array(rows).T).tolist()
+    assert "Python" not in df.select(images.color_bin_column(df["h"], df["s"]))._jdf.queryExecution().toString()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tideframe.cli import main
+from tideframe.config import Config
 from tideframe.operators import images
 from tideframe.operators.images import png_bytes
 from tideframe.project import Project, ProjectError, analyze
@@ -113,6 +114,10 @@ def test_commands(tmp_path, monkeypatch, capsys):
     capsys.readouterr()
     assert main(["list"]) == 0 and main(["inspect", "nothing"]) == 1
     assert "  tr_01  note.md  md  rec_02" in capsys.readouterr().out
+    assert main(["status"]) == 0
+    assert "to be built: one.mp4, two.mp4" in capsys.readouterr().out
+    assert main(["inspect", "two.mp4"]) == 0
+    assert "recording rec_02: two.mp4, added\n0.0s, 0x0, 0 fps, -, transcript tr_01" in capsys.readouterr().out
     with pytest.raises(SystemExit) as e:
         main(["--version"])
     assert e.value.code == 0
@@ -154,7 +159,7 @@ def test_kinds_come_from_representative_frames(tmp_path, spark):
     dark = (a * 0.6).astype(np.uint8)
     p = project_of(tmp_path, {"rec_01": [a] * 5 + [dark] + [b] * 3})
     p.build(spark)
-    frames = spark.read.parquet(f"file://{tmp_path}/.tideframe/cache/tables/labelled").orderBy("seg_no").collect()
+    frames = p.table(spark, "labelled").orderBy("seg_no").collect()
     assert frames[0]["end_idx"] == 5 and frames[0]["rep_idx"] < 5
     (t,) = p.manifest["transitions"]
     from tideframe.operators.states import boundary_kind
@@ -244,6 +249,42 @@ def test_analyze_makes_a_folder_of_its_own(tmp_path, spark, monkeypatch):
     assert analyze(spark, tmp_path / "talk.mp4")["totals"]["states"] == 1
 
 
+def test_analyze_lays_flags_over_the_stored_configuration(tmp_path, spark, monkeypatch, capsys):
+    p = Project.create(tmp_path / "talk_tideframe", "talk", Config(cut_distance=0.33, merge_distance=0.2))
+    (tmp_path / "talk.mp4").write_bytes(b"x")
+    shown(p, "rec_01", [screen(1)] * 2 + [screen(2)] * 2)
+    monkeypatch.chdir(tmp_path)
+    analyze(spark, tmp_path / "talk.mp4")
+    assert Project.load(p.root).config == Config(cut_distance=0.33, merge_distance=0.2)
+    capsys.readouterr()
+    assert main(["analyze", "talk.mp4", "--fps", "1.0", "--cut-distance", "0.3"]) == 0
+    assert Project.load(p.root).config == Config(cut_distance=0.3, merge_distance=0.2)
+    said = capsys.readouterr()
+    assert "states found" in said.err and '"states": 2' in said.out and "built in" in said.out
+
+
+def test_a_failed_probe_is_told(tmp_path, spark, monkeypatch, capsys):
+    """A broken recording isn't built from frames that happen to be there; a missing tool is no fault of the recording."""
+    from pyspark.sql import functions as F
+
+    p = Project.create(tmp_path, "demo")
+    for n in ("ok.mp4", "broken.mp4"):
+        (tmp_path / n).write_bytes(b"x")
+        p.add(tmp_path / n)
+    for rec in ("rec_01", "rec_02"):
+        shown(p, rec, [screen(1)] * 2)
+
+    def probe(paths):
+        text = F.when(F.col("path").endswith("broken.mp4"), F.lit("moov atom not found")).otherwise(F.lit(f"{sources.MISSING}: ffprobe"))
+        return paths.select("path", F.lit(None).cast("struct<duration:double,fps:double,width:int,height:int,codec:string>").alias("metadata"), text.alias("error"))
+
+    monkeypatch.setattr(sources, "probe_videos", probe)
+    monkeypatch.chdir(tmp_path)
+    assert main(["build"]) == 0
+    assert "warning: rec_02: moov atom not found" in capsys.readouterr().err
+    assert [(r["status"], r["error"]) for r in Project.load(tmp_path).manifest["recordings"]] == [("processed", None), ("error", "moov atom not found")]
+
+
 def test_many_files_at_once(tmp_path, spark):
     p = Project.create(tmp_path, "demo")
     for n in ("b.mp4", "a.MOV", "note.md", "x.xyz", "talk.vtt"):
@@ -253,3 +294,64 @@ def test_many_files_at_once(tmp_path, spark):
     again = Project.load(tmp_path)
     assert [r["filename"] for r in again.manifest["recordings"]] == ["b.mp4", "a.MOV"] and [t["bytes"] for t in again.manifest["transcripts"]] == [7, 8]
     assert p.add_all(spark, tmp_path / ".tideframe" / "cache" if (tmp_path / ".tideframe" / "cache").exists() else tmp_path)[:1] != ["rec_03"]
+
+
+def test_a_build_that_dies_leaves_the_last_one(tmp_path, spark, monkeypatch):
+    """Tables, pictures and the manifest of the last whole build stay readable wherever the next one stops."""
+    from tideframe.plans import views
+    from tideframe.operators import segments, states
+    from tideframe.sources.pictures import Pictures
+
+    p = project_of(tmp_path, {"rec_01": [screen(1)] * 3 + [screen(2)] * 3})
+    with pytest.raises(ProjectError):
+        p.table(spark, "segments")
+    p.build(spark)
+
+    def state():
+        now, shots = Project.load(tmp_path), tmp_path / ".tideframe" / "screenshots"
+        return now.table(spark, "segments").count(), [s["id"] for s in now.manifest["states"]], {f.name: f.read_bytes() for f in shots.iterdir() if f.is_file()}
+
+    before = state()
+    assert before[:2] == (2, ["state_0001", "state_0002"]) and len(before[2]) == 2
+    shown(p, "rec_02", [screen(3)] * 3)
+    (tmp_path / "1.mp4").write_bytes(b"x")
+    p.add(tmp_path / "1.mp4")
+    for module, name in ((segments, "segment_recordings"), (states, "labelled_segments"), (states, "transitions"), (views, "build_report")):
+        with monkeypatch.context() as m:
+            m.setattr(module, name, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                Project.load(tmp_path).build(spark)
+        assert state() == before
+    Project.load(tmp_path).build(spark)
+    after = state()
+    assert after[:2] == (3, ["state_0001", "state_0002", "state_0003"]) and len(after[2]) == 3
+    assert len(list((tmp_path / ".tideframe" / "cache" / "tables").iterdir())) == 1
+    assert not (tmp_path / ".tideframe" / "screenshots" / "_staging").exists()
+
+
+def test_a_task_that_fails_once_leaves_one_picture(tmp_path):
+    """Attempts are told apart; only what is committed comes into place."""
+    from tideframe.sources.pictures import Pictures, PictureWriter
+
+    options = {"path": str(tmp_path / "shots"), "job": "j"}
+
+    def broken():
+        yield "a.png", None, b"half"
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        PictureWriter(options).write(broken())
+    first = PictureWriter(options).write(iter([("a.png", None, b"whole"), ("c.png", None, None)]))
+    PictureWriter(options).write(iter([("a.png", None, b"a copy that is not used")]))
+    (tmp_path / "of").write_bytes(b"copied")
+    second = PictureWriter(options).write(iter([("b.png", str(tmp_path / "of"), None)]))
+    writer = PictureWriter(options)
+    writer.commit([first, second, None])
+    (tmp_path / "shots" / "old.png").write_bytes(b"old")
+    pictures = Pictures.__new__(Pictures)
+    pictures._folder, pictures._job = options["path"], "j"
+    pictures.promote()
+    assert {f.name: f.read_bytes() for f in (tmp_path / "shots").iterdir()} == {"a.png": b"whole", "b.png": b"copied"}
+    third = PictureWriter(options)
+    third.abort([third.write(iter([("d.png", None, b"d")]))])
+    assert {f.name for f in (tmp_path / "shots").rglob("*.png")} == {"a.png", "b.png"}

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from . import __version__
+from .config import Config
 from .functions.text import STATUS_COLOURS
 from .project import Project, ProjectError, analyze
 
@@ -39,15 +40,53 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
-def _flags(args, config):
-    return config.with_flags(sample_fps=args.fps, embedder=args.embedder, cut_distance=args.cut_distance)
+def _flags(args) -> dict:
+    return {"sample_fps": args.fps, "embedder": args.embedder, "cut_distance": args.cut_distance}
 
 
 def _list(project: Project) -> None:
     for title, rows in project.listing().items():
         print(title)
-        for row in rows:
-            print("  " + "  ".join(_coloured(x) for x in row))
+        _table(rows)
+
+
+def _table(rows: list[list[str]]) -> None:
+    """Rows with their columns below each other."""
+    widths = [max(map(len, column)) for column in zip(*rows, strict=True)]
+    for row in rows:
+        print("  " + "  ".join(_coloured(x) + " " * (w - len(x)) for x, w in zip(row, widths, strict=True)).rstrip())
+
+
+def _status(project: Project) -> None:
+    s = project.status()
+    print(f"{s['project']}: {s['recordings']} recordings, {s['transcripts']} transcripts")
+    print(f"{s['states']} states, {s['scroll_states']} of them scrolls, {s['transitions']} transitions")
+    print(f"to be built: {s['pending']}" if s["pending"] else "all recordings are built")
+
+
+def _inspect(project: Project, target: str) -> None:
+    kind, found = project.inspect(target)
+    if kind == "state":
+        print(f"state {found['id']} ({found['kind']}), {found['representative_screenshot']}")
+        if found["stitched_screenshot"]:
+            print(f"stitched: {found['stitched_screenshot']}")
+        _table([[o["recording_id"], o["start_tc"], o["end_tc"], f"{o['confidence']:.2f}"] for o in found["occurrences"]])
+        return
+    m = found["metadata"]
+    print(f"recording {found['id']}: {found['filename']}, {_coloured(found['status'])}" + (f" ({found['error']})" if found["error"] else ""))
+    print(f"{m['duration']:.1f}s, {m['width']}x{m['height']}, {m['fps']:g} fps, {m['codec'] or '-'}, transcript {found['transcript_id'] or '-'}")
+    _table([[t["id"], t["at_tc"], f"{t['from_state']} -> {t['to_state']}", t["kind"], f"{t['confidence']:.2f}"] for t in found["transitions"]])
+
+
+def _built(report: dict) -> None:
+    for warning in report["warnings"]:
+        print(f"warning: {warning}", file=sys.stderr)
+    print(json.dumps(report["totals"], indent=2))
+    print(f"built in {report['elapsed_seconds']:.1f}s")
+
+
+def _log(line: str) -> None:
+    print(line, file=sys.stderr)
 
 
 def _coloured(status: str) -> str:
@@ -59,27 +98,23 @@ def run(argv: list[str]) -> None:
     args = _parser().parse_args(argv)
     session = lambda: SparkSession.builder.appName("tideframe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "init":
-        from .config import Config
-
         root = Path(args.name).resolve()
-        Project.create(root, root.name, _flags(args, Config()))
+        Project.create(root, root.name, Config().with_flags(**_flags(args)))
         print(root)
     elif args.command == "analyze":
-        from .config import Config
-
-        print(json.dumps(analyze(session(), args.video, args.out, _flags(args, Config()))["totals"], indent=2))
+        _built(analyze(session(), args.video, args.out, _flags(args), _log))
     else:
         project = Project.load(".")
         if args.command == "add":
             print(project.add(args.file, args.recording_for)["id"])
         elif args.command == "build":
-            print(json.dumps(project.build(session(), args.force, _flags(args, project.config))["totals"], indent=2))
+            _built(project.build(session(), args.force, project.config.with_flags(**_flags(args)), _log))
         elif args.command == "status":
-            print(json.dumps(project.status(), indent=2))
+            _status(project)
         elif args.command == "export":
             print(project.export(session()))
         elif args.command == "inspect" and args.target:
-            print(json.dumps(project.inspect(args.target)[1], indent=2))
+            _inspect(project, args.target)
         else:
             _list(project)
 

@@ -1,9 +1,8 @@
 """Image kernels in NumPy and the column functions around them.
 
-Pictures are BGR or gray uint8 arrays, as Spark's image source decodes them. Only the kernels touch pixels, in Arrow
-batches. Vectors are made next to the files; neighbours exchange gray pictures in search size, and whole pictures move
-only where they are stitched or compared at a change of state. A kernel that fails gives an error beside its result, so
-that a bad frame stops its own recording and no other.
+Pictures are BGR or gray uint8 arrays. Only the kernels touch pixels. Vectors and shifts are made where the files are read,
+by ranges of frames (see ``sources.measure``); whole pictures move only where they are stitched or compared at a change of
+state. A kernel that fails gives an error beside its result, so that a bad frame stops its own recording and no other.
 """
 
 import importlib.util
@@ -64,7 +63,8 @@ def color_bin(hue: np.ndarray, saturation: np.ndarray) -> np.ndarray:
 
 def color_bin_column(hue: Column, saturation: Column) -> Column:
     """:func:`color_bin` of two columns of integers."""
-    return F.pandas_udf(lambda h, s: color_bin(h, s).astype("int32"), "int")(hue, saturation)
+    whole = lambda x, by: F.floor(x / by)
+    return (whole(hue * 8, 180) * 8 + whole(saturation, 32)).cast("int")
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -203,6 +203,8 @@ def stitch(frames: list[np.ndarray | None], rows: list[int]) -> np.ndarray | Non
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Correlation clipped to [0, 1]; 1 where either has no contrast."""
+    if np.array_equal(a, b):
+        return 1.0
     a, b = a.ravel() - a.mean(), b.ravel() - b.mean()
     scale = np.linalg.norm(a) * np.linalg.norm(b)
     return 1.0 if scale < 1e-8 else float(np.clip(a @ b / scale, 0.0, 1.0))
@@ -238,106 +240,76 @@ def png_bytes(bgr: np.ndarray) -> bytes:
     return _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
 
 
-def read_png(path: str) -> np.ndarray:
+def _unfiltered(lines: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Rows of pixels out of rows that are told by what lies to their left and above, by their kinds.
+
+    A pixel needs its left, upper and upper left neighbour. Along a diagonal none needs another, so a diagonal of all rows is
+    worked out at once; rows that need no left neighbour, or no upper one, go at once themselves.
+    """
+    h, w, c = lines.shape
+    if kinds.max(initial=0) < 3:
+        out = np.zeros((h + 1, w, c), np.uint8)
+        for y in range(h):
+            row = np.cumsum(lines[y], axis=0, dtype=np.uint8) if kinds[y] == 1 else lines[y]
+            out[y + 1] = row + out[y] if kinds[y] == 2 else row
+        return out[1:]
+    slant = np.zeros((w + h + 2, h + 1, c), np.int16)  # pixel (y, x) at place x + y + 2 of row y + 1
+    raw = np.zeros((w + h, h, c), np.int16)
+    at = np.arange(h)
+    for x in range(w):
+        raw[x + at, at] = lines[:, x]
+    kind = kinds[:, None]
+    for t in range(w + h - 1):
+        left, up, corner = slant[t + 1, 1:], slant[t + 1, :-1], slant[t, :-1]
+        a, b = np.abs(up - corner), np.abs(left - corner)
+        far = np.abs(left + up - 2 * corner)
+        nearest = np.where((a <= b) & (a <= far), left, np.where(b <= far, up, corner))
+        guess = np.choose(kind, (np.int16(0), left, up, (left + up) >> 1, nearest))
+        rows = slice(max(0, t - w + 1), min(h, t + 1))
+        slant[t + 2, 1:][rows] = (raw[t, rows] + guess[rows]) & 255
+    out = np.empty((h, w, c), np.uint8)
+    for x in range(w):
+        out[:, x] = slant[x + at + 2, at + 1]
+    return out
+
+
+def decode_png(data: bytes) -> np.ndarray:
     """BGR array of an eight-bit PNG that is neither interlaced nor indexed."""
-    with open(path, "rb") as f:
-        data = f.read()
-    at, body, head = 8, b"", None
+    at, body, head = 8, [], None
     while at + 8 <= len(data):
         (n,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", data[at + 8 : at + 21])
         elif kind == b"IDAT":
-            body += data[at + 8 : at + 8 + n]
+            body.append(data[at + 8 : at + 8 + n])
         at += n + 12
     channels = {0: 1, 2: 3, 4: 2, 6: 4}
     if data[:8] != _PNG or head is None or head[2] != 8 or head[3] not in channels or head[6]:
-        raise ValueError(f"not a plain eight-bit PNG: {path}")
+        raise ValueError("not a plain eight-bit PNG")
     w, h, c = head[0], head[1], channels[head[3]]
-    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * c + 1)
-    out = np.zeros((h + 1, w + 1, c), np.int64)  # a row above and a pixel before, of zeros
-    for y in range(h):
-        kind, row = int(lines[y, 0]), lines[y, 1:].reshape(w, c).astype(np.int64)
-        if kind in (0, 2):
-            out[y + 1, 1:] = (row + (out[y, 1:] if kind == 2 else 0)) % 256
-        elif kind == 1:
-            out[y + 1, 1:] = np.cumsum(row, axis=0) % 256
-        else:
-            for x in range(w):
-                left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
-                guess = left + up - corner
-                far = np.abs(np.stack([guess - left, guess - up, guess - corner]))
-                near = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
-                out[y + 1, x + 1] = (row[x] + ((left + up) // 2 if kind == 3 else near)) % 256
-    picture = out[1:, 1:].astype(np.uint8)
+    lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, w * c + 1)
+    picture = _unfiltered(lines[:, 1:].reshape(h, w, c), lines[:, 0].astype(np.int64))
     return np.repeat(picture[:, :, :1], 3, axis=2) if c < 3 else np.ascontiguousarray(picture[:, :, 2::-1])
 
 
-def _said(e: Exception) -> str:
-    return f"{type(e).__name__}: {e}"[:500]
-
-
-def embed_column(image: Column, embedder: str = "default") -> Column:
-    """struct(vec, error) of an ``image`` column: a vector, or why there is none; the embedder is made once in each worker,
-    by the factory that is registered here."""
-    make = _factory(embedder)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                try:
-                    picture = decode(r)
-                    rows.append((None, "a frame can't be read") if picture is None else (model.embed(picture).tolist(), None))
-                except Exception as e:  # whatever a plug-in raises is its recording's error
-                    rows.append((None, _said(e)))
-            yield pd.DataFrame(rows, columns=["vec", "error"])
-
-    return F.pandas_udf(run, "vec array<double>, error string")(image)
-
-
-def small_gray_column(image: Column, max_dim: int = 720) -> Column:
-    """An ``image`` column as gray pictures in search size: what neighbours need of each other, and all that is shuffled."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for p in map(decode, pdf.to_dict("records")):
-            g, scale = search_size(to_gray(p), max_dim) if p is not None else (np.zeros((0, 0), np.uint8), 1.0)
-            rows.append((*g.shape, scale, g.tobytes()))
-        return pd.DataFrame(rows, columns=["height", "width", "scale", "data"])
-
-    return F.pandas_udf(run, "height int, width int, scale double, data binary")(image)
-
-
-def shift_column(before: Column, after: Column) -> Column:
-    """struct(dx, dy, response, error) of two columns of small gray pictures; zeros where either has none or a step fails."""
+def read_png(path: str) -> np.ndarray:
+    with open(path, "rb") as f:
+        return decode_png(f.read())
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True):
-            try:
-                if not x["height"] or not y["height"] or x["scale"] != y["scale"]:
-                    rows.append((0.0, 0.0, 0.0, None))
-                    continue
-                small, other = (np.frombuffer(p["data"], np.uint8).reshape(p["height"], p["width"]) for p in (x, y))
-                rows.append((*shift_between(small, other, x["scale"]), None))
-            except Exception as e:
-                rows.append((0.0, 0.0, 0.0, _said(e)))
-        return pd.DataFrame(rows, columns=["dx", "dy", "response", "error"])
 
-    return F.pandas_udf(run, "dx double, dy double, response double, error string")(before, after)
+def _said(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:500]
 
 
-def boundary_column(before: Column, after: Column) -> Column:
-    """struct(border, drop, top, middle) of two ``image`` columns; all null where one can't be read or compared."""
+def boundary_column(before: Column, after: Column, read: Callable[[str], bytes]) -> Column:
+    """struct(border, drop, top, middle) of the pictures that ``read`` finds at two columns of paths; all null where one can't
+    be read or compared."""
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         rows = []
-        for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True):
+        for x, y in zip(a, b, strict=True):
             try:
-                x, y = decode(x), decode(y)
-                rows.append((None,) * 4 if x is None or y is None else boundary_metrics(x, y))
+                rows.append(boundary_metrics(decode_png(read(x)), decode_png(read(y))))
             except Exception:  # an unknown transition, as for frames that can't be read
                 rows.append((None,) * 4)
         return pd.DataFrame(rows, columns=["border", "drop", "top", "middle"]).astype("Float64")

@@ -1,14 +1,13 @@
-"""Shared states: the greedy fold over all segments, states with occurrences, transitions between them."""
+"""Shared states: segments labelled by the greedy fold, states with occurrences, transitions between them."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..functions.text import padded_id, timecode
+from .clustering import greedy_clusters
 
 
 def flat_order(segments: DataFrame) -> DataFrame:
@@ -19,40 +18,6 @@ def flat_order(segments: DataFrame) -> DataFrame:
     return segments.join(before, "recording_id").withColumn("flat_no", (F.col("_before") + inside).cast("int")).drop("_before")
 
 
-def greedy_clusters(segments: DataFrame, merge_distance: float) -> DataFrame:
-    """flat_no, label: each segment, in flat order, joins the nearest cluster of its kind within the distance, or opens one.
-
-    A cluster's centroid moves half way to each new member, so the outcome hangs on the order and the fold is one task. It
-    sees one vector a segment, not frames; batches are read one at a time and only the centroids stay.
-    """
-
-    def fold(batches):
-        kinds, centroids, n = np.zeros(64, bool), np.zeros((64, 0)), 0
-        for pdf in batches:
-            labels = []
-            for v, scroll in zip(pdf["centroid"], pdf["is_scroll"], strict=True):
-                v = np.asarray(v, float)
-                near = None
-                if n:
-                    d = np.where(kinds[:n] == scroll, 1.0 - centroids[:n] @ v, np.inf)
-                    near = int(d.argmin()) if d.min() <= merge_distance else None
-                if near is None:
-                    if n == 0 or n == len(kinds):  # room for twice as many
-                        kinds = np.concatenate([kinds, np.zeros(n, bool)])
-                        centroids = np.concatenate([centroids[:n], np.zeros((len(kinds) - n, len(v)))]) if n else np.zeros((len(kinds), len(v)))
-                    near, n = n, n + 1
-                    kinds[near], centroids[near] = bool(scroll), v
-                else:
-                    m = centroids[near] + v
-                    norm = np.linalg.norm(m)
-                    centroids[near] = m / norm if norm > 1e-8 else m
-                labels.append(near)
-            yield pd.DataFrame({"flat_no": pdf["flat_no"], "label": labels}).astype("int32")
-
-    one = segments.select("flat_no", "centroid", "is_scroll").repartition(1).sortWithinPartitions("flat_no")
-    return one.mapInPandas(fold, "flat_no int, label int")
-
-
 def labelled_segments(segments: DataFrame, merge_distance: float) -> DataFrame:
     """``segments`` with flat_no, label and state_id."""
     flat = flat_order(segments)
@@ -95,7 +60,7 @@ def states(occurrence_rows: DataFrame, screenshots: DataFrame | None = None) ->
 def state_changes(labelled: DataFrame) -> DataFrame:
     """Neighbouring segments of a recording in different states: from_state, to_state, their representative frames, the time."""
     w = Window.partitionBy("recording_id").orderBy("start_time", "seg_no")
-    rows = labelled.withColumns({f"_next_{c}": F.lead(c).over(w) for c in ("state_id", "start_time", "rep_idx", "flat_no")})
+    rows = labelled.select("recording_id", "seg_no", "state_id", "start_time", "rep_idx", "flat_no").withColumns({f"_next_{c}": F.lead(c).over(w) for c in ("state_id", "start_time", "rep_idx", "flat_no")})
     rows = rows.where("_next_state_id IS NOT NULL AND _next_state_id <> state_id")
     return rows.select("recording_id", F.col("state_id").alias("from_state"), F.col("_next_state_id").alias("to_state"), F.col("rep_idx").alias("from_idx"), F.col("_next_rep_idx").alias("to_idx"), F.col("_next_start_time").alias("at"), F.col("_next_flat_no").alias("flat_no"))
 
@@ -109,8 +74,11 @@ def boundary_kind(border: Column, drop: Column, top: Column, middle: Column) ->
     )
 
 
-def transitions(changes: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """Numbered transitions, by recording and time. metrics: flat_no, border, drop, top, middle; without, all are unknown."""
+def transitions(changes: DataFrame, metrics: DataFrame | None = None, keep_number: bool = False) -> DataFrame:
+    """Numbered transitions, by recording and time. metrics: flat_no, border, drop, top, middle; without, all are unknown.
+
+    ``keep_number`` adds flat_no, the number of the segment after the change.
+    """
     if metrics is None:
         rows = changes.withColumns({c: F.lit(None).cast("double") for c in ("border", "drop", "top", "middle")})
     else:
@@ -120,7 +88,7 @@ def transitions(changes: DataFrame, metrics: DataFrame | None = None) -> DataFra
     before = sizes.select("recording_id", F.coalesce(F.sum("_n").over(Window.orderBy("recording_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     number = F.col("_before") + F.row_number().over(Window.partitionBy("recording_id").orderBy("flat_no"))
     rows = rows.join(before, "recording_id")
-    return rows.select(padded_id("trans", number, 4).alias("id"), "recording_id", "from_state", "to_state", rounded(F.col("at"), 2).alias("at"), timecode(F.col("at")).alias("at_tc"), F.col("_k.kind").alias("kind"), rounded(F.col("_k.confidence"), 3).alias("confidence"))
+    return rows.select(padded_id("trans", number, 4).alias("id"), "recording_id", "from_state", "to_state", rounded(F.col("at"), 2).alias("at"), timecode(F.col("at")).alias("at_tc"), F.col("_k.kind").alias("kind"), rounded(F.col("_k.confidence"), 3).alias("confidence"), *[c for c in ("flat_no",) if keep_number])
 
 
 def workflow_graph(transition_rows: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ def segment_duration(spark, sf):
 
 @query(_ALL + " SELECT recording_id, (k - 1)::INT AS seg_no, start_idx, end_idx FROM num")
 def drop_transient(spark, sf):
-    return G.fold_segments(_islands(spark, sf), CONFIG, merge=False).select("recording_id", "seg_no", "start_idx", "end_idx")
+    return G.segment_ranges(_islands(spark, sf), CONFIG, merge=False).select("recording_id", "seg_no", "start_idx", "end_idx")
 
 
 @query(_ALL + " SELECT recording_id, seg_no, start_idx, end_idx, rep_idx, round(confidence, 6) AS confidence FROM sg")
@@ -520,7 +520,7 @@ _KINDS = """, kd AS (SELECT *, CASE WHEN to_no % 11 = 0 THEN 'unknown' WHEN (to_
 def transition_kinds(spark, sf):
     """Transitions with the metrics of their borders, and the representative frames that those are taken of."""
     changes = S.state_changes(_labelled(spark, sf))
-    numbered = S.transitions(changes, _metrics(changes)).join(changes.select("recording_id", F.bround("at", 2).alias("at"), "from_idx", "to_idx"), ["recording_id", "at"])
+    numbered = S.transitions(changes, _metrics(changes), keep_number=True).join(changes.select("flat_no", "from_idx", "to_idx"), "flat_no")
     return numbered.select("id", "from_state", "to_state", "from_idx", "to_idx", "kind", "confidence")
 
 

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import csv
-import dataclasses
 import json
 import os
+import shutil
 import struct
 import time
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -21,6 +22,8 @@ from .config import TRANSCRIPT_EXTENSIONS, VIDEO_EXTENSIONS, Config
 from .operators import images, pairs, registry, segments, states
 from .plans import views
 from .sources import frames as sources
+from .sources import measure
+from .sources.pictures import SCHEMA, Pictures
 
 FOLDER = ".tideframe"
 SUMMARY = ["state_id", "label", "kind", "occurrences", "recordings", "total_seconds", "first_seen", "screenshot"]
@@ -186,7 +189,8 @@ class Project:
         has_frames = lambda r: any((self.frames_root() / f"recording_id={r['id']}").glob("frame_*.png"))
         self._probe(spark, todo)
         self._sample(spark, [r for r in todo if not has_frames(r)])
-        known = [r["id"] for r in self.manifest["recordings"] if has_frames(r)]
+        failed = {r["id"] for r in todo if r["error"] and not r["error"].startswith(sources.MISSING)}  # frames there or not
+        known = [r["id"] for r in self.manifest["recordings"] if has_frames(r) and r["id"] not in failed]
         for r in todo:
             if r["id"] not in known:
                 r.update(status="error", error=r["error"] or "no frames")
@@ -204,18 +208,12 @@ class Project:
             df.write.mode("overwrite").parquet(f"{work}/{name}")
             return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
-        work = f"file://{self.root}/{FOLDER}/cache/tables"
-        pictures = sources.read_pictures(spark, f"file://{self.frames_root()}")
-        listed = sources.list_frames(spark, f"file://{self.frames_root()}", config.sample_fps)
-        seen = pictures.select("path", images.embed_column(F.col("image"), config.embedder).alias("e"), images.small_gray_column(F.col("image")).alias("small"))
+        version = uuid.uuid4().hex
+        work = self._tables(version)
         path = lambda c: F.regexp_replace(c, "^file:/+", "/")
-        rows = listed.withColumn("path", path("path")).join(seen.withColumn("path", path("path")), "path")
-        rows = rows.where(F.col("recording_id").isin(known))
-        w = Window.partitionBy("recording_id").orderBy("idx")
-        rows = rows.withColumn("_next", F.lead("small").over(w))
-        rows = rows.withColumn("shift", F.when(F.col("_next").isNotNull(), images.shift_column(F.col("small"), F.coalesce("_next", "small"))))
-        rows = rows.select("recording_id", "idx", "ts", "path", "e.vec", F.coalesce("e.error", "shift.error").alias("error"), "shift")
-        measured = kept(rows, "frames")
+        listed = sources.list_frames(spark, f"file://{self.frames_root()}", config.sample_fps).where(F.col("recording_id").isin(known))
+        rows = measure.measure_frames(listed.withColumn("path", path("path")), config.embedder)
+        measured = kept(rows.withColumn("shift", F.when(F.col("dx").isNotNull(), F.struct("dx", "dy", "response"))).drop("dx", "dy", "response"), "frames")
         bad = {r["recording_id"]: r["error"] for r in measured.where("error IS NOT NULL").groupBy("recording_id").agg(F.min_by("error", "idx").alias("error")).collect()}  # one row a recording
         for r in self.manifest["recordings"]:
             if r["id"] in bad:
@@ -229,11 +227,11 @@ class Project:
         labelled = kept(states.labelled_segments(segs, config.merge_distance), "labelled")
         log("states found")
 
-        shots = self._screenshots(spark, labelled, frames, config, warnings)
+        shots, promoted = self._screenshots(spark, labelled, frames, config, warnings)
         occurrence_rows = states.occurrences(labelled, frames)
         state_rows = kept(states.states(occurrence_rows, shots), "states").orderBy("id")
         changes = states.state_changes(labelled)
-        transition_rows = kept(states.transitions(changes, self._boundaries(spark, changes, frames)), "transitions").orderBy("id")
+        transition_rows = kept(states.transitions(changes, self._boundaries(changes, frames)), "transitions").orderBy("id")
         recs = spark.createDataFrame([(r["id"], r["filename"], float(r["metadata"]["duration"] or 0.0)) for r in self.manifest["recordings"]], "id string, filename string, duration double")
 
         plain = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731  one row a state or transition
@@ -251,12 +249,34 @@ class Project:
             "kinds": {"states": self._kinds(state_rows), "transitions": self._kinds(transition_rows)}, "warnings": warnings, "elapsed_seconds": round(time.time() - began, 2),
         }
         out = self.root / FOLDER
+        for pictures in promoted:  # from here on only moves and small files: what was built before is whole until now
+            pictures.promote()
+        self.manifest["tables"] = version
         _write(out / "timeline.json", json.dumps({"project": self.manifest["project"], "recordings": timeline}, indent=2))
         _write(out / "processing_report.json", json.dumps(report, indent=2))
         self.save()
+        self._sweep(version)
         self.export(spark)
         return report
 
+    def _tables(self, version: str) -> str:
+        return f"file://{self.root}/{FOLDER}/cache/tables/{version}"
+
+    def _sweep(self, version: str) -> None:
+        """Remove the tables of builds before, and of builds that didn't end."""
+        for old in (self.root / FOLDER / "cache" / "tables").iterdir():
+            if old.name != version:
+                shutil.rmtree(old) if old.is_dir() else old.unlink()
+
+    def table(self, spark: SparkSession, name: str) -> DataFrame:
+        """frames, segments, labelled, states, transitions or counts of the last build that ended.
+
+        A build writes a folder of its own and the manifest, which is replaced at once, names the one that is valid.
+        """
+        if not self.manifest.get("tables"):
+            raise ProjectError("no build has ended yet")
+        return spark.read.parquet(f"{self._tables(self.manifest['tables'])}/{name}")
+
     @staticmethod
     def _kinds(rows: DataFrame) -> dict[str, int]:
         return {r["kind"]: r["n"] for r in views.kind_counts(rows).orderBy("kind").collect()}  # a handful of kinds
@@ -280,72 +300,57 @@ class Project:
             for s in sources.sample_videos(self._videos(spark, rows), str(self.frames_root().parent), self.config.sample_fps).where("error IS NOT NULL").collect():
                 self.recording(s["recording_id"])["error"] = s["error"]
 
-    def _pictures(self, spark: SparkSession, wanted: DataFrame) -> DataFrame:
-        """``wanted`` (path and others) with each picture; only those files are read, of which the manifest is the bound."""
-        paths = [r["path"] for r in wanted.select("path").distinct().collect()]
-        if not paths:
-            return wanted.withColumn("image", F.lit(None).cast("struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"))
-        found = sources.read_pictures(spark, [f"file://{p}" for p in paths]).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-        return wanted.join(found, "path", "left")
-
-    def _screenshots(self, spark: SparkSession, labelled: DataFrame, frames: DataFrame, config: Config, warnings: list[str]) -> DataFrame:
-        """id, state_id, path, stitched, recording_id, timestamp, width, height of each state; executors write the pictures."""
-        shots, tall = self.root / FOLDER / "screenshots", self.root / FOLDER / "stitched"
-        for folder in (shots, tall):
-            folder.mkdir(parents=True, exist_ok=True)
+    def _screenshots(self, spark: SparkSession, labelled: DataFrame, frames: DataFrame, config: Config, warnings: list[str]) -> tuple[DataFrame, list[Pictures]]:
+        """id, state_id, path, stitched, recording_id, timestamp, width, height of each state, and the pictures to be put in place.
+
+        Executors write screenshots and stitched pictures to a staging folder.
+        """
+        shots, tall = (Pictures(spark, str(self.root / FOLDER / name)) for name in ("screenshots", "stitched"))
         canon = states.canonical_members(labelled).select("label", "state_id", "canonical.*")
         at = frames.select("recording_id", F.col("idx").alias("rep_idx"), "ts", "path")
-        target = str(shots)
-
-        def copy(batches):
-            for pdf in batches:
-                sizes = []
-                for path, state in zip(pdf["path"], pdf["state_id"], strict=True):
-                    with open(path, "rb") as f:
-                        data = f.read()
-                    with open(f"{target}/{state}.png", "wb") as f:
-                        f.write(data)
-                    sizes.append(struct.unpack(">II", data[16:24]))  # where a PNG has its width and height
-                yield pdf[["label", "state_id", "recording_id", "ts"]].assign(width=[w for w, _ in sizes], height=[h for _, h in sizes])
+
+        def sizes(batches):
+            for pdf in batches:  # a PNG's width and height stand in its first bytes
+                found = [struct.unpack(">II", measure.open_file(path, 24)[16:24]) for path in pdf["path"]]
+                yield pdf.assign(width=[w for w, _ in found], height=[h for _, h in found])
 
         rows = canon.join(at, ["recording_id", "rep_idx"]).select("label", "state_id", "recording_id", "ts", "path")
-        rows = rows.mapInPandas(copy, "label int, state_id string, recording_id string, ts double, width int, height int").collect()  # one row a state
+        rows = rows.mapInPandas(sizes, "label int, state_id string, recording_id string, ts double, path string, width int, height int").collect()  # one row a state
+        known = spark.createDataFrame([(r["state_id"], r["path"], r["height"]) for r in rows], "state_id string, path string, height int")
+        shots.stage(known.repartition("state_id").select(F.concat("state_id", F.lit(".png")).alias("name"), F.col("path").alias("source"), F.lit(None).cast("binary").alias("data")))
 
-        heights = spark.createDataFrame([(r["state_id"], r["height"]) for r in rows], "state_id string, height int")
-        scrolls = canon.where("is_scroll").select("state_id", F.col("recording_id").alias("_r"), "scroll_start_idx", "scroll_end_idx").join(heights, "state_id")
+        scrolls = canon.where("is_scroll").select("state_id", F.col("recording_id").alias("_r"), "scroll_start_idx", "scroll_end_idx").join(known.select("state_id", "height"), "state_id")
         part = frames.select("recording_id", "idx", "path", F.col("shift.dy").alias("dy"))
         run = scrolls.join(part, (F.col("_r") == F.col("recording_id")) & F.col("idx").between(F.col("scroll_start_idx"), F.col("scroll_end_idx")))
         run = run.withColumn("dy", F.when(F.col("idx") < F.col("scroll_end_idx"), F.col("dy")))
         plan = pairs.stitch_plan(run, "state_id", config.stitch_max_height_px)
-        pictures = self._pictures(spark, run.select("state_id", "idx", "path").join(plan, ["state_id", "idx"]))
-        made_in = str(tall)
+        parts = run.select("state_id", "idx", "path").join(plan, ["state_id", "idx"])
 
         def save(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf, name = pdf.sort_values("pos"), pdf["state_id"].iloc[0]
+            pdf, data = pdf.sort_values("pos"), None
             try:
-                picture = images.stitch([images.decode(r) for r in pdf["image"]], pdf["rows"].tolist())
-                if picture is not None:
-                    with open(f"{made_in}/{name}.png", "wb") as f:
-                        f.write(images.png_bytes(picture))
-                return pd.DataFrame({"state_id": [name], "made": [picture is not None]})
+                picture = images.stitch([images.decode_png(measure.open_file(p)) for p in pdf["path"]], pdf["rows"].tolist())
+                data = None if picture is None else images.png_bytes(picture)
             except Exception:  # the state keeps its screenshot
-                return pd.DataFrame({"state_id": [name], "made": [False]})
+                data = None
+            return pd.DataFrame({"name": [f"{pdf['state_id'].iloc[0]}.png"], "source": [None], "data": [data]})
 
-        made = {r["state_id"]: r["made"] for r in pictures.groupBy("state_id").applyInPandas(save, "state_id string, made boolean").collect()}
-        warnings += [f"{k}: the scroll run can't be stitched" for k, ok in sorted(made.items()) if not ok]
+        wanted = {r["state_id"] for r in scrolls.select("state_id").collect()}  # some of the manifest's states
+        made = {n.removesuffix(".png") for n in tall.stage(parts.groupBy("state_id").applyInPandas(save, SCHEMA))} if wanted else set()
+        warnings += [f"{k}: the scroll run can't be stitched" for k in sorted(wanted - made)]
         out = [
-            (f"shot_{r['label'] + 1:04d}", r["state_id"], f"{FOLDER}/screenshots/{r['state_id']}.png", f"{FOLDER}/stitched/{r['state_id']}.png" if made.get(r["state_id"]) else None, r["recording_id"], round(r["ts"], 2), r["width"], r["height"])
+            (f"shot_{r['label'] + 1:04d}", r["state_id"], f"{FOLDER}/screenshots/{r['state_id']}.png", f"{FOLDER}/stitched/{r['state_id']}.png" if r["state_id"] in made else None, r["recording_id"], round(r["ts"], 2), r["width"], r["height"])
             for r in rows
         ]
-        return spark.createDataFrame(out, "id string, state_id string, path string, stitched string, recording_id string, timestamp double, width int, height int")
+        return spark.createDataFrame(out, "id string, state_id string, path string, stitched string, recording_id string, timestamp double, width int, height int"), [shots, tall]
 
-    def _boundaries(self, spark: SparkSession, changes: DataFrame, frames: DataFrame) -> DataFrame:
-        """flat_no and the metrics of the two representative frames of each change of state."""
+    def _boundaries(self, changes: DataFrame, frames: DataFrame) -> DataFrame:
+        """flat_no and the metrics of the two representative frames of each change of state, which are read where they are compared."""
         at = frames.select("recording_id", "idx", "path")
-        ends = changes.select("flat_no", "recording_id", F.col("from_idx").alias("idx"), F.lit(0).alias("side")).unionByName(changes.select("flat_no", "recording_id", F.col("to_idx").alias("idx"), F.lit(1).alias("side")))
-        shown = self._pictures(spark, ends.join(at, ["recording_id", "idx"]).select("flat_no", "side", "path"))
-        both = shown.groupBy("flat_no").agg(*[F.first(F.when(F.col("side") == k, F.col("image")), ignorenulls=True).alias(n) for k, n in ((0, "a"), (1, "b"))])
-        return both.select("flat_no", images.boundary_column(F.col("a"), F.col("b")).alias("m")).select("flat_no", "m.*")
+        side = lambda c: at.select("recording_id", F.col("idx").alias(f"{c}_idx"), F.col("path").alias(c))
+        ends = changes.select("flat_no", "recording_id", "from_idx", "to_idx").join(side("from"), ["recording_id", "from_idx"]).join(side("to"), ["recording_id", "to_idx"])
+        spread = ends.select("flat_no", "from", "to").repartition("flat_no")
+        return spread.select("flat_no", images.boundary_column(F.col("from"), F.col("to"), measure.open_file).alias("m")).select("flat_no", "m.*")
 
     # -- reading --------------------------------------------------------------------------------------------------
 
@@ -389,13 +394,16 @@ class Project:
         return "recording", rec | {"transitions": [t for t in self.manifest["transitions"] if t["recording_id"] == rec["id"]]}
 
 
-def analyze(spark: SparkSession, video: str | Path, out: str | Path | None = None, config: Config | None = None) -> dict:
-    """Create the project and add the video if need be, then build all anew."""
+def analyze(spark: SparkSession, video: str | Path, out: str | Path | None = None, flags: dict | None = None, log: Callable[[str], None] = lambda _: None) -> dict:
+    """Create the project and add the video if need be, then build all anew.
+
+    ``flags`` (fields of the configuration, None where not given) are laid over the project's own configuration.
+    """
     video = Path(video)
     if not video.exists():
         raise FileNotFoundError(str(video))
     root = Path(out) if out else Path.cwd() / f"{video.stem}_tideframe"
-    project = Project.load(root) if (root / FOLDER / "manifest.json").exists() else Project.create(root, video.stem, config)
+    project = Project.load(root) if (root / FOLDER / "manifest.json").exists() else Project.create(root, video.stem)
     if not any(r["filename"] == video.name for r in project.manifest["recordings"]):
         project.add(video)
-    return project.build(spark, force=True, config=dataclasses.replace(config) if config else None)
+    return project.build(spark, force=True, config=project.config.with_flags(**(flags or {})), log=log)

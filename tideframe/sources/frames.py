@@ -13,6 +13,10 @@ from ..functions.numbers import frame_time
 from ..functions.text import frame_number
 
 
+#: How the error of a missing tool begins, which isn't the recording's fault.
+MISSING = "not found on PATH"
+
+
 class ToolError(RuntimeError):
     pass
 
@@ -21,7 +25,7 @@ def ensure_tools(*names: str) -> None:
     """All of ffmpeg and ffprobe, or the tools named, must be on the path."""
     missing = [n for n in names or ("ffmpeg", "ffprobe") if shutil.which(n) is None]
     if missing:
-        raise ToolError(f"not found on PATH: {', '.join(missing)}")
+        raise ToolError(f"{MISSING}: {', '.join(missing)}")
 
 
 def list_frames(spark: SparkSession, root: str, fps: float) -> DataFrame:
