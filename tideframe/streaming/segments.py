@@ -103,7 +103,7 @@ class RecordingFold:
 
 
 class _Segments(StatefulProcessor):
-    def __init__(self, config: Config, idle_ms: int):
+    def __init__(self, config: Config, idle_ms: int | None):
         self._config, self._idle = config, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -138,10 +138,11 @@ class _Segments(StatefulProcessor):
             self._early.put(early)
         fold.early = len(early)
         told = self._told(key[0], fold, out)
-        for t in list(self._handle.listTimers()):
-            self._handle.deleteTimer(t)
-        if not fold.closed:
-            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._idle)
+        if self._idle is not None:
+            for t in list(self._handle.listTimers()):
+                self._handle.deleteTimer(t)
+            if not fold.closed:
+                self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._idle)
         self._store(fold)
         if told is not None:
             yield told
@@ -187,16 +188,17 @@ class _Segments(StatefulProcessor):
         return out.astype({c: "Int32" for c in ("scroll_start_idx", "scroll_end_idx")})
 
 
-def final_segments(frames: DataFrame, config: Config, idle_ms: int = 600_000) -> DataFrame:
+def final_segments(frames: DataFrame, config: Config, idle_ms: int | None = None) -> DataFrame:
     """A stream of segments, as :func:`~tideframe.operators.segments.segment_recordings` finds them, each told once and for good.
 
     frames: a stream of recording_id, idx (from 0 without gaps), ts, vec and, if known, dx, dy, response (the shift to the next
     frame; null is no scroll) and last (the recording ends with this frame). Frames may come in any order: one with a gap
-    before it waits, one that came already counts once. Without a last frame a recording ends ``idle_ms`` after its latest one;
-    what waits behind a gap then, or comes later, is left out. State per recording: the frames of segments that aren't final and
+    before it waits, one that came already counts once. With ``idle_ms`` a recording without a last frame ends so long after its
+    latest one, and what waits behind a gap then, or comes later, is left out; such a query runs batches for its timers as long as
+    it lives, so it needs a trigger by time and not one for what is available now. State per recording: the frames of segments that aren't final and
     a few sums. The session needs the settings in ``STORE``; rows without a recording_id are left out.
     """
     shift = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in frames.columns else F.lit(0.0).alias(c) for c in ("dx", "dy", "response")]
     last = F.coalesce(F.col("last"), F.lit(False)).alias("last") if "last" in frames.columns else F.lit(False).alias("last")
     rows = frames.where("recording_id IS NOT NULL").select("recording_id", "idx", "ts", F.col("vec").cast("array<double>").alias("vec"), *shift, last)
-    return rows.groupBy("recording_id").transformWithStateInPandas(_Segments(config, idle_ms), OUT, "append", "processingTime")
+    return rows.groupBy("recording_id").transformWithStateInPandas(_Segments(config, idle_ms), OUT, "append", "none" if idle_ms is None else "processingTime")
