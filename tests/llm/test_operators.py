@@ -546,7 +546,8 @@ def units_of(text):
     flat = [re.sub(r"\s+", " ", b).strip(" ") for b in blocks]
     for k, b in enumerate(blocks):
         headed = [flat[k - 1] + " " + flat[k]] if k and len(blocks[k - 1]) <= 40 and len(b) <= 400 else []
-        yield [*(b.split("\n") if "\n" in b.strip(" ") else []), flat[k], *headed]
+        own = [*(b.split("\n") if "\n" in b.strip(" ") else []), flat[k], *headed]
+        yield [*own, *("\x02" + p for u in own if regex.search(licenses._CHOICE, u) for p in regex.split(licenses._CHOICE, u))]
 
 
 def test_licenses(docs, rows, empty, spark):
@@ -557,17 +558,21 @@ def test_licenses(docs, rows, empty, spark):
         wrapped(gpl, 60): "gpl", "import x\n\n" + wrapped(gpl, 70, " * ") + "\n\ndef y(): pass": "gpl", "# SPDX-License-Identifier: MIT": "mit", "# License\n\nMIT": "mit", "# License\nMIT": "mit", "Released under the AGPL, version 3.": "agpl",
         wrapped(licenses.FAMILIES["mit"][2][0], 76): "mit", wrapped(licenses.FAMILIES["isc"][2][0], 40, "// "): "isc", "Dieses Programm ist freie Software unter den Bedingungen der\nGNU General Public License.": "gpl",
         "This program is made available under the terms of the\nEclipse Public License 2.0": "epl", "mit der Bahn und mit dem Rad": "none", "": "none",
+        "GPL v3": "gpl", "Veröffentlicht nach GPL v3.": "gpl", "Ce programme est distribué selon les termes de la GPL v3.": "gpl", "Ce logiciel est distribué sous licence MIT.": "mit", "Published with the MIT licence.": "mit",
+        "This code is in the public domain.": "public-domain", "Apache-2.0": "apache-2.0", "You may use this file under BSD-3-Clause or Apache-2.0": "bsd", "Il a son permis et sa licence.": "none",
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted": "unknown",
     }
     texts = [*shown, None]
     got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["family"] for r in got] == [*shown.values(), "none"] and got[1]["n_paragraphs"] == 1 and got[1]["families"] == ["cc-by-nc", "unknown"]
+    assert got[list(shown).index("You may use this file under BSD-3-Clause or Apache-2.0")]["families"] == ["apache-2.0", "bsd"]
 
     # all rows and classes again in Python
     gate = regex.compile(licenses.gate_pattern(model))
     for t, r in zip(texts, got, strict=True):
         best, n = ("none", 0.0, 0.0), 0
         for units in units_of(t or ""):
-            found = [d for d in (model.decide(u) for u in units if gate.search(u)) if d[0] != "none"]
+            found = [d for d in (model.decide(u) for u in units if gate.search(u) and not (u[0] == "\x02" and model.decide(u)[0] == "unknown")) if d[0] != "none"]
             n += bool(found)
             for d in found:
                 if best[0] == "none" or (d[0] != "unknown", d[1]) > (best[0] != "unknown", best[1] + 1e-9):
@@ -588,6 +593,33 @@ def test_the_license_gate_lets_every_notice_through():
     assert sum(model.decide(t)[0] == c for c, t in licenses.notices() if c != "none") > 0.98 * len(told)
 
 
+#: Written after the model and its gate, which have seen none of them.
+LATER = {
+    "gpl": ["You can redistribute this package under GPL-2.0-or-later.", "El programa es libre y usa la GPLv3.", "Il codice è sotto GPL.", "kernel module, GPL", "This tool comes to you via the GNU GPL."],
+    "lgpl": ["The bindings use the LGPL.", "Diese Bibliothek steht unter der LGPLv3.", "GNU Lesser General Public License applies to the core."],
+    "agpl": ["Our server is AGPL-3.0-only.", "Hosted versions fall under the GNU AGPL."],
+    "mit": ["We chose the MIT license for all samples.", "Le code est fourni sous licence MIT.", "Lizenz: MIT License", "tests are covered by the Expat license"],
+    "bsd": ["Ported from OpenBSD code, BSD-2-Clause.", "That header is 0BSD.", "New BSD License applies."],
+    "apache-2.0": ["Our sources are Apache-2.0 throughout.", "Se publica con Apache License 2.0."],
+    "mpl-2.0": ["Files in this directory: MPL-2.0", "Die Erweiterung nutzt die Mozilla Public License 2.0."],
+    "epl": ["The plugin is EPL-2.0.", "Eclipse Public License applies here."],
+    "cc-by-sa": ["Photos: CC BY-SA 4.0", "Article text CC-BY-SA-3.0."],
+    "public-domain": ["He put the scans in the public domain.", "The Unlicense applies."],
+}
+ELSE = ["The senate licensed two new casinos.", "Die Domain war lange vergeben.", "mit Vergnügen", "Il domaine public était fermé.", "She zeroed the scale and later left.", "Software engineers met in May.", "Under the old bridge stood a boat."]
+
+
+def test_licenses_on_texts_written_later():
+    """The gate lets every one of them through, and the model is right on nearly all."""
+    model = licenses.train_model()
+    gate = regex.compile(licenses.gate_pattern(model))
+    told = [(c, t) for c, ts in LATER.items() for t in ts]
+    assert [t for _, t in told if not gate.search(t)] == []
+    wrong = [(c, t, model.decide(t)) for c, t in told if model.decide(t)[0] != c]
+    assert len(wrong) <= 0.15 * len(told), wrong
+    assert [t for t in ELSE if gate.search(t) and model.decide(t)[0] in licenses.FAMILIES] == []
+
+
 def worded(n=240, seed=2):
     rng = random.Random(seed)
     plain = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(300)]

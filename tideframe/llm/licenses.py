@@ -132,7 +132,7 @@ FAMILIES: dict[str, tuple[list[str], list[str], list[str]]] = {
         ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License, visit http://creativecommons.org/licenses/by-nd/4.0/"],
     ),
     "public-domain": (
-        ["Unlicense", "CC0 1.0", "CC0 1.0 Universal Public Domain Dedication", "Creative Commons Zero license"],
+        ["Unlicense", "public domain", "CC0 1.0", "CC0 1.0 Universal Public Domain Dedication", "Creative Commons Zero license"],
         ["Unlicense", "CC0-1.0"],
         [
             "This is free and unencumbered software released into the public domain.",
@@ -155,6 +155,8 @@ _GENERAL = [
     "Use of this software is subject to a license agreement.",
     "Licensed material, may not be copied without permission of the copyright holder.",
     "Permission to copy is granted by the copyright holder.",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appear in all copies.",
+    "Permission is granted to copy and distribute modified versions of this manual under the conditions for verbatim copying.",
     "See the LICENSE file for license terms.",
     "The source code is licensed separately; contact the authors for a license.",
 ]
@@ -164,6 +166,8 @@ _NOTICES = [
     "This file is made available under the {}", "Copyright (c) 2021 the authors, {}, all rights reserved", "Lizenziert unter der {}.", "Dieses Programm ist freie Software unter den Bedingungen der {}.", "Publié sous la licence {}.", "Distribuido bajo la licencia {}.",
 ]
 _TAGS = ["SPDX-License-Identifier: {}", "License {}", "license: {}", "Licensed under {}."]
+#: An identifier by itself, and how it is named in passing; not for those that are words as well.
+_BARE = ["{}", "Available under {}", "You may use this file under {}"]
 _OTHER = [
     "The driver lost his license after the second offence.", "A fishing license is required for the lake.", "The record was released under a new name in spring.", "The general public was invited to the version shown in March.",
     "He attended the institute and studied software for two years.", "The Apache helicopter landed near the work site.", "She asked for permission to leave the room.", "The house came with a warranty for ten years.",
@@ -180,12 +184,14 @@ _OTHER = [
 _SLOTS = 1 << 15
 _SPLIT = r"[^\p{L}\p{N}.+-]+"
 _STOPS = r"(?<=\S)[.]+(?= |$)"
+#: Between licences of which one is to be chosen, or that all hold; and what marks a part of such a line.
+_CHOICE, _PART = r"(?i)\s+(?:or|and|oder|und|ou|et|o|y)\s+|\s*[/;|]\s*", "\x02"
 #: What begins a line in a comment or a list, and is no part of its text.
 _MARKER = r"(?m)^[ \t]*(?:/\*+|\*+/|//+|#+|;+|--+|\*+|>+|<!--|%+)[ \t]*"
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in regex.sub(_STOPS, "", regex.sub(_SPLIT, " ", text.lower()).strip()).split(" ") if w]
+    return [w for w in regex.sub(_STOPS, "", regex.sub(_SPLIT, " ", text.lower().replace("licence", "license")).strip()).split(" ") if w]
 
 
 def _grams(text: str) -> list[str]:
@@ -211,6 +217,7 @@ def notices() -> list[tuple[str, str]]:
     for family, (names, ids, texts) in FAMILIES.items():
         put(family, names, _NOTICES, 3)
         put(family, ids, _TAGS, len(_TAGS))
+        put(family, [x for x in ids if x not in _ALSO_WORDS], _BARE, len(_BARE))
         out += [(family, t) for t in texts]
     put(UNKNOWN, _STRANGERS, _NOTICES, 4)
     put(UNKNOWN, _STRANGERS, _TAGS, 2)
@@ -263,7 +270,7 @@ class LicenseModel:
         s = self.similarity(text, guess) if guess in FAMILIES else 0.0
         if guess in FAMILIES and top >= self.least and s >= self.least_similarity:
             return guess, top, s
-        return NONE if p[self.classes.index(NONE)] >= p[self.classes.index(UNKNOWN)] else UNKNOWN, top, s
+        return NONE if top < self.least or p[self.classes.index(NONE)] >= p[self.classes.index(UNKNOWN)] else UNKNOWN, top, s
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, grams: int, classes: int, rounds: int = 40, rate: float = 0.2, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -299,12 +306,18 @@ def _disturbed(text: str, rng: np.random.Generator, filler: list[str]) -> str:
 
 
 def _choose_gate(texts: list[tuple[str, str]]) -> tuple[str, ...]:
-    """Words of which every text about licences has one, or a word that begins with one: chosen greedily, those that other
-    texts have last."""
+    """Words of which every text about licences has one, or a word that begins with one.
+
+    First all words of licences' names and identifiers that no other text has, and what the word for a licence begins with,
+    so that a notice is judged in whatever language and wording it names one; for texts without any of them more words are
+    chosen greedily, those that other texts have last.
+    """
     about = [set(_words(t)) for c, t in texts if c != NONE]
     other = [set(_words(t)) for c, t in texts if c == NONE]
     common = {w: sum(w in ws for ws in other) / len(other) for ws in about for w in ws}
-    chosen: list[str] = []
+    named = {w for names, ids, _ in FAMILIES.values() for x in (*names, *ids) for w in _words(x) if len(w) > 2 and not w[0].isdigit()}
+    chosen = ["licen", "lizen", *sorted(w for w in named if not any(v.startswith(w) for ws in other for v in ws))]
+    about = [ws for ws in about if not any(w.startswith(x) for w in ws for x in chosen)]
     while about:
         gain: dict[str, float] = {}
         for ws in about:
@@ -313,7 +326,7 @@ def _choose_gate(texts: list[tuple[str, str]]) -> tuple[str, ...]:
         best = max(gain, key=lambda w: (gain[w] * (1 - common[w]) ** 4 * min(len(w), 6), w))
         chosen.append(best)
         about = [ws for ws in about if not any(w.startswith(best) for w in ws)]
-    return tuple(sorted(chosen))
+    return tuple(sorted({w for w in chosen if not any(w != v and w.startswith(v) for v in chosen)}))
 
 
 @functools.lru_cache(maxsize=1)
@@ -374,7 +387,7 @@ def train_model(copies: int = 1, folds: int = 3, seed: int = 7) -> LicenseModel:
     passes = lambda rows, a, b: ((rows[:, 0] >= a) & (rows[:, 1] >= b)).mean() if len(rows) else 0.0
     least, similarity = max(grid, key=lambda ab: (round(passes(hits, *ab) - passes(misses, *ab), 6), -ab[0], -ab[1]))
     w, b = _fit(rows, y, len(every), len(classes))
-    return LicenseModel(classes, np.array([_number(g) for g in every], np.int64), w.T.astype(float), b.astype(float), temperature, float(least), float(similarity), _choose_gate(texts))
+    return LicenseModel(classes, np.array([_number(g) for g in every], np.int64), w.T.astype(float), b.astype(float), temperature, float(least), float(similarity), _choose_gate(told))
 
 
 def _one(value: Column, f) -> Column:
@@ -388,7 +401,7 @@ def _constant(values: list, kind: str) -> Column:
 
 
 def _gram_column(paragraph: Column) -> Column:
-    words = F.filter(F.split(F.regexp_replace(F.trim(F.regexp_replace(F.lower(paragraph), _SPLIT, " ")), _STOPS, ""), " "), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace(F.trim(F.regexp_replace(F.replace(F.lower(paragraph), F.lit("licence"), F.lit("license")), _SPLIT, " ")), _STOPS, ""), " "), lambda w: w != "")
     pairs = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda k: F.concat_ws(" ", F.element_at(ws, k), F.element_at(ws, k + 1)))
     return _one(words, lambda ws: F.array_distinct(F.concat(ws, F.when(F.size(ws) > 1, pairs(ws)).otherwise(F.array().cast("array<string>")))))
 
@@ -397,7 +410,8 @@ def classify_paragraph(paragraph: Column, model: LicenseModel) -> Column:
     """struct(family, probability, similarity): a known family needs the model and one of its texts to agree.
 
     similarity: the largest share of a text's one- and two-grams, over the family's texts, that the paragraph has. Where
-    the likeliest class is no family, or one that is not sure or not confirmed, it is the likelier of ``unknown`` and ``none``.
+    the likeliest class is no family, or one that is not sure or not confirmed, it is the likelier of ``unknown`` and ``none``, and
+    ``none`` where no class is likely enough.
     """
     slots = [0] * _SLOTS
     for k, n in enumerate(model.numbers.tolist()):
@@ -421,7 +435,8 @@ def classify_paragraph(paragraph: Column, model: LicenseModel) -> Column:
             top = F.array_max(z)
             p = F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top))
             guess = F.element_at(_constant(model.classes, "string"), F.array_position(z, top).cast("int"))
-            other = F.when(F.element_at(z, model.classes.index(NONE) + 1) >= F.element_at(z, model.classes.index(UNKNOWN) + 1), F.lit(NONE)).otherwise(F.lit(UNKNOWN))
+            likelier = F.element_at(z, model.classes.index(NONE) + 1) >= F.element_at(z, model.classes.index(UNKNOWN) + 1)
+            other = F.when(likelier | (p < model.least), F.lit(NONE)).otherwise(F.lit(UNKNOWN))
             return F.struct(guess.alias("guess"), other.alias("other"), p.alias("p"))
 
         def confirmed(s: Column) -> Column:
@@ -442,7 +457,7 @@ def gate_pattern(model: LicenseModel) -> str:
 
 
 def paragraphs(text: Column) -> Column:
-    """Arrays of what is to be judged, one for each paragraph: its lines, and all of it on one line.
+    """Arrays of what is to be judged, one for each paragraph: its lines, all of it on one line, and what choices are between.
 
     Paragraphs end at blank lines; comment and list markers go. One that follows a short line alone, such as a heading, is
     also taken together with it.
@@ -454,7 +469,9 @@ def paragraphs(text: Column) -> Column:
         lines = F.when(F.instr(F.trim(b), "\n") > 0, F.split(b, "\n")).otherwise(F.array().cast("array<string>"))
         before = F.get(blocks, k - 1)
         headed = F.when((k > 0) & (F.char_length(before) <= 40) & (F.char_length(b) <= 400), F.array(F.concat_ws(" ", flat(before), flat(b)))).otherwise(F.array().cast("array<string>"))
-        return F.concat(lines, F.array(flat(b)), headed)
+        own = F.concat(lines, F.array(flat(b)), headed)
+        parts = F.flatten(F.transform(F.filter(own, lambda u: u.rlike(_CHOICE)), lambda u: F.transform(F.split(u, _CHOICE), lambda p: F.concat(F.lit(_PART), p))))
+        return F.concat(own, F.array_distinct(parts))
 
     return F.transform(blocks, units)
 
@@ -462,7 +479,7 @@ def paragraphs(text: Column) -> Column:
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, family, families, n_paragraphs, probability, similarity.
 
-    A paragraph is judged by its lines and as one line. ``families`` are all that are found, sorted, ``family`` is the surest
+    A paragraph is judged by its lines and as one line; of a line that names several licences each part is judged too. ``families`` are all that are found, sorted, ``family`` is the surest
     (of equals the first), known families before ``unknown``, and ``none`` where no paragraph is about a licence;
     ``n_paragraphs`` counts those that are. Lines without any word of the model's gate
     aren't judged. Null, empty and wordless texts: ``none``, with probability and similarity 0. Rows are judged one by
@@ -476,7 +493,9 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
     units = F.transform(paragraphs(text), lambda us: F.filter(us, lambda u: u.rlike(gate)))
     units = F.when(text.rlike(gate), F.filter(units, lambda us: F.size(us) > 0)).otherwise(F.array().cast("array<array<string>>"))
     rows = docs.select("doc_id", units.alias("_units"))
-    judged = F.transform("_units", lambda us: F.filter(F.transform(us, lambda u: classify_paragraph(u, model)), lambda s: s["family"] != NONE))
+    # a part of a line only adds a family that is named in it
+    judge = lambda u: _one(classify_paragraph(u, model), lambda s: F.when(F.startswith(u, F.lit(_PART)) & (s["family"] == UNKNOWN), nothing).otherwise(s))
+    judged = F.transform("_units", lambda us: F.filter(F.transform(us, judge), lambda s: s["family"] != NONE))
     found = rows.select("doc_id", F.filter(judged, lambda ps: F.size(ps) > 0).alias("_found")).select("doc_id", F.size("_found").cast("long").alias("n_paragraphs"), F.flatten("_found").alias("_all"))
     found = found.select("doc_id", "n_paragraphs", best(F.col("_all")).alias("_best"), F.array_sort(F.array_distinct(F.transform("_all", lambda s: s["family"]))).alias("families"))
     return found.select("doc_id", "_best.family", "families", "n_paragraphs", "_best.probability", "_best.similarity")
