@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import batched, count, groupby
 from typing import NamedTuple
 
@@ -237,12 +237,16 @@ def annotate_scroll(segments: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.withColumns({"is_scroll": F.col("_run").isNotNull(), "scroll_start_idx": F.col("_run.run_start"), "scroll_end_idx": F.col("_run.run_end")}).drop("_run")
 
 
-def segment_recordings(frames: DataFrame, shifts: DataFrame | None, config: Config) -> DataFrame:
-    """Frames (recording_id, idx, ts, vec) and shifts between them to segments with their scroll runs."""
+def segment_recordings(frames: DataFrame, shifts: DataFrame | None, config: Config, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
+    """Frames (recording_id, idx, ts, vec) and shifts between them to segments with their scroll runs.
+
+    ``keep`` may store what is read more than once (pairs, islands) and give it back as stored.
+    """
     pairs = frame_pairs(frames)
     if shifts is None:
         shifts = pairs.select("recording_id", "idx", *[F.lit(0.0).alias(c) for c in ("dx", "dy", "response")])
     pairs = pairs.join(shifts.select("recording_id", "idx", "dx", "dy", "response"), ["recording_id", "idx"])
+    pairs = keep(pairs, "pairs")
     runs = scroll_runs(pairs, config)
-    islands = cut_islands(frames, classify_pairs(pairs, runs, config))
+    islands = keep(cut_islands(frames.select("recording_id", "idx", "ts", "vec"), classify_pairs(pairs, runs, config)), "islands")
     return annotate_scroll(fold_segments(islands, config), runs)

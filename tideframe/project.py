@@ -223,7 +223,7 @@ class Project:
         frames = measured.where(~F.col("recording_id").isin(list(bad))).drop("error")
         log("frames measured")
         shifts = frames.where("shift IS NOT NULL").select("recording_id", "idx", "shift.dx", "shift.dy", "shift.response")
-        segs = kept(segments.segment_recordings(frames, shifts, config), "segments")
+        segs = kept(segments.segment_recordings(frames, shifts, config, kept), "segments")
         labelled = kept(states.labelled_segments(segs, config.merge_distance), "labelled")
         log("states found")
 
